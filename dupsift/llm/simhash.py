@@ -28,6 +28,7 @@ from .components import components
 BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
 #: A key with more fingerprints goes the other way.
 CROWDED = 16
+BROADCAST_ROWS = 500_000
 _CHUNK = 1 << 16
 
 
@@ -51,14 +52,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed integer) for each row."""
+    """doc_id, h (a hash of the text) and fp (the 64 bits as a signed integer) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(fps, pa.int64())], names=["doc_id", "h", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 def _pivots() -> list[int]:
@@ -103,13 +104,29 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id reachable over links) for each row."""
+    """doc_id, h, fp, component_id (the least doc_id reachable over links) for each row."""
     own = materialize(fingerprints(docs, words), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = materialize(components(links(distinct)).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least"), "roots")
     merged = roots.join(roots.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     named = distinct.join(merged, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return own.join(named, "fp").select("doc_id", "h", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
+    """docs with one document of each component: that of the least doc_id (then of the least text hash). Columns as they are. The documents
+    to drop are broadcast up to BROADCAST_ROWS counted rows; beyond that the join shuffles."""
+    classes = materialize(near_duplicates(docs, words).groupBy("doc_id", "h", "component_id").agg(F.count("*").alias("n")), "classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    first = classes.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("texts"), F.max("n").alias("rows"))
+    many = first.where("texts > 1").select(F.col("component_id").alias("c"), "first")
+    dropped = classes.join(many, F.col("component_id").eqNullSafe(F.col("c"))).where(order != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    dropped = materialize(dropped, "dropped")
+    right = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    kept = docs.join(right, (F.xxhash64(docs["text"]) == F.col("_h")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    if first.where("rows > 1").limit(1).count():  # rows repeated with their id
+        kept = kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return kept
 
 
 def simhash_digests(docs: DataFrame) -> DataFrame:
