@@ -91,17 +91,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     grams = materialize(grams.groupBy("uid", "words", "ipos", "w").agg(F.max("names").alias("names")), "grams")
     n_grams = grams.count()
 
-    keyed = _doc_key(docs).withColumn("typed", _typed(F.col("text")))
-    keyed = keyed.withColumn("named", _named(F.col("typed")))
-    views = []
-    for view in ("named", "typed"):
-        words = keyed.withColumn("words", _words(F.lower(F.col(view)))) if view == "named" else keyed.where("named <> typed").withColumn("words", _words(F.lower(F.col("typed"))))
-        for size in sizes:
-            each = words.select("doc_id", "h", F.lit(view == "named").alias("doc_names"), F.posexplode(_windows(F.col("words"), size)).alias("dpos", "v"))
-            views.append(each.select("doc_id", "h", "doc_names", "dpos", F.xxhash64("v", F.lit(size)).alias("w")))
-    exploded = views[0]
-    for x in views[1:]:
-        exploded = exploded.union(x)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), _typed(F.col("text")).alias("typed"))
+    keyed = keyed.select("doc_id", "h", "typed", _named(F.col("typed")).alias("named"))
+    with_names, without = F.struct(F.lit(True).alias("doc_names"), F.col("named").alias("view")), F.struct(F.lit(False).alias("doc_names"), F.col("typed").alias("view"))
+    # One pass over the texts: a document without names has one view, others two.
+    both = F.when(F.col("named") == F.col("typed"), F.array(with_names)).otherwise(F.array(with_names, without))
+    words = keyed.select("doc_id", "h", F.explode(both).alias("x")).select("doc_id", "h", "x.doc_names", _words(F.lower("x.view")).alias("words"))
+    exploded = None
+    for size in sizes:
+        each = words.select("doc_id", "h", "doc_names", F.posexplode(_windows(F.col("words"), size)).alias("dpos", "v")).select("doc_id", "h", "doc_names", "dpos", F.xxhash64("v", F.lit(size)).alias("w"))
+        exploded = each if exploded is None else exploded.union(each)
     side = F.broadcast(grams) if n_grams <= BROADCAST_ROWS else grams
     # One diagonal: the same offset between the places in the document and in the item.
     hits = (
