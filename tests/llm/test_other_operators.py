@@ -1,0 +1,264 @@
+"""Decontamination, licences, archives, language model, nearest neighbours and the pipeline."""
+
+import gzip
+import hashlib
+import io
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from dupsift.llm import archives, decontaminate, kneser_ney, license_scan, nearest, queries
+
+from .conftest import SCHEMA, rows_of
+
+QUESTION = "A train leaves the station at 45 km from Berlin and later the driver Anna buys 12 apples for 3 dollars each, how much does Anna pay in total for 12 apples"
+
+
+def contaminated(spark, texts, benchmark=QUESTION):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", 1, 2) for i, t in enumerate(texts)], SCHEMA)
+    items = spark.createDataFrame([(7, benchmark, "extra"), (8, None, "x"), (9, "", "x")], "item_id bigint, text string, h string")
+    return docs, items, {r["doc_id"]: r for r in decontaminate.verdicts(docs, items).collect()}
+
+
+def test_decontamination(spark):
+    filler = "Nothing to see here, only common words that run on for a while. "
+    other = QUESTION.replace("12", "17").replace("Anna", "Maria").replace("45", "60")
+    torn = QUESTION.replace("12 apples for", "17 apples for")  # 12 becomes 17 once only
+    texts = [QUESTION, filler + QUESTION + " " + filler, filler + other, filler + QUESTION.lower(), torn, filler * 3, None, "", QUESTION[:40], filler + QUESTION.replace(" and ", " and, well, ")]
+    docs, items, found = contaminated(spark, texts)
+    assert set(found) >= {0, 1, 2, 3} and not set(found) & {4, 5, 6, 7, 8}
+    assert [found[i]["exact"] for i in range(4)] == [1, 1, 0, 1]
+    kept = decontaminate.remove(docs, items)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - set(found)
+
+
+def test_decontamination_edges(spark, no_docs):
+    docs, _, found = contaminated(spark, ["one two three four five", "what is Five plus it", None], "two three four")
+    assert set(found) == {0}
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.verdicts(docs, none).count() == 0 and decontaminate.remove(docs, none).count() == 3
+    assert decontaminate.verdicts(no_docs, none).count() == 0
+
+
+def test_slots_line_up(spark):
+    """The template and the text with values have the same number of words."""
+    from pyspark.sql import functions as F
+
+    texts = ["5% of 3.5 km, in 12:30 London Bridge abc123 7 Paris 1,000 hours Tom", "a 3rd 5%x 4 days. Bob said, Alice 9", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    typed = decontaminate._typed(F.col("text"))
+    for names, view in ((True, decontaminate._named(typed)), (False, typed)):
+        for r in df.select(F.size(decontaminate._words(view)).alias("a"), F.size(decontaminate._words(decontaminate._raw(F.col("text"), names))).alias("b")).collect():
+            assert r["a"] == r["b"]
+
+
+def test_license_scan(spark, docs, no_docs):
+    texts = ["Intro\nReleased under the MIT License.\nmore", "  RELEASED under THE mit licence\n", "This work is licensed under the GNU General Public License, version 3.", "MIT", None, "", "\n\n", "a\n\nPermission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nb"]
+    got = [r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert [r["license"] for r in got] == ["MIT", None, "GPL-3.0", None, None, None, None, "MIT"]
+    assert got[0]["dice"] == 1.0 and got[2]["licenses"] == "GPL-3.0"
+    assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(no_docs).count() == 0
+
+
+def test_license_bounds_lose_nothing():
+    for k in range(1, 60):
+        low, high = license_scan.bounds(k, 0.8)
+        for n in range(1, 200):
+            if 2 * min(k, n) / (k + n) >= 0.8:
+                assert low <= n <= high
+
+
+PAGE = "page_id bigint, url string, html string, key string, digest string"
+
+
+def test_archives(spark):
+    long = "x" * 200 + "\r\n\r\nWARC/1.0\r\nContent-Length: 5\r\n\r\nfiledesc://"
+    pages = [(5, "http://a b/", long), (3, "http://c", long), (9, None, long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (7, "é", "ü" * 60), (None, "n", "ü" * 60), (3, "http://c", long), (8, "big", "y" * 6_000_000)]
+    df = spark.createDataFrame([(*p, "k", "d") for p in pages], PAGE).repartition(2)
+    got = rows_of(archives.round_trip(df).drop("record_id", "date"))
+    firsts = {}
+    for p, _, h in pages:
+        b = (h or "").encode()
+        if len(b) >= 100:
+            firsts[b] = min([x for x in (firsts.get(b), p) if x is not None], default=None)
+    want = []
+    for p, _, h in pages:
+        b = (h or "").encode()
+        revisit = len(b) >= 100 and firsts[b] != p
+        want.append((p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", firsts[b] if revisit else None))
+    assert got == sorted(want, key=lambda r: (r[0] is None, r))
+    assert archives.round_trip(df.limit(0)).count() == 0
+
+
+def test_arc_versions():
+    records = [archives.ArcRecord("http://a/", "1.2.3.4", "20230102030405", "text/html", b"HTTP/1.1 200 OK\r\n\r\nhello\nfiledesc://x"), archives.ArcRecord("http://b/", "1.2.3.4", "2023", "text/plain", b"")]
+    for version in (1, 2):
+        image = archives.write_arc(iter(records), version)
+        assert list(archives.read_arc(image)) == records
+        with pytest.raises(ValueError):
+            list(archives.read_arc(image[:-10]))
+    with pytest.raises(ValueError):
+        list(archives.read_arc(archives.write_arc(iter(records), 1).replace(b"1.2.3.4 20230102030405", b"20230102030405")))
+    assert archives.warc_date("2023") == "2023-01-01T00:00:00Z" and archives.warc_date("20230102030405") == "2023-01-02T03:04:05Z"
+
+
+def test_warc_stream():
+    first = dict(key=3, url="http://c", date="2024-01-01T00:00:00Z")
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * 120
+    digest = hashlib.sha256(b"z" * 120).hexdigest()
+    one = archives.warc_record(3, "http://c", first["date"], "text/html", 120, digest, block, None)
+    two = archives.warc_record(5, "http://d", first["date"], "text/html", 120, digest, block, first)
+    parsed = list(archives.parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(one + archives.END + two + archives.END))))))
+    assert [h["warc-type"] for h, _ in parsed] == ["response", "revisit"] and parsed[0][1] == block
+    assert parsed[1][0]["warc-refers-to"] == parsed[0][0]["warc-record-id"]
+
+
+def plain_model(texts):
+    """Interpolated modified Kneser-Ney in plain Python: log2 probability of a code."""
+    counts = {4: Counter()}
+    for t in texts:
+        counts[4].update(kneser_ney.codes(t).tolist())
+    for k in (3, 2, 1):
+        counts[k] = Counter(c & ((1 << 5 * k) - 1) for c in counts[k + 1])
+    discounts = {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        if not n[1] or not n[2]:
+            discounts[k] = [0.5] * 3
+            continue
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        discounts[k] = [min(max(x, 0), i) for i, x in enumerate(d, 1)]
+
+    def p(code, k):
+        if k == 0:
+            return 1 / 32
+        c, context = counts[k], code >> 5
+        below = p(code & ((1 << 5 * (k - 1)) - 1), k - 1)
+        own = {x: n for x, n in c.items() if x >> 5 == context}
+        if not own:
+            return below
+        d = lambda n: discounts[k][min(n, 3) - 1] if n else 0
+        total = sum(own.values())
+        return (own.get(code, 0) - d(own.get(code, 0))) / total + sum(map(d, own.values())) / total * below
+
+    return lambda code: math.log2(p(code, 4))
+
+
+def test_kneser_ney_is_plain_model(spark):
+    texts = ["the cat sat on the mat", "The Dog ate 12 cats!", "a mat, a cat", "", None]
+    table = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    plain = plain_model([t for t in texts if t])
+    for code in [*kneser_ney.codes("the cat at 9 X?").tolist(), 0, 5, 1 << 12, (1 << 20) - 1]:
+        assert abs(table[code] - plain(code)) < 1e-4
+    for context in (0, 5 << 10, 20 << 5):
+        assert abs(np.exp2(table[context << 5 : (context << 5) + 32].astype(float)).sum() - 1) < 1e-4
+
+
+def test_classifier(spark, no_docs):
+    import random
+
+    rng = random.Random(4)
+    words = ["the", "river", "runs", "over", "stones", "and", "birds", "sing", "near", "water"]
+    good = [" ".join(rng.choice(words) for _ in range(60)).capitalize() + "." for _ in range(240)]
+    bad = ["".join(rng.choice("XQZ!#9%") for _ in range(300)) for _ in range(10)]
+    rows = [(i, t, "en" if i % 3 else None, None, 0, "x", 1, 2) for i, t in enumerate([*good, *bad, "", None])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 240, 2)] + [(1, 0, 0), (3, None, None)], "doc_id bigint, quality int, toxic int")
+    verdicts = {r["doc_id"]: r["verdict"] for r in kneser_ney.classify(docs, labels).collect()}
+    assert all(verdicts[i] == "good" for i in range(240)) and all(verdicts[i] == "noise" for i in range(240, 250)) and verdicts[250] == verdicts[251] == "empty"
+    kept = kneser_ney.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 240
+    assert kneser_ney.classify(no_docs, labels).count() == 0
+    assert {r["verdict"] for r in kneser_ney.classify(docs, labels.limit(0)).collect()} == {"good", "empty"}
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    from pyspark.sql import functions as F
+
+    known = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    got = kneser_ney.classify(docs, labels.where(known)).join(labels.where(~known), "doc_id").select("keep", "quality").collect()
+    good = [r["keep"] for r in got if r["quality"] == 1]
+    bad = [r["keep"] for r in got if r["quality"] == 0]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.35 * len(bad)
+
+
+VECTORS = "vec_id bigint, embedding array<float>, label int, v string, part string"
+
+
+def brute(rows, k=20):
+    ok = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    out = {}
+    for q, x in ok:
+        if q % 20 == 0:
+            out[q] = sorted(((-float(x @ y), i) for i, y in ok if i != q))[:k]
+    return out
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(1500)]
+    rows += [(i, [1.0] * 16) for i in range(1500, 2300)]  # a common vector
+    rows += [(2300, None), (2320, [0.0] * 16), (2340, [float("nan")] * 16), (2360, [None] * 16), (2380, [float("inf")] * 16)]
+    df = spark.createDataFrame([(i, v, 1, "x", "y") for i, v in rows], VECTORS).repartition(4)
+    got, want = {}, brute(rows)
+    for r in nearest.search(df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(want)
+    hits = 0
+    for q, own in got.items():
+        own.sort()
+        assert [r for r, _, _ in own] == list(range(1, 21))
+        assert all(a[2] > b[2] or a[2] == b[2] and a[1] < b[1] for a, b in zip(own, own[1:], strict=False))
+        hits += len({i for _, i, _ in own} & {i for _, i in want[q]})
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_nearest_small(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0], 1, "", ""), (20, [0.0, 1.0], 1, "", ""), (21, [1.0, 1.0], 1, "", "")], VECTORS)
+    assert [tuple(r) for r in nearest.search(few).orderBy("query_id", "rank").collect()] == [(0, 1, 21, 1.0), (0, 2, 20, 0.0), (20, 1, 21, 1.0), (20, 2, 0, 0.0)]
+    assert nearest.search(few.limit(0)).count() == 0
+
+
+def test_adaptive_scan_abandons():
+    rng = np.random.default_rng(1)
+    points = rng.standard_normal((4000, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    n, ids, _, looked = nearest.scan(points[:50] + 0.1 * points[50:100], np.full(50, -1), points, np.arange(4000), 5, nearest.rotation(64))
+    exact = [set(np.argsort(-(points @ q))[:5]) for q in points[:50] + 0.1 * points[50:100]]
+    assert looked < 0.95 and np.mean([len(exact[i] & set(ids[n == i])) / 5 for i in range(50)]) > 0.95
+
+
+def test_pipeline(spark):
+    """Every stage's rows against a plain version of its decision."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    columns = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        docs = corpus_pipeline.materialize(stage(spark, docs, d), "t")
+        after = docs.collect()
+        if i < 4:
+            assert docs.columns == columns, name
+        if name == "secret scan":
+            assert {r["doc_id"] for r in after} == set(before) and all(r["n_chars"] == len(r["text"]) for r in after)
+        elif i < 3:
+            assert {r["doc_id"] for r in after} <= set(before) and all(before[r["doc_id"]] == r["text"] for r in after)
+        if name == "SimHash near-dedup":
+            from .test_text_operators import classes, plain_fingerprint
+
+            assert {r["doc_id"] for r in after} == set(classes([(k, plain_fingerprint(t)) for k, t in before.items()]))
+        if name == "benchmark decontamination":
+            items = [" ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+            whole = {k for k, t in before.items() if any(x in " ".join(t.lower().split()) for x in items)}
+            assert whole == set(before) - {r["doc_id"] for r in after}
+        if name == "byte-level BPE":
+            assert all(r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(before[r["doc_id"]].encode()).hexdigest() for r in after)
+
+
+def test_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
