@@ -60,8 +60,8 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    r = F.corr(x, y)
-    return df.agg(F.round(F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r), 6).alias("pearson"))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return df.agg(F.round(F.coalesce(r, F.lit(0.0)), 6).alias("pearson"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
