@@ -8,14 +8,13 @@ documents and are judged on the input. Steps:
    depends on nothing but the string, so equal strings have equal anchors, about one for each 16 bytes of text. Blocks of texts send
    each anchor hash once to a bucket, as packed arrays; a bucket says which occur in two documents. Hashes that a block has in two
    documents itself are known there, so a frequent passage costs a bucket one entry a block.
-3. Snippets: the bytes of all strings that share a shared anchor, for each of its places. Equal snippets become one class
-   with the least doc_id (map-side first).
-4. Shards: a shard has the classes of a bucket of anchors. Its suffix array is made by Larsson-Sadakane refinement in numpy: suffixes are ranked by their first
+3. Snippets: the bytes of all strings that share a shared anchor, for each of its places.
+4. Shards: a shard has the places of a bucket of anchors. Equal snippets are one class with the least doc_id. Its suffix array is made by Larsson-Sadakane refinement in numpy: suffixes are ranked by their first
    eight bytes, then groups that are still equal by the rank of what follows, doubling the depth until LENGTH is passed. Common prefixes of neighbours in the array (Kasai's
    quantities, taken in text order and capped at LENGTH) cut it into groups of equal LENGTH-byte strings, each with its least
    doc_id. Sorted shards of one bucket are merged by binary search: each run's strings are looked up in the others.
-   Anchors with so many classes that a shard would not hold them are resolved by grouping the strings themselves.
-5. Every place is joined with its class; strings with an owner of smaller doc_id mark bytes; the texts lose them.
+   Anchors with more places than CROWDED don't go to a shard: their classes are counted map-side first, and grouped by the strings themselves.
+5. Strings with an owner of smaller doc_id mark bytes; the texts lose them.
 
 Null text counts as empty. A null doc_id counts as larger than all others. Rows with one doc_id never remove from each other; each row gives a row. Extra columns
 are dropped by `removals` and kept by `strip`.
@@ -27,17 +26,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
-#: Bytes of text in one block, classes for a shard, classes beyond which an anchor isn't put into a shard, copies that are broadcast.
-BLOCK_BYTES, SHARD_CLASSES, CROWDED, BROADCAST_ROWS = 8 << 20, 40_000, 20_000, 500_000
+#: Bytes of text in one block, places for a shard, places beyond which an anchor isn't put into a shard, copies that are broadcast.
+BLOCK_BYTES, SHARD_PLACES, CROWDED, BROADCAST_ROWS = 8 << 20, 150_000, 5_000, 500_000
 #: Classes of one run of a shard.
 RUN_CLASSES = 20_000
 LAST_ID = (1 << 63) - 1
@@ -282,18 +280,50 @@ def merge(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         least[:] = new
 
 
-def _owners(rows: pd.DataFrame) -> pd.DataFrame:
-    """The least doc_id of every string of every class of one shard."""
-    rows = rows.sort_values(["hash", "least"])
-    runs, out = [], []
-    for at in range(0, len(rows), RUN_CLASSES):
-        part = rows.iloc[at : at + RUN_CLASSES]
-        runs.append(run_of(part["snippet"].tolist(), part["least"].to_numpy()))
+def _intervals(owner: np.ndarray, ids: np.ndarray, begin: np.ndarray, count: np.ndarray, text: np.ndarray, text_ids: np.ndarray, text_hs: np.ndarray) -> pa.RecordBatch:
+    """Rows (doc_id, h, spans): for each text the packed [begin, end) of its bytes that earlier documents have. owner has, place after place, the
+    least id of each of its strings; ids, begin, count and text are those of the places."""
+    at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(owner))
+    place = np.repeat(np.arange(len(count)), count)
+    gone = owner < ids[place]
+    at, place = at[gone], place[gone]
+    new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
+    end = at[np.r_[new[1:] - 1, len(at) - 1].astype(np.int64)] + LENGTH if len(at) else at
+    pairs = np.stack([at[new], end], axis=1).astype("<i4")
+    own = text[place[new]]
+    order = np.argsort(own, kind="stable")
+    own, pairs = own[order], pairs[order]
+    g = _groups(own)
+    blobs = [pairs[x:y].tobytes() for x, y in zip(g, np.r_[g[1:], len(own)], strict=True)]
+    return pa.record_batch([pa.array(text_ids[own[g]], pa.int64()), pa.array(text_hs[own[g]], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "h", "spans"])
+
+
+def _marks_of_shard(rows: pa.Table) -> pa.Table:
+    """The marks of one shard's places: equal snippets are one class, runs of classes get a suffix array each and are merged."""
+    rows = rows.sort_by([("hash", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    ids, hs, begin = (rows.column(c).to_numpy() for c in ("doc_id", "h", "start"))
+    number: dict[bytes, int] = {}
+    cls = np.fromiter((number.setdefault(x, len(number)) for x in rows.column("snippet").to_pylist()), np.int64, rows.num_rows)
+    snippets, least = list(number), np.full(len(number), LAST_ID, np.int64)
+    np.minimum.at(least, cls, ids)
+    runs = [run_of(snippets[at : at + RUN_CLASSES], least[at : at + RUN_CLASSES]) for at in range(0, len(snippets), RUN_CLASSES)]
     merge(runs)
-    for at, (_, least, number) in zip(range(0, len(rows), RUN_CLASSES), runs, strict=True):
-        sizes = rows["snippet"].iloc[at : at + RUN_CLASSES].map(len).to_numpy() - LENGTH + 1
-        out += np.split(least[number], np.cumsum(sizes)[:-1])
-    return pd.DataFrame({"hash": rows["hash"].to_numpy(), "snippet": rows["snippet"].to_numpy(), "owners": out})
+    owner = np.concatenate([found[string] for _, found, string in runs])
+    size = np.fromiter(map(len, snippets), np.int64, len(snippets)) - LENGTH + 1
+    first, count = (np.cumsum(size) - size)[cls], size[cls]
+    owner = owner[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    texts, text = np.unique(np.stack([ids, hs], axis=1), axis=0, return_inverse=True)
+    return pa.Table.from_batches([_intervals(owner, ids, begin, count, text.ravel(), texts[:, 0], texts[:, 1])])
+
+
+def _marks_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same from rows doc_id, h, start, owners."""
+    for b in batches:
+        owners = [x.values.to_numpy() for x in b.column(3)]
+        count = np.fromiter(map(len, owners), np.int64, len(owners))
+        ids, hs, begin = (b.column(i).to_numpy() for i in range(3))
+        if len(owners):
+            yield _intervals(np.concatenate(owners), ids, begin, count, np.arange(len(ids)), ids, hs)
 
 
 def _release(spark) -> None:
@@ -311,26 +341,28 @@ def _places(firsts: DataFrame, buckets: int) -> DataFrame:
 
 
 def _marks(occurrences: DataFrame) -> DataFrame:
-    """doc_id, h, starts: packed starts of the strings that an earlier document has."""
+    """doc_id, h, spans: packed byte intervals that an earlier document has."""
     spark = occurrences.sparkSession
-    classes = materialize(occurrences.groupBy("hash", "snippet").agg(F.min("doc_id").alias("least")), "classes")
-    sizes = classes.groupBy("hash").agg(F.count("*").alias("n"))
+    sizes = occurrences.groupBy("hash").agg(F.count("*").alias("n"))
     crowded = materialize(sizes.where(F.col("n") > CROWDED).select("hash"), "crowded")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // SHARD_CLASSES))
     n_crowded = crowded.count()
     side = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
-    usual = classes.join(side, "hash", "left_anti") if n_crowded else classes
-    owners = usual.withColumn("shard", F.pmod("hash", F.lit(shards))).groupBy("shard").applyInPandas(_owners, "hash bigint, snippet binary, owners array<bigint>")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-occurrences.count() // SHARD_PLACES))
+    usual = occurrences.join(side, "hash", "left_anti") if n_crowded else occurrences
+    schema = "doc_id bigint, h bigint, spans binary"
+    marks = usual.withColumn("shard", F.pmod("hash", F.lit(shards))).groupBy("shard").applyInArrow(_marks_of_shard, schema)
     if n_crowded:
-        strings = classes.join(side, "hash", "left_semi").select("hash", "snippet", "least", F.explode(F.sequence(F.lit(0), F.octet_length("snippet") - LENGTH)).alias("i"))
+        busy = occurrences.join(side, "hash", "left_semi")
+        classes = busy.groupBy("hash", "snippet").agg(F.min("doc_id").alias("least"))
+        strings = classes.select("hash", "snippet", "least", F.explode(F.sequence(F.lit(0), F.octet_length("snippet") - LENGTH)).alias("i"))
         strings = strings.select("hash", "snippet", "least", "i", F.substring("snippet", F.col("i") + 1, F.lit(LENGTH)).alias("string"))
         first = strings.groupBy("string").agg(F.min("least").alias("owner"))
         each = strings.join(first, "string").groupBy("hash", "snippet").agg(F.array_sort(F.collect_list(F.struct("i", "owner"))).alias("x"))
-        owners = owners.union(each.select("hash", "snippet", F.transform("x", lambda s: s.owner)))
-    owned = materialize(owners, "owners").alias("o")
-    joined = occurrences.alias("c").join(owned, (F.col("c.hash") == F.col("o.hash")) & (F.col("c.snippet") == F.col("o.snippet"))).select("doc_id", "h", "start", "owners")
-    marked = joined.select("doc_id", "h", F.expr("filter(transform(owners, (x, i) -> if(x < doc_id, start + i, -1)), x -> x >= 0)").alias("starts"))
-    return materialize(marked.where(F.size("starts") > 0).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts")), "marks")
+        owners = materialize(each.select(F.col("hash").alias("_hash"), F.col("snippet").alias("_snippet"), F.transform("x", lambda s: s.owner).alias("owners")), "owners")
+        _release(spark)
+        joined = busy.join(owners, (F.col("hash") == F.col("_hash")) & (F.col("snippet") == F.col("_snippet"))).select("doc_id", "h", "start", "owners")
+        marks = marks.union(joined.mapInArrow(_marks_of_rows, schema))
+    return materialize(marks.groupBy("doc_id", "h").agg(F.collect_list("spans").alias("spans")), "marks")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -340,7 +372,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _with_marks(docs: DataFrame) -> DataFrame:
-    """_keyed docs with _copy (removed whole) and starts."""
+    """_keyed docs with _copy (removed whole) and spans."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
     base = keyed.select(F.col("_id").alias("doc_id"), F.col("_h").alias("h"), F.md5("_text").alias("m"), F.octet_length("_text").alias("n"))
@@ -356,26 +388,28 @@ def _with_marks(docs: DataFrame) -> DataFrame:
     places = _places(sources, buckets)
     _release(spark)
     occurrences = materialize(_snippets(sources.join(places, ["doc_id", "h"])), "occurrences")
+    drop_table(spark, places)
     _release(spark)
     marks = _marks(occurrences)
+    drop_table(spark, occurrences)
     _release(spark)
-    right = marks.select(F.col("doc_id").alias("_i"), F.col("h").alias("_g"), "starts")
+    right = marks.select(F.col("doc_id").alias("_i"), F.col("h").alias("_g"), "spans")
     out = keyed.join(right, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")), "left").drop("_i", "_g")
     gone = copies.select(F.col("doc_id").alias("_i"), F.col("h").alias("_g"), F.lit(True).alias("_copy"))
     gone = F.broadcast(gone) if small else gone
     return out.join(gone, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")), "left").drop("_i", "_g")
 
 
-def kept_bytes(data: bytes, starts: list[int] | None, copy: bool) -> tuple[bytes, int]:
-    """What remains, and the number of maximal removed runs."""
+def kept_bytes(data: bytes, spans: list[bytes] | None, copy: bool) -> tuple[bytes, int]:
+    """What remains, and the number of maximal removed runs. spans: packed [begin, end) intervals."""
     if copy and len(data) >= LENGTH:
         return b"", 1
-    if starts is None or not len(starts):
+    if not spans:
         return data, 0
-    change = np.zeros(len(data) + 1, np.int32)
-    s = np.unique(np.asarray(starts, np.int64))
-    change[s] += 1
-    np.add.at(change, s + LENGTH, -1)
+    pairs = np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2)
+    change = np.zeros(len(data) + 1, np.int64)
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs[:, 1], -1)
     gone = np.cumsum(change[:-1]) > 0
     runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), runs
@@ -387,14 +421,14 @@ def removals(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, starts, copy in zip(b.column(1), b.column(2), b.column(3), strict=True):
+            for text, spans, copy in zip(b.column(1), b.column(2), b.column(3), strict=True):
                 data = text.as_py().encode()
-                kept, runs = kept_bytes(data, starts.values.to_numpy() if starts.is_valid else None, bool(copy.as_py()))
+                kept, runs = kept_bytes(data, spans.as_py(), bool(copy.as_py()))
                 rows.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.record_batch([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_marks(docs.select("doc_id", "text")).select("doc_id", "_text", "starts", "_copy").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _with_marks(docs.select("doc_id", "text")).select("doc_id", "_text", "spans", "_copy").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def strip(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -404,10 +438,10 @@ def strip(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = []
-            for own, text, starts, copy in zip(b.column(at), b.column(len(names)), b.column(len(names) + 1), b.column(len(names) + 2), strict=True):
-                kept, _ = kept_bytes(text.as_py().encode(), starts.values.to_numpy() if starts.is_valid else None, bool(copy.as_py()))
+            for own, text, spans, copy in zip(b.column(at), b.column(len(names)), b.column(len(names) + 1), b.column(len(names) + 2), strict=True):
+                kept, _ = kept_bytes(text.as_py().encode(), spans.as_py(), bool(copy.as_py()))
                 new.append(kept.decode("utf-8", "ignore") if own.is_valid else None)
             yield pa.record_batch([pa.array(new, b.column(at).type) if i == at else b.column(i) for i in range(len(names))], names=names)
 
     marked = _with_marks(docs if text_col == "text" else docs.withColumn("text", F.col(text_col)))
-    return marked.select(*names, "_text", "starts", "_copy").mapInArrow(run, docs.schema)
+    return marked.select(*names, "_text", "spans", "_copy").mapInArrow(run, docs.schema)
