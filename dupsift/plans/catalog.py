@@ -216,10 +216,10 @@ def tf_cosine_pairs(spark, d):
     return _token_pairs(spark, d).select("id_1", "id_2", F.round(T.frequency_cosine(F.col("tokens_1"), F.col("tokens_2")), 6).alias("tf_cosine"))
 
 
-@query(f"""WITH {_TPAIRS}, c AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(tokens) AS token FROM tokens) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM c GROUP BY token),
-w AS (SELECT id, token, n * (ln((1 + (SELECT count(*) FROM tokens)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN df USING (token)), l AS (SELECT id, sqrt(sum(w * w)) AS l FROM w GROUP BY id),
-both_have AS (SELECT id_1, id_2, unnest(list_intersect(t_1, t_2)) AS token FROM tp),
-x AS (SELECT h.id_1, h.id_2, sum(a.w * b.w) AS s FROM both_have h JOIN w a ON a.id = h.id_1 AND a.token = h.token JOIN w b ON b.id = h.id_2 AND b.token = h.token GROUP BY ALL)
+# The tokens of a sequence are distinct, so a weight is the token's idf.
+@query(f"""WITH {_TPAIRS}, c AS (SELECT id, unnest(tokens) AS token FROM tokens), idf AS (SELECT token, ln((1 + (SELECT count(*) FROM tokens)) / (1 + count(*))::DOUBLE) + 1 AS w FROM c GROUP BY token),
+l AS (SELECT id, sqrt(sum(w * w)) AS l FROM c JOIN idf USING (token) GROUP BY id), common AS (SELECT id_1, id_2, unnest(list_intersect(t_1, t_2)) AS token FROM tp),
+x AS (SELECT id_1, id_2, sum(w * w) AS s FROM common JOIN idf USING (token) GROUP BY ALL)
 SELECT tp.id_1, tp.id_2, round(coalesce(s / (a.l * b.l), 0.0), 6) AS tfidf_cosine FROM tp LEFT JOIN x USING (id_1, id_2) JOIN l a ON a.id = tp.id_1 JOIN l b ON b.id = tp.id_2""")
 def tfidf_cosine_pairs(spark, d):
     t = B.flow_tokens(spark, d)
