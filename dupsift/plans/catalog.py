@@ -152,12 +152,14 @@ def pair_split(spark, d):
     return pairs.split(B.vector_pairs(spark, d).select("id_1", "id_2", "is_duplicate"), "is_duplicate")
 
 
-@query("SELECT id AS place, i, j FROM (SELECT row_number() OVER (ORDER BY a.vec_id, b.vec_id) - 1 AS id, a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id < 200 AND b.vec_id < 200)")
+@query(f"""WITH {B.PAIRS}, o AS (SELECT least(id_1, id_2) AS i, greatest(id_1, id_2) AS j, (SELECT count(*) FROM emb) AS n FROM pairs)
+SELECT i, j, (i * (2 * n - i - 1) // 2 + j - i - 1)::BIGINT AS place FROM o""")
 def pair_index(spark, d):
-    places = spark.range(200 * 199 // 2).select(F.col("id").alias("place"))
-    i, j = V.pair_of_index(F.col("place"), 200)
-    found = places.select(i.alias("i"), j.alias("j"))
-    return found.select(V.pair_index(F.col("i"), F.col("j"), 200).alias("place"), "i", "j")
+    """The condensed place of each pair, and the pair got back from the place."""
+    n = B.table(spark, d, "embeddings").count()
+    placed = B.vector_pairs(spark, d).select(V.pair_index(F.col("id_1"), F.col("id_2"), n).alias("place"))
+    i, j = V.pair_of_index(F.col("place"), n)
+    return placed.select(i.alias("i"), j.alias("j"), "place")
 
 
 # --- Similarities of pairs
