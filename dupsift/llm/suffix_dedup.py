@@ -35,9 +35,9 @@ from .common import drop_table, materialize
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in one block, places for a shard, places beyond which an anchor isn't put into a shard, copies that are broadcast.
-BLOCK_BYTES, SHARD_PLACES, CROWDED, BROADCAST_ROWS = 8 << 20, 150_000, 5_000, 500_000
+BLOCK_BYTES, SHARD_PLACES, CROWDED, BROADCAST_ROWS = 2 << 20, 50_000, 5_000, 500_000
 #: Classes of one run of a shard.
-RUN_CLASSES = 20_000
+RUN_CLASSES = 10_000
 LAST_ID = (1 << 63) - 1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
