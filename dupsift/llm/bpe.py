@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 #: Entries of a worker's caches (pieces, pairs); full caches are emptied, which changes no result.
-MOST_CACHED = 600_000
+MOST_CACHED = 300_000
 NEVER = 1 << 40
-#: Texts, or characters if fewer, that are encoded together.
-TOGETHER, CHARS = 4096, 1 << 22
+#: Texts, or bytes if fewer, that are encoded together.
+TOGETHER, BYTES = 4096, 1 << 21
 
 
 class PrefixBPE:
@@ -212,14 +213,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
             at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and end - at < TOGETHER and chars < CHARS:
-                    chars += len(texts[end])
+            while at < len(sizes):
+                end, size = at, 0
+                while end < len(sizes) and end - at < TOGETHER and size < BYTES:
+                    size += sizes[end]
                     end += 1
-                coded = bpe.encode_all(texts[at:end])
+                coded = bpe.encode_all([t or "" for t in b.column(1).slice(at, end - at).to_pylist()])
                 columns = [
                     b.column(0).slice(at, end - at),
                     pa.array([len(x) for x in coded], pa.int64()),
