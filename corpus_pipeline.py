@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from dupsift.llm import bpe, decontaminate, kneser_ney, secret_scan, simhash
 from dupsift.llm.common import materialize
 
+#: Least Jaccard similarity of five-word shingles of near copies.
+SIMILAR = 0.8
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go."""
@@ -19,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return simhash.keep_first(docs)
+    """One document of each near-duplicate component stays: close fingerprints, or five-word shingles of Jaccard similarity 0.8 or more."""
+    return simhash.keep_first(docs, similar=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

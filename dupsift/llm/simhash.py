@@ -8,12 +8,18 @@ exact equi-join key (six keys of 32 bits). A crowded key isn't paired: its finge
 and themselves, and those that meet at one of these points, at most 65, are linked to the least of them. Two fingerprints
 within two bits always meet so, hence no link is lost and no group makes its square in pairs.
 
+Near copies with a Jaccard similarity of 0.8 mostly differ in more bits than any exact key can bridge. With `similar`, texts whose sets of
+SHINGLE-word shingles have at least that Jaccard similarity are linked too, exactly: in any one order of all shingles, two such sets share one
+among the first n - ceil(similar n) + 1 of each, so these prefixes are the join keys, and every pair found is verified on the whole sets.
+Shingles that crowd the prefixes come last in the order, in a second pass.
+
 Null text has no words; its fingerprint is zero. Repeated rows share a component. A null doc_id never names a component unless all ids of the
 component are null. Extra columns are dropped by `near_duplicates` and kept by `keep_first`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +35,16 @@ BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
 #: A key with more fingerprints goes the other way.
 CROWDED = 16
 BROADCAST_ROWS = 500_000
+#: Words of a shingle for Jaccard similarity; a prefix shingle of more texts is moved to the end of the order, of at most HOT such.
+SHINGLE, COMMON, HOT = 5, 30, 200_000
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Of one text: a bit is set if it is set in over half of the hashes of its word shingles."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's word shingles, in its order; a shorter text is one shingle."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
@@ -44,7 +52,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     k = min(words, len(parts))
     n = len(parts) - k + 1
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Of one text: a bit is set if it is set in over half of the hashes of its word shingles."""
+    hashes = shingles(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, _CHUNK):
         counts += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -103,20 +119,82 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.union(met.select(F.explode("all").alias("a"), "b").where("a <> b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, h, fp, component_id (the least doc_id reachable over links) for each row."""
+def _prefixes(texts: DataFrame, similar: float, hot: np.ndarray) -> DataFrame:
+    """h, size (of the shingle set) and key for each shingle of the prefixes; hot shingles come last in the order."""
+    last = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part, keys, sizes = b.slice(at, 256), [], []
+                for t in part.column(1):
+                    own = np.unique(shingles(t.as_py(), SHINGLE))
+                    common = np.isin(own, last.value)
+                    n = len(own)
+                    keys.append(np.concatenate([own[~common], own[common]])[: n - math.ceil(similar * n - 1e-9) + 1 if n else 0])
+                    sizes.append(n)
+                taken = [len(k) for k in keys]
+                h, key = np.repeat(part.column(0).to_numpy(zero_copy_only=False), taken), np.concatenate(keys).view(np.int64)
+                yield pa.record_batch([pa.array(h, pa.int64()), pa.array(np.repeat(sizes, taken), pa.int64()), pa.array(key, pa.int64())], names=["h", "size", "key"])
+
+    return texts.mapInArrow(run, "h bigint, size bigint, key bigint").distinct()
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """h and the set of shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                own = [np.unique(shingles(t.as_py(), SHINGLE)).view(np.int64) for t in part.column(1)]
+                yield pa.record_batch([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["h", "own"])
+
+    return texts.mapInArrow(run, "h bigint, own array<bigint>")
+
+
+def similar_texts(docs: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of text hashes, a < b, of all texts whose shingle sets have a Jaccard similarity of at least similar."""
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
+    keyed = materialize(_prefixes(texts, similar, np.zeros(0, np.uint64)), "prefixes")
+    counted = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    hot = [r["key"] for r in counted.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(HOT).collect()]
+    if hot:
+        keyed = materialize(_prefixes(texts, similar, np.array(hot, np.int64).view(np.uint64)), "prefixes2")
+    entries = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "shared")
+    a, b = entries.alias("a"), entries.alias("b")
+    close = (F.col("a.size") >= F.col("b.size") * similar - 1e-9) & (F.col("b.size") >= F.col("a.size") * similar - 1e-9)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & close).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
+    pairs = materialize(pairs, "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    needed = materialize(needed, "needed")
+    chosen = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "h", "left_semi")
+    sets = materialize(_sets(chosen).dropDuplicates(["h"]), "sets")
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("own").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similar * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, similar: float | None = None) -> DataFrame:
+    """doc_id, h, fp, component_id (the least doc_id reachable over links; with similar, also over links of similar texts) for each row."""
     own = materialize(fingerprints(docs, words), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = materialize(components(links(distinct)).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least"), "roots")
+    edges = links(distinct)
+    if similar is not None:
+        of_text = own.select("h", "fp").distinct()
+        pairs = materialize(similar_texts(docs, similar), "similar")
+        pairs = pairs.join(of_text.select(F.col("h").alias("a"), F.col("fp").alias("x")), "a").join(of_text.select(F.col("h").alias("b"), F.col("fp").alias("y")), "b")
+        edges = edges.union(pairs.select("x", "y"))
+    roots = materialize(components(edges).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least"), "roots")
     merged = roots.join(roots.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     named = distinct.join(merged, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return own.join(named, "fp").select("doc_id", "h", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 3, similar: float | None = None) -> DataFrame:
     """docs with one document of each component: that of the least doc_id (then of the least text hash). Columns as they are. The documents
     to drop are broadcast up to BROADCAST_ROWS counted rows; beyond that the join shuffles."""
-    classes = materialize(near_duplicates(docs, words).groupBy("doc_id", "h", "component_id").agg(F.count("*").alias("n")), "classes")
+    classes = materialize(near_duplicates(docs, words, similar).groupBy("doc_id", "h", "component_id").agg(F.count("*").alias("n")), "classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
     first = classes.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("texts"), F.max("n").alias("rows"))
     many = first.where("texts > 1").select(F.col("component_id").alias("c"), "first")

@@ -13,7 +13,7 @@ import xxhash
 
 from dupsift.llm import bpe, secret_scan, sharding, simhash, suffix_dedup
 
-from .conftest import rows_of
+from .conftest import prose, rows_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -184,6 +184,53 @@ def test_keep_first(docs, no_docs):
     assert simhash.keep_first(no_docs).count() == 0
 
 
+def near_classes(texts):
+    """The first place of each component of links within two bits or of five-word Jaccard >= 0.8, and how many of the latter are further than two bits."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    fps = [plain_fingerprint(t) for t in texts]
+    root, far = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            bits, shared = (fps[i] ^ fps[j]).bit_count(), len(sets[i] & sets[j])
+            near = shared > 0 and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)
+            far += near and bits > 2
+            if near or bits <= 2:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return sorted(set(root)), far
+
+
+@pytest.mark.parametrize("common", [1, 30])
+def test_keep_first_similar(spark, monkeypatch, common):
+    """Near copies many bits apart go, by brute-force Jaccard of five-word shingles; with and without crowded prefixes."""
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rng = random.Random(11)
+    base = [prose(rng, rng.randint(30, 150)).split() for _ in range(25)]
+    rows = [" ".join(w) for w in base]
+    for w in base:
+        for edits in (1, 2, 4):
+            copy = list(w)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = "zz" + str(rng.randrange(1000))
+            rows.append(" ".join(copy))
+    rows += [rows[0], "", "one two", "one three", None]
+    want, far = near_classes(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert far > 10 and sorted(r["doc_id"] for r in simhash.keep_first(docs, similar=0.8).collect()) == want
+
+
+def test_pipeline_stage_near_copies(spark):
+    """The pipeline's stage against brute force over all pairs."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want, far = near_classes([t for _, t in rows])
+    assert far and sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, d).collect()) == [rows[i][0] for i in want]
+
+
 def check_shards(rows, sources, shards):
     assert sorted(((r.doc_id, r.size, r.text_crc32) for r in rows), key=str) == sorted(((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in sources), key=str)
     by = {}
