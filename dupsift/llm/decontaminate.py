@@ -5,7 +5,8 @@ words. Every window of WINDOW template words of a document is hashed and joined
 item with matching windows on one diagonal are then compared slot by slot: the value that an item has in a slot must go to one value in
 the document wherever it recurs. So a question with other numbers or names, put in consistently, is found, and text that
 merely has the same shape with contradictory fillings isn't. Documents are also matched with their names left as words, for
-copies in lower case.
+copies in lower case, and in a third view, where capitalised words at the start of sentences and texts are names too and a run of them, as a name
+of several words, is one placeholder. Items with fewer than WINDOW words in that view match in the first two only: little but placeholders would be left.
 
 The joins broadcast the benchmark's windows, or the ids of the matched documents, only up to BROADCAST_ROWS counted rows; beyond that they shuffle. Null text has
 no words. Items with fewer words than WINDOW match as one window of their own length; items without words match nothing. Rows with one
@@ -25,6 +26,9 @@ UNITS = "km cm mm kg mg lb lbs oz ml hours hour minutes minute seconds second da
 #: Placeholders of a number, a unit and a name, and a mark inside a number's value: private characters, so no word has them.
 N, U, P, INSIDE = "\ue000", "\ue001", "\ue002", "\ue003"
 _NUMBER, _NAME = r"\p{N}+(?:[.,:/]\p{N}+)*%?", r" (?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+"
+_RUN = rf"(?<![\p{{L}}\p{{N}}{N}{U}])\p{{Lu}}\p{{Ll}}+(?:{INSIDE}\p{{Lu}}\p{{Ll}}+)*"
+#: Views: names left as words, names inside sentences, names anywhere with runs joined.
+PLAIN, NAMED, EVERY = 0, 1, 2
 _UNIT = rf"(?<={N} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _GAP = rf"[^\p{{L}}\p{{N}}{N}{U}{P}{INSIDE}]+"
 
@@ -42,11 +46,24 @@ def _named(typed: Column) -> Column:
     return F.regexp_replace(typed, _NAME, f" {P}")
 
 
-def _raw(text: Column, names: bool) -> Column:
-    """The text with each placeholder beside its value; it has the words of the template, one for one."""
+def _joined(text: Column) -> Column:
+    """Blanks and hyphens inside runs of capitalised words become marks."""
+    return F.regexp_replace(text, r"(?<=(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{1,40})[ -](?=\p{Lu}\p{Ll})", INSIDE)
+
+
+def _every(text: Column) -> Column:
+    """Numbers, units and all runs of capitalised words as placeholders."""
+    return F.regexp_replace(_typed(_joined(text)), _RUN, P)
+
+
+def _raw(text: Column, names: bool | int) -> Column:
+    """The text with each placeholder beside its value; it has the words of the template (of the view `names`), one for one."""
+    text = _joined(text) if names == EVERY else text
     marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\p{N})[.,:/](?=\p{N})", INSIDE), r"(?<=\p{N})%", "")
     marked = F.regexp_replace(marked, rf"(\p{{N}}+(?:{INSIDE}\p{{N}}+)*)", f"{N}$1")
     marked = F.regexp_replace(marked, rf"(?<=\p{{N}} )({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{U}$1{U}")
+    if names == EVERY:
+        return F.regexp_replace(marked, f"({_RUN})", f"{P}$1")
     return F.regexp_replace(marked, r" (?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}+)", f" {P}$1") if names else marked
 
 
@@ -71,6 +88,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         .withColumn("typed", _typed(F.col("text")))
         .withColumn("named", _words(F.lower(_named(F.col("typed")))))
         .withColumn("plain", _words(F.lower(F.col("typed"))))
+        .withColumn("every", _words(F.lower(_every(F.col("text")))))
         .where(F.size("plain") > 0)
         .withColumn("uid", F.xxhash64("item_id", "text"))
         .dropDuplicates(["uid"]),
@@ -80,26 +98,27 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     sizes = [window, *short]
     of_items = [
         items.where((F.size(view) == size) if size < window else (F.size(view) >= window)).select(
-            "uid", F.size(view).alias("words"), F.lit(view == "named").alias("names"), F.posexplode(_windows(F.col(view), size)).alias("ipos", "v")
-        ).select("uid", "words", "names", "ipos", F.xxhash64("v", F.lit(size)).alias("w"))
+            "uid", F.size(view).alias("words"), F.posexplode(_windows(F.col(view), size)).alias("ipos", "v")
+        ).select("uid", "words", "ipos", F.xxhash64("v", F.lit(size), F.lit(view == "every")).alias("w"))
         for size in sizes
-        for view in ("named", "plain")
+        for view in ("named", "plain", "every")
+        if size >= window or view != "every"
     ]
     grams = of_items[0]
     for x in of_items[1:]:
         grams = grams.union(x)
-    grams = materialize(grams.groupBy("uid", "words", "ipos", "w").agg(F.max("names").alias("names")), "grams")
+    grams = materialize(grams.distinct(), "grams")
     n_grams = grams.count()
 
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), _typed(F.col("text")).alias("typed"))
-    keyed = keyed.select("doc_id", "h", "typed", _named(F.col("typed")).alias("named"))
-    with_names, without = F.struct(F.lit(True).alias("doc_names"), F.col("named").alias("view")), F.struct(F.lit(False).alias("doc_names"), F.col("typed").alias("view"))
-    # One pass over the texts: a document without names has one view, others two.
-    both = F.when(F.col("named") == F.col("typed"), F.array(with_names)).otherwise(F.array(with_names, without))
-    words = keyed.select("doc_id", "h", F.explode(both).alias("x")).select("doc_id", "h", "x.doc_names", _words(F.lower("x.view")).alias("words"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), _typed(F.col("text")).alias("typed"), _every(F.col("text")).alias("every"))
+    keyed = keyed.select("doc_id", "h", "typed", _named(F.col("typed")).alias("named"), "every")
+    view = lambda k, c: F.struct(F.lit(k).alias("doc_names"), F.col(c).alias("view"))
+    # One pass over the texts: a document without names inside sentences has two views, others three.
+    views = F.when(F.col("named") == F.col("typed"), F.array(view(NAMED, "named"), view(EVERY, "every"))).otherwise(F.array(view(NAMED, "named"), view(PLAIN, "typed"), view(EVERY, "every")))
+    words = keyed.select("doc_id", "h", F.explode(views).alias("x")).select("doc_id", "h", "x.doc_names", _words(F.lower("x.view")).alias("words"))
     exploded = None
     for size in sizes:
-        each = words.select("doc_id", "h", "doc_names", F.posexplode(_windows(F.col("words"), size)).alias("dpos", "v")).select("doc_id", "h", "doc_names", "dpos", F.xxhash64("v", F.lit(size)).alias("w"))
+        each = (words if size >= window else words.where(F.col("doc_names") != EVERY)).select("doc_id", "h", "doc_names", F.posexplode(_windows(F.col("words"), size)).alias("dpos", "v")).select("doc_id", "h", "doc_names", "dpos", F.xxhash64("v", F.lit(size), F.col("doc_names") == EVERY).alias("w"))
         exploded = each if exploded is None else exploded.union(each)
     side = F.broadcast(grams) if n_grams <= BROADCAST_ROWS else grams
     # One diagonal: the same offset between the places in the document and in the item.
@@ -118,12 +137,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     right = found.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"))
     chosen = texts.join(F.broadcast(right) if n_found <= BROADCAST_ROWS else right, (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("d2")), "left_semi").dropDuplicates(["doc_id", "h"])
 
-    def slots(rows: DataFrame, keys: list[str], names: bool) -> DataFrame:
+    def slots(rows: DataFrame, keys: list[str], names: int) -> DataFrame:
         out = rows.select(*keys, F.posexplode(_words(_raw(F.col("text"), names))).alias("pos", "value"))
         return out.where(F.substring("value", 1, 1).isin(N, U, P)).withColumn("names", F.lit(names))
 
-    doc_slots = slots(chosen, ["doc_id", "h"], True).union(slots(chosen, ["doc_id", "h"], False)).select("doc_id", "h", F.col("pos").alias("dpos"), F.lower("value").alias("doc_value"), F.col("names").alias("doc_names"))
-    item_slots = slots(items, ["uid"], True).union(slots(items, ["uid"], False)).select("uid", F.col("pos").alias("ipos"), F.lower("value").alias("item_value"), F.col("names").alias("item_names"))
+    def all_slots(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return slots(rows, keys, PLAIN).union(slots(rows, keys, NAMED)).union(slots(rows, keys, EVERY))
+
+    doc_slots = all_slots(chosen, ["doc_id", "h"]).select("doc_id", "h", F.col("pos").alias("dpos"), F.lower("value").alias("doc_value"), F.col("names").alias("doc_names"))
+    item_slots = all_slots(items, ["uid"]).select("uid", F.col("pos").alias("ipos"), F.lower("value").alias("item_value"), F.col("names").alias("item_names"))
     filled = (
         hits.withColumn("item_names", F.col("doc_names"))
         .join(item_slots, ["uid", "item_names"])

@@ -43,6 +43,26 @@ def test_decontamination_edges(spark, no_docs):
     assert decontaminate.verdicts(no_docs, none).count() == 0
 
 
+def test_renamed_at_starts_and_by_two_words(spark):
+    start = "Anna has 12 apples and 3 pears. Anna gives 4 apples to Tom. How many apples does Anna have now?"
+    _, _, found = contaminated(spark, [start.replace("Anna", "Maria").replace("12", "17"), start, start.replace("Anna", "Mary Ann"), start.replace("Anna gives", "Maria gives")], start)
+    assert set(found) == {0, 1, 2} and [found[i]["exact"] for i in range(3)] == [0, 1, 0]
+    _, _, found = contaminated(spark, [QUESTION.replace("Anna", "Mary Ann"), QUESTION.replace("Anna", "Jean-Luc"), QUESTION.replace("driver Anna", "driver Mary Ann")])
+    assert set(found) == {0, 1}
+    _, _, found = contaminated(spark, ["Tom sleeps", "Mary Ann likes Paris"], "Anna Berlin")
+    assert not found
+
+
+def test_every_slots_line_up(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["5% of 3.5 km, in 12:30 London Bridge abc123 7 Paris 1,000 hours Tom", "Mary Ann Smith-Jones met 5Bob, Tom5 McDonald Tom. Bob said, Alice 9 Days Élan", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    text = F.coalesce("text", F.lit(""))
+    for r in df.select(F.size(decontaminate._words(decontaminate._every(text))).alias("a"), F.size(decontaminate._words(decontaminate._raw(text, decontaminate.EVERY))).alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
 def test_slots_line_up(spark):
     """The template and the text with values have the same number of words."""
     from pyspark.sql import functions as F
