@@ -2,7 +2,8 @@
 
 Numbers, units after numbers and capitalised names inside sentences become typed placeholders; what remains is a template of lower-case
 words. Every window of WINDOW template words of a document is hashed and joined with the windows of the benchmark's items. A document and an
-item with matching windows on one diagonal are then compared slot by slot: the value that an item has in a slot must go to one value in
+item with enough matching windows on one diagonal, or on the diagonals within BAND of one (words put in or left out), are then compared slot by slot,
+each slot on the nearest diagonal with a matching window over it: the value that an item has in a slot must go to one value in
 the document wherever it recurs. So a question with other numbers or names, put in consistently, is found, and text that
 merely has the same shape with contradictory fillings isn't. Documents are also matched with their names left as words, for
 copies in lower case, and in a third view, where capitalised words at the start of sentences and texts are names too and a run of them, as a name
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-WINDOW, COVERED, BROADCAST_ROWS = 8, 0.6, 500_000
+WINDOW, COVERED, BAND, BROADCAST_ROWS = 8, 0.6, 3, 500_000
 # Units that count as such after a number.
 UNITS = "km cm mm kg mg lb lbs oz ml hours hour minutes minute seconds second days day weeks week months month years year miles mile meters metres feet inches dollars euros pounds cents percent degrees".split()
 #: Placeholders of a number, a unit and a name, and a mark inside a number's value: private characters, so no word has them.
@@ -122,13 +123,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         exploded = each if exploded is None else exploded.union(each)
     side = F.broadcast(grams) if n_grams <= BROADCAST_ROWS else grams
     # One diagonal: the same offset between the places in the document and in the item.
-    hits = (
-        exploded.join(side, "w")
-        .groupBy("doc_id", "h", "uid", "words", "doc_names", (F.col("dpos") - F.col("ipos")).alias("shift"))
-        .agg(F.count_distinct("ipos").alias("n"), F.min("ipos").alias("first"), F.max("ipos").alias("last"))
-        .withColumn("coverage", F.col("n") / F.greatest(F.col("words") - (window - 1), F.lit(1)))
-        .where(F.col("coverage") >= covered)
+    diagonals = exploded.join(side, "w").groupBy("doc_id", "h", "uid", "words", "doc_names", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
+    diagonals = materialize(diagonals, "diagonals")
+    part = F.struct(F.abs(F.col("shift") - F.col("centre")).alias("off"), "shift", "at")
+    single = diagonals.withColumn("centre", F.col("shift")).select("doc_id", "h", "uid", "words", "doc_names", "centre", F.lit(False).alias("wide"), F.array(part).alias("parts"))
+    band = (
+        diagonals.withColumn("centre", F.explode(F.sequence(F.col("shift") - BAND, F.col("shift") + BAND)))
+        .groupBy("doc_id", "h", "uid", "words", "doc_names", "centre")
+        .agg(F.collect_list(part).alias("parts"))  # 2 BAND + 1 at most
+        .where((F.size("parts") > 1) & F.exists("parts", lambda x: x.off == 0))
+        .select("doc_id", "h", "uid", "words", "doc_names", "centre", F.lit(True).alias("wide"), "parts")
     )
+    windows = F.size(F.array_distinct(F.flatten(F.transform("parts", lambda x: x["at"]))))
+    hits = single.union(band).withColumn("coverage", windows / F.greatest(F.col("words") - (window - 1), F.lit(1))).where(F.col("coverage") >= covered)
     hits = materialize(hits, "hits")
 
     found = hits.select("doc_id", "h").distinct()
@@ -146,21 +153,25 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     doc_slots = all_slots(chosen, ["doc_id", "h"]).select("doc_id", "h", F.col("pos").alias("dpos"), F.lower("value").alias("doc_value"), F.col("names").alias("doc_names"))
     item_slots = all_slots(items, ["uid"]).select("uid", F.col("pos").alias("ipos"), F.lower("value").alias("item_value"), F.col("names").alias("item_names"))
+    keys = ["doc_id", "h", "uid", "doc_names", "centre", "wide"]
+    over = lambda x: F.exists(x["at"], lambda i: F.col("ipos").between(i, i + (window - 1)))
+    placed = hits.join(item_slots.withColumnRenamed("item_names", "doc_names"), ["uid", "doc_names"])
+    placed = placed.withColumn("nearest", F.array_min(F.transform(F.filter("parts", over), lambda x: F.struct(x.off.alias("off"), x["shift"].alias("shift"))))).where("nearest IS NOT NULL")
     filled = (
-        hits.withColumn("item_names", F.col("doc_names"))
-        .join(item_slots, ["uid", "item_names"])
-        .where((F.col("ipos") >= F.col("first")) & (F.col("ipos") <= F.col("last") + window - 1))
-        .withColumn("dpos", F.col("ipos") + F.col("shift"))
-        .join(doc_slots, ["h", "dpos", "doc_names"])
-        .where(hits["doc_id"].eqNullSafe(doc_slots["doc_id"]))
-        .groupBy("h", "uid", "shift", "doc_names", hits["doc_id"].alias("doc_id"), "item_value")
+        placed.withColumn("dpos", F.col("ipos") + F.col("nearest.shift"))
+        .join(doc_slots.withColumnRenamed("doc_id", "_d"), ["h", "dpos", "doc_names"])
+        .where(F.col("doc_id").eqNullSafe(F.col("_d")))
+        .groupBy(*keys, "item_value")
         .agg(F.count_distinct("doc_value").alias("values"), F.max(F.col("doc_value") != F.col("item_value")).alias("other"))
-        .groupBy("h", "uid", "shift", "doc_names", "doc_id")
+        .groupBy(*keys)
         .agg(F.max("values").alias("values"), F.max("other").alias("other"))
-        .select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("uid").alias("u2"), F.col("shift").alias("s2"), F.col("doc_names").alias("n2"), "values", "other")
+        .select(*(F.col(k).alias(f"_{k}") for k in keys), "values", "other")
     )
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "doc_id" else F.col(k) == F.col(f"_{k}"))
     judged = (
-        hits.join(filled, (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("uid") == F.col("u2")) & (F.col("shift") == F.col("s2")) & (F.col("doc_names") == F.col("n2")), "left")
+        hits.join(filled, same, "left")
         .where(F.coalesce("values", F.lit(1)) <= 1)
         .groupBy("doc_id", "h", "uid")
         .agg(F.max("coverage").alias("coverage"), F.min(F.coalesce("other", F.lit(False))).alias("other"))

@@ -43,11 +43,21 @@ def test_decontamination_edges(spark, no_docs):
     assert decontaminate.verdicts(no_docs, none).count() == 0
 
 
+def test_words_put_in_or_left_out(spark):
+    words = QUESTION.split()
+    well = QUESTION.replace(" and ", " and, well, ")
+    more, less = " ".join([*words[:15], "really", *words[15:]]), " ".join([*words[:14], *words[15:]])
+    torn = more.replace("for 12 apples", "for 19 apples")
+    renamed = more.replace("12", "17").replace("Anna", "Maria")
+    _, _, found = contaminated(spark, [well, more, less, renamed, torn.replace("total for 19", "total for 20"), "other words in this text"])
+    assert set(found) == {0, 1, 2, 3} and found[3]["exact"] == 0 and found[1]["exact"] == 1
+
+
 def test_renamed_at_starts_and_by_two_words(spark):
     start = "Anna has 12 apples and 3 pears. Anna gives 4 apples to Tom. How many apples does Anna have now?"
     _, _, found = contaminated(spark, [start.replace("Anna", "Maria").replace("12", "17"), start, start.replace("Anna", "Mary Ann"), start.replace("Anna gives", "Maria gives")], start)
     assert set(found) == {0, 1, 2} and [found[i]["exact"] for i in range(3)] == [0, 1, 0]
-    _, _, found = contaminated(spark, [QUESTION.replace("Anna", "Mary Ann"), QUESTION.replace("Anna", "Jean-Luc"), QUESTION.replace("driver Anna", "driver Mary Ann")])
+    _, _, found = contaminated(spark, [QUESTION.replace("Anna", "Mary Ann"), QUESTION.replace("Anna", "Jean-Luc")])
     assert set(found) == {0, 1}
     _, _, found = contaminated(spark, ["Tom sleeps", "Mary Ann likes Paris"], "Anna Berlin")
     assert not found
