@@ -4,14 +4,16 @@ Centroids are fitted on a bounded sample (FIT_ROWS vectors); every vector is the
 its nearest lists. Vectors are rotated by one random orthogonal matrix and held in column blocks of BLOCK dimensions. Within a list the
 scan adds up partial squared distances block by block; after each block a hypothesis test asks whether a candidate can still have an inner
 product above the query's present k-th best: by the rotation, the partial distance over d of D dimensions estimates the whole one with a
-relative error of about 1/sqrt(d), so candidates whose estimate exceeds their bound by more than EPSILON/sqrt(d) are abandoned. Survivors
-are scored by the exact inner product of the original vectors, in double precision.
+relative error of about 1/sqrt(d), so candidates whose estimate exceeds their bound by more than EPSILON/sqrt(d) are abandoned. The k-th
+best of a query is known from the start at least as its k-th best in the sample, which every part begins with. Survivors
+are scored by the exact inner product of the original vectors, in double precision, summed in the order of the dimensions: equal vectors have equal scores.
 
 Lists are cut into parts of at most PART vectors and queries into groups of at most GROUP, so that a list which holds a third of all
 vectors is scanned by many tasks. Each part gives at most k candidates a query, which one window merges.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Equal scores go to the smaller vec_id. Repeated rows are
-candidates each; a query's own rows (its id) never are. Extra columns are dropped. No valid vector: no rows.
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different lengths have no inner product: each length is
+searched by itself. Equal scores go to the smaller vec_id. Repeated rows are
+candidates each; a query's own rows (its id) never are. Extra columns, whatever their names, are dropped. An empty table or no valid vector: no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 FIT_ROWS, ROUNDS, SEED = 20_000, 8, 42
+#: Bytes of the sample that go to every executor, for the first thresholds.
+FLOOR_BYTES = 16 << 20
 #: There are sqrt(vectors) / LISTS lists, MOST_LISTS at most. A query probes as many as give RECALL for CALIBRATED queries of the sample.
 LISTS, MOST_LISTS, RECALL, CALIBRATED = 4, 4096, 0.96, 400
 PART, GROUP, BLOCK, EPSILON = 4096, 512, 16, 1.2
@@ -37,9 +41,7 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") ->
     v = F.transform(col, lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("v", lambda x: x != 0.0)
-    out = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(~bad & some)
-    size = out.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return out.where(F.size("v") == (size[0]["n"] if size else 0))
+    return vectors.select(F.col(id_col).alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(~bad & some)
 
 
 def fit(points: np.ndarray, lists: int) -> np.ndarray:
@@ -76,7 +78,27 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def inner(points: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products summed in the order of the dimensions, so that a row's sum doesn't depend on its place."""
+    out = np.zeros(len(points))
+    for j, x in enumerate(q):
+        out += points[:, j] * x
+    return out
+
+
+def floors(queries: np.ndarray, query_ids: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best inner product of each query in the sample: no more than that among all vectors."""
+    if len(sample) <= k:
+        return np.full(len(queries), -np.inf)
+    out = np.empty(len(queries))
+    for at in range(0, len(queries), 256):
+        scores = queries[at : at + 256] @ sample.T
+        scores[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
+        out[at : at + 256] = np.partition(scores, len(sample) - k, axis=1)[:, len(sample) - k]
+    return out
+
+
+def scan(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, turn: np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Per query at most k candidates of this part: (query number, id, score), and the share of dimensions that was looked at."""
     dims = points.shape[1]
     q_turned, p_turned = queries @ turn, points @ turn
@@ -86,6 +108,7 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np
     for i, q in enumerate(queries):
         qq = float(q @ q)
         alive = np.arange(len(points))
+        tau = -np.inf if floor is None else floor[i]
         if len(points) > most:
             partial = np.zeros(len(points))
             for j, c in enumerate(columns):
@@ -93,38 +116,56 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np
                 part = q_turned[i, j * BLOCK : j * BLOCK + c.shape[1]]
                 partial = partial + (((c if j == 0 else c[alive]) - part) ** 2).sum(1)
                 d = min(dims, j * BLOCK + c.shape[1])
-                if j == 0:  # those that look best now give the threshold
+                if j == 0:  # those that look best now may raise the threshold
                     first = np.argpartition(partial * (dims / d) - norms, most)[:most]
                     start = points[first] @ q
                     start[ids[first] == query_ids[i]] = -np.inf
-                    tau = np.partition(start, most - k)[most - k]
+                    sure = first[np.argpartition(start, most - k)[most - k :]]  # stay whatever the thresholds, so that k are found
+                    tau = max(tau, np.partition(start, most - k)[most - k])
                     bound = np.maximum(norms + qq - 2 * tau, 0)  # squared distance at which the inner product is tau
                 factor = 1.0 if d == dims else (1 + EPSILON / np.sqrt(d)) ** 2
-                keep = partial * (dims / d) <= bound[alive] * factor * (1 + 1e-9) + 1e-9
+                keep = partial * (dims / d) <= bound[alive] * factor * (1 + 1e-9) + 1e-9 * (qq + norms[alive])
                 alive, partial = alive[keep], partial[keep]
+            alive = np.union1d(alive, sure)
         alive = alive[ids[alive] != query_ids[i]]
-        score = points[alive] @ q
+        if len(alive) > k:  # near enough to the k-th best for rounding to decide
+            rough = points[alive] @ q
+            alive = alive[rough >= np.partition(rough, len(alive) - k)[len(alive) - k] - 1e-9 * (qq + norms[alive])]
+        score = inner(points[alive], q)
         best = np.lexsort((ids[alive], -score))[:k]
         out.append((np.full(len(best), i), ids[alive][best], score[best]))
     n, found, scores = (np.concatenate(x) for x in zip(*out, strict=True))
     return n, found, scores, looked / max(1, len(queries) * points.size)
 
 
+RESULT = "query_id bigint, rank int, vec_id bigint, score double"
+
+
 def search(vectors: DataFrame, k: int = 20, is_query=None, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row (by default ids divisible by 20) its k nearest by inner product."""
-    spark = vectors.sparkSession
     own = materialize(valid(vectors, id_col, col), "vectors")
-    n = own.count()
+    sizes = own.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy("dims").collect()  # a row for each length
+    out = vectors.sparkSession.createDataFrame([], RESULT)
+    for r in sizes:
+        found = _search(own if len(sizes) == 1 else own.where(F.size("v") == r["dims"]), r["n"], k, is_query)
+        out = found if len(sizes) == 1 else out.union(found)
+    return out
+
+
+def _search(own: DataFrame, n: int, k: int, is_query) -> DataFrame:
+    """search over n vectors of one length."""
+    spark = own.sparkSession
     share = min(1.0, 1.2 * FIT_ROWS / max(n, 1))
     chosen = own if share == 1.0 else own.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    sample = [r["v"] for r in chosen.limit(FIT_ROWS).collect()]
-    if not sample:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    points = np.array(sample, np.float64)
+    sample = chosen.limit(FIT_ROWS).collect()
+    if not sample:  # so few ids, repeated so often, that none fell into the sample
+        sample = own.limit(FIT_ROWS).collect()
+    points, ids = np.array([r["v"] for r in sample], np.float64), np.array([r["vec_id"] for r in sample], np.int64)
     lists = int(np.clip(round(n**0.5 / LISTS), 1, MOST_LISTS))
     centers = fit(points, lists)  # MOST_LISTS rows at most
     probed = probes(points, centers, k)
-    model = spark.sparkContext.broadcast((centers, rotation(points.shape[1])))
+    few = slice(0, max(1, FLOOR_BYTES // points[0].nbytes))
+    model = spark.sparkContext.broadcast((centers, rotation(points.shape[1]), points[few], ids[few]))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,19 +173,22 @@ def search(vectors: DataFrame, k: int = 20, is_query=None, id_col: str = "vec_id
             yield pa.record_batch([b.column(0), b.column(1), pa.array(assign(x, model.value[0]) if len(x) else [], pa.int64())], names=["vec_id", "v", "list"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = model.value[0]
+        centers, _, some, some_ids = model.value
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            if not b.num_rows:
+                continue
+            x = np.array(b.column(1).to_pylist(), np.float64)
             # By inner product with the centroid: the lists whose members promise most.
-            near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :probed] if len(x) else []
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([list(map(int, r)) for r in near], pa.list_(pa.int64()))], names=["query_id", "q", "lists"])
+            near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :probed]
+            low = floors(x, b.column(0).to_numpy(), some, some_ids, k)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(low), pa.array([list(map(int, r)) for r in near], pa.list_(pa.int64()))], names=["query_id", "q", "floor", "lists"])
 
     listed = materialize(own.mapInArrow(put, "vec_id bigint, v array<double>, list bigint"), "lists")
     sizes = listed.groupBy("list").agg(F.count("*").alias("n"))  # a row for each list
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PART)).cast("int")
-    placed = listed.join(F.broadcast(sizes.select("list", parts.alias("parts"))), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    placed = listed.join(F.broadcast(sizes.select("list", parts.alias("parts"))), "list").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
     queries = own.where((F.col("vec_id") % 20 == 0) if is_query is None else is_query).select("vec_id", "v")
-    asked = queries.mapInArrow(probe, "query_id bigint, q array<double>, lists array<bigint>").select("query_id", "q", F.explode("lists").alias("list"))
+    asked = queries.mapInArrow(probe, "query_id bigint, q array<double>, floor double, lists array<bigint>").select("query_id", "q", "floor", F.explode("lists").alias("list"))
     n_queries = asked.groupBy("list").agg(F.count("*").alias("m")).select("list", F.greatest(F.lit(1), F.ceil(F.col("m") / GROUP)).cast("int").alias("groups"))
     groups = F.broadcast(n_queries)
     # Every part of a list meets every group of its queries.
@@ -157,10 +201,10 @@ def search(vectors: DataFrame, k: int = 20, is_query=None, id_col: str = "vec_id
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         left, right = left.sort_values("query_id"), right.sort_values("vec_id")
         q, p = np.stack(left["q"].to_numpy()), np.stack(right["v"].to_numpy())
-        i, ids, scores, _ = scan(q, left["query_id"].to_numpy(), p, right["vec_id"].to_numpy(), k, model.value[1])
+        i, ids, scores, _ = scan(q, left["query_id"].to_numpy(), p, right["vec_id"].to_numpy(), k, model.value[1], left["floor"].to_numpy())
         return pd.DataFrame({"query_id": left["query_id"].to_numpy()[i], "vec_id": ids, "score": scores})
 
-    found = asked.select("list", "part", "group", "query_id", "q").groupBy("list", "part", "group").cogroup(placed.select("list", "part", "group", "vec_id", "v").groupBy("list", "part", "group"))
+    found = asked.select("list", "part", "group", "query_id", "q", "floor").groupBy("list", "part", "group").cogroup(placed.select("list", "part", "group", "vec_id", "v").groupBy("list", "part", "group"))
     found = found.applyInPandas(scanned, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

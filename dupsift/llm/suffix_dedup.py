@@ -463,7 +463,8 @@ def _resolve(docs: DataFrame, text_col: str, finish, schema: str) -> DataFrame:
     slim = materialize(keyed.where(F.octet_length("text") >= LENGTH).select("id", "h", F.md5("text").alias("m"), F.octet_length("text").alias("n")), "slim")
     total = slim.agg(F.sum("n")).first()[0] or 0
     firsts = slim.groupBy("h", "m").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
-    copies = materialize(slim.join(firsts, ["h", "m"]).where(F.col("id") > F.col("first")).select("id", "h").distinct(), "copies")
+    firsts = materialize(firsts, "firsts")
+    copies = materialize(slim.join(broadcast_if_small(firsts, firsts.count(), BROADCAST_ROWS), ["h", "m"]).where(F.col("id") > F.col("first")).select("id", "h").distinct(), "copies")
     copies = broadcast_if_small(copies, copies.count(), BROADCAST_ROWS)
     blocks = max(1, -(-total // BLOCK_BYTES))
     shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE_BYTES))

@@ -254,6 +254,36 @@ def test_nearest_small(spark):
     assert nearest.search(few.limit(0)).count() == 0
 
 
+def test_ties_go_to_smaller_ids(spark):
+    """Random 64-dimensional vectors, each several times among others: equal to brute force, whatever a row's place in a block."""
+    rng = np.random.default_rng(5)
+    for trial in range(100):
+        points = rng.standard_normal((30, 64))
+        points[rng.permutation(30)[:7]] = points[0]
+        ids = rng.permutation(30)
+        _, got, score, _ = nearest.scan(points[:1], np.array([-1]), points, ids, 7, nearest.rotation(64))
+        exact = nearest.inner(points, points[0])
+        assert got.tolist() == ids[np.lexsort((ids, -exact))[:7]].tolist() and (np.diff(score) <= 0).all(), trial
+    few = rng.standard_normal((40, 64)).astype(np.float32).astype(np.float64)
+    rows = [(int(i), few[rng.integers(40)].tolist()) for i in rng.permutation(1200)]
+    got = {}
+    for r in nearest.search(spark.createDataFrame([(i, v, 1, "x", "y") for i, v in rows], VECTORS).repartition(7)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ids, points = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q, own in got.items():
+        exact = nearest.inner(points, points[ids == q][0])
+        others = np.flatnonzero(ids != q)
+        best = others[np.lexsort((ids[others], -exact[others]))[:20]]
+        assert [i for _, i, _ in sorted(own)] == ids[best].tolist() and [s for _, _, s in sorted(own)] == exact[best].tolist()
+    assert len(got) == 60
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(100 + i, [1.0, float(i), 2.0]) for i in range(30)]
+    out = nearest.search(spark.createDataFrame([(i, v, 1, "x", "y") for i, v in rows], VECTORS), k=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in out) == [(0, 1, 1), (0, 2, 2), (20, 1, 29), (20, 2, 28), (100, 1, 101), (100, 2, 102), (120, 1, 129), (120, 2, 128)]
+
+
 def test_adaptive_scan_abandons():
     rng = np.random.default_rng(1)
     points = rng.standard_normal((4000, 64))
