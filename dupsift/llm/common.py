@@ -49,3 +49,15 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 def partitions_for(spark: SparkSession, total_bytes: int, each: int = 32 << 20) -> int:
     """How many partitions hold total_bytes at `each` bytes, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // each))
+
+
+def without(docs: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """docs without the rows whose id and text hash are in found (doc_id, h; a written table). found is broadcast up to limit counted rows; beyond that
+    the join shuffles. Columns of docs may have any names."""
+    right = broadcast_if_small(found, found.count(), limit)
+    return docs.join(right, (F.xxhash64(docs["text"]) == right["h"]) & docs["doc_id"].eqNullSafe(right["doc_id"]), "left_anti")
+
+
+def fresh_name(df: DataFrame) -> str:
+    """A name that no column of df has."""
+    return "_" + "_".join(df.columns)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without
 
 WINDOW, COVERED, BAND, BROADCAST_ROWS = 8, 0.6, 3, 500_000
 # Units that count as such after a number.
@@ -194,6 +194,5 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents, columns as they are."""
-    found = materialize(contaminations(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct(), "found")
-    right = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(right, (F.xxhash64(docs["text"]) == F.col("_h")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    found = materialize(contaminations(docs.select("doc_id", "text"), benchmark).select("doc_id", "h").distinct(), "found")
+    return without(docs, found, BROADCAST_ROWS)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_name, materialize, without
 from .components import components
 
 BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
@@ -198,12 +198,11 @@ def keep_first(docs: DataFrame, words: int = 3, similar: float | None = None) ->
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
     first = classes.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("texts"), F.max("n").alias("rows"))
     many = first.where("texts > 1").select(F.col("component_id").alias("c"), "first")
-    dropped = classes.join(many, F.col("component_id").eqNullSafe(F.col("c"))).where(order != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
-    dropped = materialize(dropped, "dropped")
-    right = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    kept = docs.join(right, (F.xxhash64(docs["text"]) == F.col("_h")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    dropped = classes.join(many, F.col("component_id").eqNullSafe(F.col("c"))).where(order != F.col("first")).select("doc_id", "h")
+    kept = without(docs, materialize(dropped, "dropped"), BROADCAST_ROWS)
     if first.where("rows > 1").limit(1).count():  # rows repeated with their id
-        kept = kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+        name = fresh_name(kept)
+        kept = kept.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name]).drop(name)
     return kept
 
 
