@@ -1,165 +1,172 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame operations only.
 
-Numbers, units after numbers and capitalised names inside sentences become typed placeholders; what remains is a template of lower-case
-words. Every window of WINDOW template words of a document is hashed and joined with the windows of the benchmark's items. A document and an
+Numbers, units after numbers and names (capitalised words; a run of them, whatever marks are between, is one name) become typed placeholders; what
+remains is a template of lower-case words. Every window of WINDOW template words of a document is hashed and joined with the windows of the benchmark's
+items. An item has two templates, one with its names as placeholders and one with its names as words, for copies in lower case; a document has the first. A document and an
 item with enough matching windows on one diagonal, or on the diagonals within BAND of one (words put in or left out), are then compared slot by slot,
 each slot on the nearest diagonal with a matching window over it: the value that an item has in a slot must go to one value in
 the document wherever it recurs. So a question with other numbers or names, put in consistently, is found, and text that
-merely has the same shape with contradictory fillings isn't. Documents are also matched with their names left as words, for
-copies in lower case, and in a third view, where capitalised words at the start of sentences and texts are names too and a run of them, as a name
-of several words, is one placeholder. Items with fewer than WINDOW words in that view match in the first two only: little but placeholders would be left.
+merely has the same shape with contradictory fillings isn't. Windows of which less than half are words say little: they don't count for an item, so
+a table of numbers isn't every other table.
 
-The joins broadcast the benchmark's windows, or the ids of the matched documents, only up to BROADCAST_ROWS counted rows; beyond that they shuffle. Null text has
-no words. Items with fewer words than WINDOW match as one window of their own length; items without words match nothing. Rows with one
-doc_id and one text are judged alike. A null doc_id is judged as any other. Extra columns stay in `remove` and are dropped in `contaminations`.
+Each text is read once: its windows are looked up in the set of the benchmark's, a literal of the plan, and only texts with a hit go on. A benchmark with more
+than LITERALS windows is joined instead, broadcast up to BROADCAST_ROWS counted rows and shuffled beyond.
+
+Null or empty text has no words; texts of any length are read whole; an empty table gives no rows. Items with fewer words than WINDOW match as one window of their own length; items
+with fewer than LEAST_WORDS words, which every text may have, match nothing. Rows with one doc_id and one text are judged alike. A null doc_id is judged as any other.
+Extra columns, whatever their names, stay in `remove` and are dropped in `contaminations`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import broadcast_if_small, materialize, without
 
-WINDOW, COVERED, BAND, BROADCAST_ROWS = 8, 0.6, 3, 500_000
+WINDOW, LEAST_WORDS, COVERED, BAND, LITERALS, BROADCAST_ROWS = 8, 3, 0.6, 3, 50_000, 500_000
 # Units that count as such after a number.
 UNITS = "km cm mm kg mg lb lbs oz ml hours hour minutes minute seconds second days day weeks week months month years year miles mile meters metres feet inches dollars euros pounds cents percent degrees".split()
-#: Placeholders of a number, a unit and a name, and a mark inside a number's value: private characters, so no word has them.
-N, U, P, INSIDE = "\ue000", "\ue001", "\ue002", "\ue003"
-_NUMBER, _NAME = r"\p{N}+(?:[.,:/]\p{N}+)*%?", r" (?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+"
-_RUN = rf"(?<![\p{{L}}\p{{N}}{N}{U}])\p{{Lu}}\p{{Ll}}+(?:{INSIDE}\p{{Lu}}\p{{Ll}}+)*"
-#: Views: names left as words, names inside sentences, names anywhere with runs joined.
-PLAIN, NAMED, EVERY = 0, 1, 2
-_UNIT = rf"(?<={N} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
-_GAP = rf"[^\p{{L}}\p{{N}}{N}{U}{P}{INSIDE}]+"
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _GAP), lambda w: w != "")
-
-
-def _typed(text: Column) -> Column:
-    """Numbers and units as placeholders."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _NUMBER, N), _UNIT, U)
-
-
-def _named(typed: Column) -> Column:
-    return F.regexp_replace(typed, _NAME, f" {P}")
+#: Placeholders of a number, a unit and a name, and a mark after a slot's value: private characters, so no word has them.
+N, U, P, END = "\ue000", "\ue001", "\ue002", "\ue003"
+_NUMBER, _UNIT = r"\p{N}++(?:[.,:/]\p{N}++)*+%?", rf"({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+# Possessive groups: others are recursive, and a long run would overflow the stack.
+_CAPITALISED = r"\p{Ll}++(?![\p{L}\p{N}])"
+_NAME = rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}]\p{{Lu}}){_CAPITALISED}(?:[^\p{{L}}\p{{N}}{N}{U}{P}{END}]{{1,3}}\p{{Lu}}{_CAPITALISED})*+"
 
 
-def _joined(text: Column) -> Column:
-    """Blanks and hyphens inside runs of capitalised words become marks."""
-    return F.regexp_replace(text, r"(?<=(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{1,40})[ -](?=\p{Lu}\p{Ll})", INSIDE)
+def _words(text: Column, names: bool) -> Column:
+    """The template: lower-case words and placeholders; with names, those are placeholders too."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), _NUMBER, N)
+    out = F.regexp_replace(out, f"{N} {_UNIT}", f"{N} {U}")
+    out = F.regexp_replace(out, _NAME, P) if names else out
+    return F.regexp_extract_all(F.lower(out), F.lit(rf"[{N}{U}{P}]|[\p{{L}}\p{{N}}]+"), F.lit(0))
 
 
-def _every(text: Column) -> Column:
-    """Numbers, units and all runs of capitalised words as placeholders."""
-    return F.regexp_replace(_typed(_joined(text)), _RUN, P)
+def _filled(text: Column, names: bool) -> Column:
+    """The template word for word, with the value behind each placeholder."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), _NUMBER, f"{N}$0{END}")
+    out = F.regexp_replace(out, f"{END} {_UNIT}", f"{END} {U}$1{END}")
+    out = F.regexp_replace(out, _NAME, f"{P}$0{END}") if names else out
+    return F.regexp_extract_all(F.lower(out), F.lit(rf"[{N}{U}{P}][^{END}]*|[\p{{L}}\p{{N}}]+"), F.lit(0))
 
 
-def _raw(text: Column, names: bool | int) -> Column:
-    """The text with each placeholder beside its value; it has the words of the template (of the view `names`), one for one."""
-    text = _joined(text) if names == EVERY else text
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\p{N})[.,:/](?=\p{N})", INSIDE), r"(?<=\p{N})%", "")
-    marked = F.regexp_replace(marked, rf"(\p{{N}}+(?:{INSIDE}\p{{N}}+)*)", f"{N}$1")
-    marked = F.regexp_replace(marked, rf"(?<=\p{{N}} )({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{U}$1{U}")
-    if names == EVERY:
-        return F.regexp_replace(marked, f"({_RUN})", f"{P}$1")
-    return F.regexp_replace(marked, r" (?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}+)", f" {P}$1") if names else marked
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _windows(words: Column, size: int) -> Column:
-    """Hashes of all windows of `size` words, by doubling."""
-    hashes, width = F.transform(words, lambda w: F.xxhash64(w)), 1
-    while width < size:
-        step = min(width, size - width)
-        hashes = F.zip_with(hashes, F.slice(hashes, step + 1, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-        width += step
-    return F.slice(hashes, 1, F.greatest(F.size(words) - (size - 1), F.lit(0)))
+    """Hashes of all windows of `size` words (two at least): of two words, then of two windows, which may overlap."""
 
+    def pairs(x: Column, step: int) -> Column:
+        return F.zip_with(x, F.slice(x, F.lit(step + 1), F.size(x)), lambda a, b: F.xxhash64(a, b))
 
-def _doc_key(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    def grow(x: Column, width: int) -> Column:
+        if width == size:
+            return x
+        step = min(width, size - width)
+        return _let(pairs(x, step), lambda y: grow(y, width + step))
+
+    return F.slice(grow(words, 1), F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+
+
+def _placeholder(word: Column) -> Column:
+    return F.substring(word, 1, 1).isin(N, U, P)
+
+
+def _item_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Items (uid, item_id, text) and their windows (uid, names, size, total, ipos, w); total: windows of the item's template that count."""
+    items = benchmark.select("item_id", "text").withColumn("uid", F.xxhash64("item_id", "text")).dropDuplicates(["uid"])
+    items = materialize(items.withColumn("plain", _words(F.col("text"), False)).where(F.size("plain") >= LEAST_WORDS), "items")
+    named = items.select("uid", F.lit(True).alias("names"), _words(F.col("text"), True).alias("words"), "plain").where((F.size("words") >= LEAST_WORDS) & (F.col("words") != F.col("plain")))
+    views = named.drop("plain").union(items.select("uid", F.lit(False).alias("names"), F.col("plain").alias("words")))
+    views = materialize(views.withColumn("size", F.least(F.size("words"), F.lit(window))), "views")
+    out = None
+    for r in views.select("size").distinct().orderBy("size").collect():  # `window` numbers at most
+        size = r["size"]
+        each = views.where(F.col("size") == size).select("uid", "names", "size", "words", F.posexplode(_windows(F.col("words"), size)).alias("ipos", "w"))
+        own = F.filter(F.slice("words", F.col("ipos") + 1, F.lit(size)), lambda x: ~_placeholder(x))
+        each = each.where(2 * F.size(own) >= size).select("uid", "names", "size", "ipos", "w")
+        out = each if out is None else out.union(each)
+    if out is None:
+        out = views.select("uid", "names", "size", F.lit(0).alias("ipos"), F.lit(0).cast("bigint").alias("w"))
+    out = materialize(out, "windows")
+    totals = out.groupBy("uid", "names").agg(F.count("*").alias("total"))
+    return items, materialize(out.join(broadcast_if_small(totals, items.count(), BROADCAST_ROWS), ["uid", "names"]), "grams")
+
+
+def _has_window(words: Column, size: int, wanted: list[int]) -> Column:
+    return _let(words, lambda own: F.exists(_windows(own, size), lambda x: x.isin(wanted)))
+
+
+def _candidates(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
+    """doc_id, h, text of the documents that have a window of the benchmark, once each."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    sizes = [r["size"] for r in grams.select("size").distinct().orderBy("size").collect()]
+    words = _words(F.col("text"), True)
+    if n_grams <= LITERALS:
+        hit = F.lit(False)
+        for size in sizes:
+            wanted = [r["w"] for r in grams.where(F.col("size") == size).select("w").distinct().collect()]
+            hit = hit | _has_window(words, size, wanted)
+        return keyed.where(hit).dropDuplicates(["doc_id", "h"])
+    found = None
+    for size in sizes:
+        each = keyed.select("doc_id", "h", F.explode(_windows(words, size)).alias("w"))
+        found = each if found is None else found.union(each)
+    side = broadcast_if_small(grams.select("w").distinct(), n_grams, BROADCAST_ROWS)
+    found = materialize(found.join(side, "w", "left_semi").select("doc_id", "h").distinct(), "found")
+    right = broadcast_if_small(found, found.count(), BROADCAST_ROWS)
+    return keyed.join(right, (keyed["h"] == right["h"]) & keyed["doc_id"].eqNullSafe(right["doc_id"]), "left_semi").dropDuplicates(["doc_id", "h"])
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """doc_id, h (hash of the text), item_id, coverage, kind: 'exact', or 'reparameterised' where slots differ consistently."""
-    items = materialize(
-        benchmark.select("item_id", "text")
-        .withColumn("typed", _typed(F.col("text")))
-        .withColumn("named", _words(F.lower(_named(F.col("typed")))))
-        .withColumn("plain", _words(F.lower(F.col("typed"))))
-        .withColumn("every", _words(F.lower(_every(F.col("text")))))
-        .where(F.size("plain") > 0)
-        .withColumn("uid", F.xxhash64("item_id", "text"))
-        .dropDuplicates(["uid"]),
-        "items",
-    )
-    short = [r[0] for r in items.where(F.size("plain") < window).select(F.size("plain")).distinct().collect()]  # fewer than `window` numbers
-    sizes = [window, *short]
-    of_items = [
-        items.where((F.size(view) == size) if size < window else (F.size(view) >= window)).select(
-            "uid", F.size(view).alias("words"), F.posexplode(_windows(F.col(view), size)).alias("ipos", "v")
-        ).select("uid", "words", "ipos", F.xxhash64("v", F.lit(size), F.lit(view == "every")).alias("w"))
-        for size in sizes
-        for view in ("named", "plain", "every")
-        if size >= window or view != "every"
-    ]
-    grams = of_items[0]
-    for x in of_items[1:]:
-        grams = grams.union(x)
-    grams = materialize(grams.distinct(), "grams")
+    items, grams = _item_windows(benchmark, window)
     n_grams = grams.count()
-
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), _typed(F.col("text")).alias("typed"), _every(F.col("text")).alias("every"))
-    keyed = keyed.select("doc_id", "h", "typed", _named(F.col("typed")).alias("named"), "every")
-    view = lambda k, c: F.struct(F.lit(k).alias("doc_names"), F.col(c).alias("view"))
-    # One pass over the texts: a document without names inside sentences has two views, others three.
-    views = F.when(F.col("named") == F.col("typed"), F.array(view(NAMED, "named"), view(EVERY, "every"))).otherwise(F.array(view(NAMED, "named"), view(PLAIN, "typed"), view(EVERY, "every")))
-    words = keyed.select("doc_id", "h", F.explode(views).alias("x")).select("doc_id", "h", "x.doc_names", _words(F.lower("x.view")).alias("words"))
+    candidates = materialize(_candidates(docs, grams, n_grams), "candidates")
+    words = candidates.select("doc_id", "h", _words(F.col("text"), True).alias("words"))
     exploded = None
-    for size in sizes:
-        each = (words if size >= window else words.where(F.col("doc_names") != EVERY)).select("doc_id", "h", "doc_names", F.posexplode(_windows(F.col("words"), size)).alias("dpos", "v")).select("doc_id", "h", "doc_names", "dpos", F.xxhash64("v", F.lit(size), F.col("doc_names") == EVERY).alias("w"))
+    for r in grams.select("size").distinct().orderBy("size").collect():
+        each = words.select("doc_id", "h", F.posexplode(_windows(F.col("words"), r["size"])).alias("dpos", "w"))
         exploded = each if exploded is None else exploded.union(each)
-    side = F.broadcast(grams) if n_grams <= BROADCAST_ROWS else grams
+    if exploded is None:
+        exploded = words.select("doc_id", "h", F.lit(0).alias("dpos"), F.lit(0).cast("bigint").alias("w"))
     # One diagonal: the same offset between the places in the document and in the item.
-    diagonals = exploded.join(side, "w").groupBy("doc_id", "h", "uid", "words", "doc_names", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
+    item = ["uid", "names", "size", "total"]
+    diagonals = exploded.join(broadcast_if_small(grams, n_grams, BROADCAST_ROWS), "w").groupBy("doc_id", "h", *item, (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
     diagonals = materialize(diagonals, "diagonals")
     part = F.struct(F.abs(F.col("shift") - F.col("centre")).alias("off"), "shift", "at")
-    single = diagonals.withColumn("centre", F.col("shift")).select("doc_id", "h", "uid", "words", "doc_names", "centre", F.lit(False).alias("wide"), F.array(part).alias("parts"))
+    single = diagonals.withColumn("centre", F.col("shift")).select("doc_id", "h", *item, "centre", F.lit(False).alias("wide"), F.array(part).alias("parts"))
     band = (
         diagonals.withColumn("centre", F.explode(F.sequence(F.col("shift") - BAND, F.col("shift") + BAND)))
-        .groupBy("doc_id", "h", "uid", "words", "doc_names", "centre")
+        .groupBy("doc_id", "h", *item, "centre")
         .agg(F.collect_list(part).alias("parts"))  # 2 BAND + 1 at most
         .where((F.size("parts") > 1) & F.exists("parts", lambda x: x.off == 0))
-        .select("doc_id", "h", "uid", "words", "doc_names", "centre", F.lit(True).alias("wide"), "parts")
+        .select("doc_id", "h", *item, "centre", F.lit(True).alias("wide"), "parts")
     )
-    windows = F.size(F.array_distinct(F.flatten(F.transform("parts", lambda x: x["at"]))))
-    hits = single.union(band).withColumn("coverage", windows / F.greatest(F.col("words") - (window - 1), F.lit(1))).where(F.col("coverage") >= covered)
+    matched = F.size(F.array_distinct(F.flatten(F.transform("parts", lambda x: x["at"]))))
+    hits = single.union(band).withColumn("coverage", matched / F.col("total")).where(F.col("coverage") >= covered)
     hits = materialize(hits, "hits")
 
+    def slots(rows: DataFrame, keys: list[str], pos: str, value: str, names: bool) -> DataFrame:
+        out = rows.select(*keys, F.posexplode(_filled(F.col("text"), names)).alias(pos, value))
+        return out.where(_placeholder(F.col(value)))
+
     found = hits.select("doc_id", "h").distinct()
-    n_found = found.count()
-    texts = _doc_key(docs)
-    right = found.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"))
-    chosen = texts.join(F.broadcast(right) if n_found <= BROADCAST_ROWS else right, (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("d2")), "left_semi").dropDuplicates(["doc_id", "h"])
-
-    def slots(rows: DataFrame, keys: list[str], names: int) -> DataFrame:
-        out = rows.select(*keys, F.posexplode(_words(_raw(F.col("text"), names))).alias("pos", "value"))
-        return out.where(F.substring("value", 1, 1).isin(N, U, P)).withColumn("names", F.lit(names))
-
-    def all_slots(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return slots(rows, keys, PLAIN).union(slots(rows, keys, NAMED)).union(slots(rows, keys, EVERY))
-
-    doc_slots = all_slots(chosen, ["doc_id", "h"]).select("doc_id", "h", F.col("pos").alias("dpos"), F.lower("value").alias("doc_value"), F.col("names").alias("doc_names"))
-    item_slots = all_slots(items, ["uid"]).select("uid", F.col("pos").alias("ipos"), F.lower("value").alias("item_value"), F.col("names").alias("item_names"))
-    keys = ["doc_id", "h", "uid", "doc_names", "centre", "wide"]
-    over = lambda x: F.exists(x["at"], lambda i: F.col("ipos").between(i, i + (window - 1)))
-    placed = hits.join(item_slots.withColumnRenamed("item_names", "doc_names"), ["uid", "doc_names"])
+    chosen = candidates.join(found.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    doc_slots = slots(chosen, ["doc_id", "h"], "dpos", "doc_value", True).withColumnRenamed("doc_id", "_d")
+    item_slots = slots(items, ["uid"], "ipos", "item_value", True).withColumn("names", F.lit(True)).union(slots(items, ["uid"], "ipos", "item_value", False).withColumn("names", F.lit(False)))
+    keys = ["doc_id", "h", "uid", "names", "centre", "wide"]
+    over = lambda x: F.exists(x["at"], lambda i: F.col("ipos").between(i, i + F.col("size") - 1))
+    placed = hits.join(item_slots, ["uid", "names"])
     placed = placed.withColumn("nearest", F.array_min(F.transform(F.filter("parts", over), lambda x: F.struct(x.off.alias("off"), x["shift"].alias("shift"))))).where("nearest IS NOT NULL")
     filled = (
         placed.withColumn("dpos", F.col("ipos") + F.col("nearest.shift"))
-        .join(doc_slots.withColumnRenamed("doc_id", "_d"), ["h", "dpos", "doc_names"])
+        .join(doc_slots, ["h", "dpos"])
         .where(F.col("doc_id").eqNullSafe(F.col("_d")))
         .groupBy(*keys, "item_value")
         .agg(F.count_distinct("doc_value").alias("values"), F.max(F.col("doc_value") != F.col("item_value")).alias("other"))

@@ -63,26 +63,96 @@ def test_renamed_at_starts_and_by_two_words(spark):
     assert not found
 
 
-def test_every_slots_line_up(spark):
+def test_slots_line_up(spark):
+    """The template and the text with values are the same word for word."""
     from pyspark.sql import functions as F
 
-    texts = ["5% of 3.5 km, in 12:30 London Bridge abc123 7 Paris 1,000 hours Tom", "Mary Ann Smith-Jones met 5Bob, Tom5 McDonald Tom. Bob said, Alice 9 Days Élan", "", None]
+    texts = ["5% of 3.5 km, in 12:30 London Bridge abc123 7 Paris 1,000 hours Tom", "Mary Ann Smith-Jones met 5Bob, Tom5 McDonald Tom. Bob said, Alice 9 Days Élan", "a 3rd 5%x 4 days. BOB İstanbul", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    text = F.coalesce("text", F.lit(""))
-    for r in df.select(F.size(decontaminate._words(decontaminate._every(text))).alias("a"), F.size(decontaminate._words(decontaminate._raw(text, decontaminate.EVERY))).alias("b")).collect():
-        assert r["a"] == r["b"]
+    for names in (True, False):
+        for r in df.select(decontaminate._words(F.col("text"), names).alias("a"), decontaminate._filled(F.col("text"), names).alias("b")).collect():
+            assert len(r["a"]) == len(r["b"]) and all(x == y if x[0] not in "\ue000\ue001\ue002" else y.startswith(x) for x, y in zip(r["a"], r["b"], strict=True))
 
 
-def test_slots_line_up(spark):
-    """The template and the text with values have the same number of words."""
-    from pyspark.sql import functions as F
+def plain_contaminations(texts, items):
+    """{(text number, item id): (coverage, kind)} by comparing every document with every item, word by word."""
+    import regex
 
-    texts = ["5% of 3.5 km, in 12:30 London Bridge abc123 7 Paris 1,000 hours Tom", "a 3rd 5%x 4 days. Bob said, Alice 9", ""]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    typed = decontaminate._typed(F.col("text"))
-    for names, view in ((True, decontaminate._named(typed)), (False, typed)):
-        for r in df.select(F.size(decontaminate._words(view)).alias("a"), F.size(decontaminate._words(decontaminate._raw(F.col("text"), names))).alias("b")).collect():
-            assert r["a"] == r["b"]
+    d = decontaminate
+    number, unit, name = (regex.compile(x) for x in (d._NUMBER, f"{d.END} {d._UNIT}", d._NAME))
+
+    def tokens(text, names):
+        out = number.sub(lambda m: d.N + m[0] + d.END, text or "")
+        out = unit.sub(lambda m: f"{d.END} {d.U}{m[1]}{d.END}", out)
+        out = name.sub(lambda m: d.P + m[0] + d.END, out) if names else out
+        found = regex.findall(rf"[{d.N}{d.U}{d.P}][^{d.END}]*|[\p{{L}}\p{{N}}]+", out.lower())
+        slot = lambda w: w[0] in d.N + d.U + d.P
+        return [w[0] if slot(w) else w for w in found], [w if slot(w) else None for w in found]
+
+    out = {}
+    for i, text in enumerate(texts):
+        doc, values = tokens(text, True)
+        for item_id, item in items:
+            if len(tokens(item, False)[0]) < d.LEAST_WORDS:
+                continue
+            judged = []
+            for names in (True, False):
+                own, own_values = tokens(item, names)
+                if len(own) < d.LEAST_WORDS:
+                    continue
+                size = min(len(own), d.WINDOW)
+                places = [p for p in range(len(own) - size + 1) if 2 * sum(v is None for v in own_values[p : p + size]) >= size]
+                at = {}
+                for p in places:
+                    for q in range(len(doc) - size + 1):
+                        if doc[q : q + size] == own[p : p + size]:
+                            at.setdefault(q - p, set()).add(p)
+                for centre in at:
+                    for band in (0, d.BAND):
+                        parts = {s: x for s, x in at.items() if abs(s - centre) <= band}
+                        coverage = len(set().union(*parts.values())) / len(places)
+                        if coverage < d.COVERED:
+                            continue
+                        fillings, other = {}, False
+                        for p, v in enumerate(own_values):
+                            near = [(abs(s - centre), s) for s, x in parts.items() if any(y <= p < y + size for y in x)]
+                            if v is not None and near:
+                                w = values[p + min(near)[1]]
+                                fillings.setdefault(v, set()).add(w)
+                                other |= w != v
+                        if all(len(x) == 1 for x in fillings.values()):
+                            judged.append((coverage, other))
+            if judged:
+                out[i, item_id] = (max(c for c, _ in judged), "reparameterised" if all(o for _, o in judged) else "exact")
+    return out
+
+
+@pytest.mark.parametrize("literals", [50_000, 3])
+def test_decontamination_is_brute_force(spark, monkeypatch, literals):
+    """Also where the benchmark's windows are joined instead of being literals."""
+    import random
+
+    monkeypatch.setattr(decontaminate, "LITERALS", literals)
+    rng = random.Random(12)
+    words = ["the", "price", "of", "apples", "rises", "by", "while", "Anna", "Tom", "Berlin", "7", "12", "3.5 km", "9 days", "and", "then", "How", "much"]
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, sentence(rng.choice([2, 3, 5, 9, 20, 30]))) for i in range(14)] + [(20, "Yes"), (21, " ".join(map(str, range(100, 120)))), (22, None), (23, QUESTION)]
+    texts = [None, "", " ".join(map(str, range(40))), QUESTION.lower(), QUESTION.upper(), "Nd, " * 30_000 + QUESTION, "1," * 30_000 + " " + QUESTION]
+    for _, item in items:
+        for _ in range(10):
+            w = (item or "").split(" ")
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(w) + 1)
+                w[k : k + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+            text = " ".join(w)
+            for old, new in rng.sample([("Anna", "Maria"), ("Tom", "Jo Ann"), ("12", "15"), ("7", "8"), ("days", "hours"), ("Berlin", "Anna")], 2):
+                text = text.replace(old, new, rng.choice([-1, 1]))
+            texts.append(f"{sentence(rng.randint(0, 12))} {text} {sentence(rng.randint(0, 12))}")
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[-1]])), "doc_id bigint, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["kind"]) for r in decontaminate.contaminations(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = plain_contaminations([*texts, texts[-1]], items)
+    assert got == want and len(want) > 40 and {k for _, k in want.values()} == {"exact", "reparameterised"}
+    assert not any(i in (20, 21, 22) for _, i in want)
 
 
 def test_license_scan(spark, docs, no_docs):
