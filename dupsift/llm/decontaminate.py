@@ -5,7 +5,8 @@ remains is a template of lower-case words. Every window of WINDOW template words
 items. An item has two templates, one with its names as placeholders and one with its names as words, for copies in lower case; a document has the first. A document and an
 item with enough matching windows on one diagonal, or on the diagonals within BAND of one (words put in or left out), are then compared slot by slot,
 each slot on the nearest diagonal with a matching window over it: the value that an item has in a slot must go to one value in
-the document wherever it recurs. So a question with other numbers or names, put in consistently, is found, and text that
+the document wherever it recurs. A name at an item's first or last place may run on into the text around it: of a longer run only the item's end of it
+is compared, and if that differs the slot says nothing. So a question with other numbers or names, put in consistently, is found, and text that
 merely has the same shape with contradictory fillings isn't. Windows of which less than half are words say little: they don't count for an item, so
 a table of numbers isn't every other table.
 
@@ -77,6 +78,15 @@ def _placeholder(word: Column) -> Column:
     return F.substring(word, 1, 1).isin(N, U, P)
 
 
+def _same_at_edge() -> Column:
+    """Of the columns item_value, doc_value, ipos and last: null but for a name at an edge of the item that is longer in the document; then whether it has the item's words at its inner end."""
+    item, doc = (F.split(F.substring(c, 2, 1 << 20), r"[^\p{L}\p{N}]+") for c in ("item_value", "doc_value"))
+    longer = F.startswith("item_value", F.lit(P)) & (F.size(doc) > F.size(item))
+    first = (F.col("ipos") == 0) & (F.slice(doc, -F.size(item), F.size(item)) == item)
+    last = (F.col("ipos") == F.col("last")) & (F.slice(doc, F.lit(1), F.size(item)) == item)
+    return F.when(longer & ((F.col("ipos") == 0) | (F.col("ipos") == F.col("last"))), first | last)
+
+
 def _item_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """Items (uid, item_id, text) and their windows (uid, names, size, total, ipos, w); total: windows of the item's template that count."""
     items = benchmark.select("item_id", "text").withColumn("uid", F.xxhash64("item_id", "text")).dropDuplicates(["uid"])
@@ -153,12 +163,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hits = materialize(hits, "hits")
 
     def slots(rows: DataFrame, keys: list[str], pos: str, value: str, names: bool) -> DataFrame:
-        out = rows.select(*keys, F.posexplode(_filled(F.col("text"), names)).alias(pos, value))
+        all_ = rows.select(*keys, _filled(F.col("text"), names).alias("all_"))
+        out = all_.select(*keys, F.posexplode("all_").alias(pos, value), (F.size("all_") - 1).alias("last"))
         return out.where(_placeholder(F.col(value)))
 
     found = hits.select("doc_id", "h").distinct()
     chosen = candidates.join(found.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    doc_slots = slots(chosen, ["doc_id", "h"], "dpos", "doc_value", True).withColumnRenamed("doc_id", "_d")
+    doc_slots = slots(chosen, ["doc_id", "h"], "dpos", "doc_value", True).withColumnRenamed("doc_id", "_d").drop("last")
     item_slots = slots(items, ["uid"], "ipos", "item_value", True).withColumn("names", F.lit(True)).union(slots(items, ["uid"], "ipos", "item_value", False).withColumn("names", F.lit(False)))
     keys = ["doc_id", "h", "uid", "names", "centre", "wide"]
     over = lambda x: F.exists(x["at"], lambda i: F.col("ipos").between(i, i + F.col("size") - 1))
@@ -168,8 +179,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         placed.withColumn("dpos", F.col("ipos") + F.col("nearest.shift"))
         .join(doc_slots, ["h", "dpos"])
         .where(F.col("doc_id").eqNullSafe(F.col("_d")))
+        .withColumn("same", _same_at_edge())
+        .withColumn("told", F.when(F.col("same"), F.col("item_value")).when(F.col("same").isNull(), F.col("doc_value")))
+        .withColumn("doc_value", F.coalesce("told", "doc_value"))
         .groupBy(*keys, "item_value")
-        .agg(F.count_distinct("doc_value").alias("values"), F.max(F.col("doc_value") != F.col("item_value")).alias("other"))
+        .agg(F.count_distinct("told").alias("values"), F.max(F.col("doc_value") != F.col("item_value")).alias("other"))
         .groupBy(*keys)
         .agg(F.max("values").alias("values"), F.max("other").alias("other"))
         .select(*(F.col(k).alias(f"_{k}") for k in keys), "values", "other")

@@ -74,6 +74,13 @@ def test_slots_line_up(spark):
             assert len(r["a"]) == len(r["b"]) and all(x == y if x[0] not in "\ue000\ue001\ue002" else y.startswith(x) for x, y in zip(r["a"], r["b"], strict=True))
 
 
+def test_names_that_run_on(spark):
+    item = "Anna sells 12 apples and then buys some of the pears that the old man brought along with Anna"
+    texts = [f"He saw Tom. {item} Bob. They left", f"Then it was. {item.replace('12', '15')}"]
+    _, _, found = contaminated(spark, texts, item)
+    assert {k: r["exact"] for k, r in found.items()} == {0: 1, 1: 0}
+
+
 def plain_contaminations(texts, items):
     """{(text number, item id): (coverage, kind)} by comparing every document with every item, word by word."""
     import regex
@@ -118,6 +125,14 @@ def plain_contaminations(texts, items):
                             near = [(abs(s - centre), s) for s, x in parts.items() if any(y <= p < y + size for y in x)]
                             if v is not None and near:
                                 w = values[p + min(near)[1]]
+                                parts_of = lambda x: regex.split(r"[^\p{L}\p{N}]+", x[1:])
+                                n, m = len(parts_of(v)), len(parts_of(w))
+                                if v[0] == d.P and m > n and p in (0, len(own) - 1):
+                                    if (p == 0 and parts_of(w)[-n:] == parts_of(v)) or (p == len(own) - 1 and parts_of(w)[:n] == parts_of(v)):
+                                        w = v
+                                    else:
+                                        other = True
+                                        continue
                                 fillings.setdefault(v, set()).add(w)
                                 other |= w != v
                         if all(len(x) == 1 for x in fillings.values()):
