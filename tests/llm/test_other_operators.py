@@ -178,6 +178,38 @@ def test_license_scan(spark, docs, no_docs):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(no_docs).count() == 0
 
 
+def test_license_segments(spark):
+    """Widened blanks, an empty line inside, full texts of several paragraphs, notices inside a line, repeated ones, words that keywords must not miss."""
+    notice = dict((n, t) for n, t in license_scan.TEMPLATES if t.startswith("Permission is hereby granted, free of charge") and t.endswith("conditions:"))["MIT"]
+    full = {n: t for n, t in license_scan.FULL}
+    texts = [
+        notice.replace(" ", "     "),
+        notice.replace(" without limitation", "\n\nwithout limitation"),
+        "Prose before.\n\n" + full["BSD-3-Clause"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n2. ").replace(" THIS", "\n\nTHIS") + "\n\nand after",
+        license_scan._BSD,
+        "Copyright (c) 2020 Foo. Released under the MIT License.",
+        (notice + "\n") * 5,
+        "x " * 5000 + "\n_licensed_under_CC_BY-NC_4.0_",
+        "words " * 400 + ". " + full["Zlib"] + "\n" + "words " * 400,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    assert [got[i]["license"] for i in range(7)] == ["MIT", "MIT", "BSD-3-Clause", "BSD", "MIT", "MIT", "CC-BY-NC-4.0"]
+    import duckdb
+
+    documents = docs.toPandas()  # noqa: F841
+    want = {r[0]: r[1:] for r in duckdb.sql(license_scan.ORACLE_SQL).fetchall()}
+    assert {i: tuple(r)[1:] for i, r in got.items()} == want
+
+
+def test_license_keywords_lose_nothing():
+    """Every set of a template's bigrams that is large enough for a match has a keyword."""
+    words = set(license_scan.keywords(license_scan.TEMPLATES, 0.8))
+    for _, t in license_scan.TEMPLATES:
+        own = license_scan.template_bigrams(t)
+        assert sum(not words & set(b.split(" ")) for b in own) < license_scan.bounds(len(own), 0.8)[0]
+
+
 def test_license_bounds_lose_nothing():
     for k in range(1, 60):
         low, high = license_scan.bounds(k, 0.8)
