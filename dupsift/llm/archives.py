@@ -11,10 +11,10 @@ which comes from a shuffle of digests alone, pre-aggregated; the payloads move o
 
 A WARC file is the concatenation of records, each ended by two CR LF. Spark's text sink writes exactly that when the line separator is two CR LF, so
 archives go to any store that Spark can write, with its commit protocol; each is one gzip stream, and readers take
-them as binary files of bounded size.
+them as binary files, whose size is bounded by bytes (see `write_warc`).
 
-Null html is an empty payload. A null id sorts last. Of rows with one id and equal payloads all are responses or all revisits. Extra columns are
-dropped.
+Null html is an empty payload, and payloads of any length are kept whole. A null id sorts last. Of rows with one id and equal payloads (repeated rows, ties) all are responses or all revisits.
+An empty table gives no records. Extra columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path
 
-#: Payloads below this many bytes are never revisits. Records in one archive at most; bytes of one ARC image, about.
-LEAST_REVISIT, MOST_RECORDS, IMAGE_BYTES = 100, 20_000, 4 << 20
+#: Payloads below this many bytes are never revisits. Bytes of one ARC image and of records that are written together, about; such packs in one archive.
+LEAST_REVISIT, IMAGE_BYTES, PACK_BYTES, PACKS = 100, 4 << 20, 4 << 20, 16
 END = b"\r\n\r\n"
 ID_HEADER = "X-Record-Key"
 RECORD_SCHEMA = "key bigint, url string, date string, kind string, length bigint, digest string, block binary"
@@ -204,16 +204,25 @@ def warc_record(key: int | None, url: str, date: str, mime: str, length: int, di
 
 
 def write_warc(marked: DataFrame, path: str) -> None:
-    """Archives at path: gzip streams of at most MOST_RECORDS records."""
+    """Archives at path: gzip streams of at most PACKS packs. A pack is a row for the text sink and ends with the record that brings it to PACK_BYTES, so
+    an archive has at most PACKS times (PACK_BYTES and the largest record) before compression."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, size = [], 0
         for b in batches:
-            rows = b.to_pylist()
-            yield pa.record_batch([pa.array([warc_record(*(r[n] for n in (*_NAMES, "first"))) for r in rows], pa.binary())], names=["value"])
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                pack.append(warc_record(*(r[n] for n in (*_NAMES, "first"))))
+                size += len(pack[-1])
+                if size >= PACK_BYTES:
+                    yield pa.record_batch([pa.array([END.join(pack)], pa.binary())], names=["value"])
+                    pack, size = [], 0
+        if pack:
+            yield pa.record_batch([pa.array([END.join(pack)], pa.binary())], names=["value"])
 
     raw = marked.select(*_NAMES, "first").mapInArrow(run, "value binary")
     # The cast takes the bytes as they are; nothing decodes them.
-    raw.select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", MOST_RECORDS).text(path)
+    raw.select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", PACKS).text(path)
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no folder (tests, notebooks on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_CHECKPOINTS}"
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine (a local master) the warehouse's. Elsewhere an unset one is an error,
+    since a folder of one machine would lose data."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/dupsift-checkpoints"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -131,7 +131,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     paragraphs = F.split(text, r"\n[ \t\r]*\n")
     segments = F.concat(F.split(text, "\n"), F.split(text, r"[.!?]+[ \t\r\n]+"), _let(paragraphs, runs), F.array(text))
     normal = F.array_distinct(F.transform(segments, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))))
-    normal = F.when(F.lower(text).rlike("|".join(w if len(w) > 3 else f"(?<![a-z0-9]){w}(?![a-z0-9])" for w in keywords(templates, least))), normal).otherwise(F.array().cast("array<string>"))
+    words = keywords(templates, least)
+    words = [w for w in words if not any(k in w and k != w and len(k) > 3 for k in words)]
+    normal = F.when(F.lower(text).rlike("|".join(w if len(w) > 3 else f"(?<![a-z0-9]){w}(?![a-z0-9])" for w in words)), normal).otherwise(F.array().cast("array<string>"))
 
     def best(bigrams: Column) -> Column:
         found = []

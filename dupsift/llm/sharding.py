@@ -3,8 +3,10 @@
 Records are ordered by (hash of the text, doc_id). Keys are drawn with a probability in proportion to the record's size, and
 quantiles of the draws become splitters that cut this order into ranges of nearly equal bytes. A range that turns out overfull
 is drawn from again, more densely, and subdivided; a text that fills whole ranges (a large group of copies) is cut by
-doc_id. Ranges are cut further into cells, each small enough to be sorted in one task. Exact sums over ranges and cells give every
-record its place in the whole order, and that place in bytes gives the shard, so shards differ by less than one record from equal bytes.
+doc_id. Ranges are cut further into cells, each small enough to be sorted in one task; a cell that turns out overfull all the same (a group of
+copies has one key) is dealt into more by a hash, and its records are ordered by that first. Exact sums over ranges and cells give every
+record its place in the whole order, and that place in bytes gives the shard, so shards differ by less than one record from equal bytes: the splitters
+make the ranges, the exact sums correct their inequality.
 
 Only DataFrame operations run on the executors. What comes to the driver is bounded: at most about DRAWS keys a round and RANGES sums.
 Null text has no bytes; a null doc_id sorts last. Repeated rows are records of their own. An empty table gives an empty result.
@@ -16,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 
 #: Ranges for each shard, expected draws for each range, rounds of subdivision, records for each cell.
 RANGES_A_SHARD, DRAWS, ROUNDS, CELL_ROWS = 8, 16, 3, 20_000
+BROADCAST_ROWS = 500_000
 LAST_ID = (1 << 63) - 1
 #: A range is overfull beyond so many times its share.
 OVERFULL = 2.0
@@ -120,21 +123,26 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     value = F.when(of_range(2, "boolean"), F.col("id").cast("double")).otherwise(F.col("key").cast("double"))
     cells = of_range(5, "bigint")
     placed = placed.withColumn("cell", F.least(F.floor((value - of_range(3, "double")) / of_range(4, "double") * cells), cells - 1))
-    by_range = Window.partitionBy("range").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    full = placed.groupBy("range", "cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CELL_ROWS)
+    full = materialize(full.select("range", "cell", F.ceil(F.col("n") / CELL_ROWS).alias("parts")), "full")
+    placed = placed.join(broadcast_if_small(full, full.count(), BROADCAST_ROWS), ["range", "cell"], "left")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "id"), F.coalesce("parts", F.lit(1))))
+    by_range = Window.partitionBy("range").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy("range", "cell")
+        placed.groupBy("range", "cell", "part")
         .agg(F.sum("size").alias("cell_b"), F.count("*").alias("cell_n"))
         .select(
             "range",
             "cell",
+            "part",
             (F.coalesce(F.sum("cell_b").over(by_range), F.lit(0)) + of_range(0, "bigint")).alias("b0"),
             (F.coalesce(F.sum("cell_n").over(by_range), F.lit(0)) + of_range(1, "bigint")).alias("n0"),
         )
     )
-    in_cell = Window.partitionBy("range", "cell").orderBy("key", "id", "size")
+    in_cell = Window.partitionBy("range", "cell", "part").orderBy("key", "id", "size")
     before = F.coalesce(F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("b0")
     ordered = materialize(
-        placed.join(starts, ["range", "cell"])
+        placed.join(starts, ["range", "cell", "part"])
         .withColumn("bytes_before", before)
         .withColumn("place", F.row_number().over(in_cell) - 1 + F.col("n0"))
         .select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(F.col("bytes_before") * shards / F.lit(total))).cast("int").alias("shard"), "place"),

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+#: Columns of documents, and some with names that operators might use themselves.
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, hash string, h bigint, key bigint"
 
 

@@ -254,6 +254,13 @@ def test_sharding(spark, docs, no_docs):
     assert len({r.shard for r in out if r.doc_id < 3000}) > 3
 
 
+def test_sharding_small_cells(spark, monkeypatch):
+    """Groups of copies far larger than a cell, also with equal ids."""
+    monkeypatch.setattr(sharding, "CELL_ROWS", 20)
+    rows = [(i, f"copies {i % 3}") for i in range(900)] + [(7, "same row")] * 90 + [(i, f"text {i} " * (i % 50)) for i in range(2000, 2600)]
+    check_shards(sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows, 24)
+
+
 def plain_removals(rows):
     last, first, out = (1 << 63) - 1, {}, []
     key = lambda d: last if d is None else d
