@@ -1,6 +1,9 @@
 """A corpus pipeline: quality classifier, near-duplicate removal, benchmark decontamination, secret redaction, tokenisation.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns of documents, and further columns of
+any name stay. Documents with a null or empty text are rejected by the first stage; a null doc_id, lang or source is kept like any other value. Texts of any length are read whole.
+Repeated rows (one id and text) are one document for the near-duplicate stage, which keeps one of them, as of ties (texts with equal ids) that with the least hash. An empty table passes through all stages as
+an empty one. Without labels only empty texts are rejected; without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
