@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to Python at once while a table is written: texts may be long, and both sides hold a batch.
+BATCH_ROWS, _BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on one machine (a local master) the warehouse's. Elsewhere an unset one is an error,
@@ -31,8 +34,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = fresh_path(df.sparkSession, label), df.sparkSession.conf
+    rows = int(conf.get(_BATCH))
+    conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_BATCH, str(rows))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,11 +10,17 @@ within two bits always meet so, hence no link is lost and no group makes its squ
 
 Near copies with a Jaccard similarity of 0.8 mostly differ in more bits than any exact key can bridge. With `similar`, texts whose sets of
 SHINGLE-word shingles have at least that Jaccard similarity are linked too, exactly: in any one order of all shingles, two such sets share one
-among the first n - ceil(similar n) + 1 of each, so these prefixes are the join keys, and every pair found is verified on the whole sets.
-Shingles that crowd the prefixes come last in the order, in a second pass.
+among the first n - ceil(similar n) + 1 of each, so these prefixes are the join keys. Shingles that crowd the prefixes come last in the order, found by a first pass.
+Of a long text whose uncrowded shingles are at least RARE of all, the first ENOUGH keys do: for a similarity of 0.8 the uncrowded parts of a similar pair then have one of at least a half, so the
+chance that none of the first ENOUGH shingles of their union (in the order of a hash) is in both is below 2 ** -ENOUGH, one in 10 ** 12, no more than that of equal hashes.
+A pair is only looked at where, if the key is the first that both have, enough shingles follow it in both. Of each key the texts are first compared with the smallest of them only; where that makes
+all of a key's texts one component, the key is done, so a group of near copies makes a few pairs for each, not its square. Of other keys with up to COMMON texts the remaining pairs between components
+are compared; in keys with more the next LEADERS smallest texts are compared with the others, and texts that no remaining one can be similar to leave, until one component or one text is left,
+or at most four pairs for each key of a text at the start: then those are compared.
+Candidates whose shared keys and what follows the keys can't make up the similarity are dropped; the others are verified on the whole sets.
 
 Null text has no words; its fingerprint is zero. Repeated rows share a component. A null doc_id never names a component unless all ids of the
-component are null. Extra columns are dropped by `near_duplicates` and kept by `keep_first`.
+component are null. An empty table gives an empty one, and texts of any length are read whole. Extra columns, whatever their names, are dropped by `near_duplicates` and kept by `keep_first`.
 """
 
 from __future__ import annotations
@@ -25,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_name, materialize, without
+from .common import broadcast_if_small, fresh_name, materialize, without
 from .components import components
 
 BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
@@ -36,7 +42,7 @@ BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
 CROWDED = 16
 BROADCAST_ROWS = 500_000
 #: Words of a shingle for Jaccard similarity; a prefix shingle of more texts is moved to the end of the order, of at most HOT such.
-SHINGLE, COMMON, HOT = 5, 30, 200_000
+SHINGLE, COMMON, HOT, LEADERS, RARE, ENOUGH = 5, 30, 200_000, 16, 0.5, 40
 _CHUNK = 1 << 16
 
 
@@ -119,60 +125,139 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.union(met.select(F.explode("all").alias("a"), "b").where("a <> b"))
 
 
+def _prefix(own: np.ndarray, hot: np.ndarray, similar: float) -> np.ndarray:
+    """The keys of a set of shingles, hot (sorted) ones last."""
+    n = len(own)
+    common = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(n, bool)
+    length = n - math.ceil(similar * n - 1e-9) + 1 if n else 0
+    # Sets of n and up to n / s shingles differ in (1 - s) / (1 + s) (n + n / s) at most, so uncrowded parts of twice that have a similarity of at least a half.
+    if n - common.sum() >= max(RARE, 2 * (1 - similar) / (1 + similar) * (1 + 1 / similar)) * n:
+        length = min(length, ENOUGH)
+    return np.concatenate([own[~common], own[common]])[:length]
+
+
+def _key_counts(texts: DataFrame, similar: float) -> DataFrame:
+    """key, n: in how many texts a shingle is a key, before any is known as hot. Counted in each block first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_prefix(np.unique(shingles(t.as_py(), SHINGLE)), np.zeros(0, np.uint64), similar) for t in b.column(0)]
+            key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return texts.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def _prefixes(texts: DataFrame, similar: float, hot: np.ndarray) -> DataFrame:
-    """h, size (of the shingle set) and key for each shingle of the prefixes; hot shingles come last in the order."""
-    last = texts.sparkSession.sparkContext.broadcast(hot)
+    """h, size (of the shingle set), taken (keys of the text), key and its place pos for each key; hot shingles come last in the order."""
+    last = texts.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, keys, sizes = b.slice(at, 256), [], []
+            for at in range(0, b.num_rows, 64):
+                part, keys, sizes = b.slice(at, 64), [], []
                 for t in part.column(1):
                     own = np.unique(shingles(t.as_py(), SHINGLE))
-                    common = np.isin(own, last.value)
-                    n = len(own)
-                    keys.append(np.concatenate([own[~common], own[common]])[: n - math.ceil(similar * n - 1e-9) + 1 if n else 0])
-                    sizes.append(n)
-                taken = [len(k) for k in keys]
+                    keys.append(_prefix(own, last.value, similar))
+                    sizes.append(len(own))
+                taken = np.array([len(k) for k in keys])
                 h, key = np.repeat(part.column(0).to_numpy(zero_copy_only=False), taken), np.concatenate(keys).view(np.int64)
-                yield pa.record_batch([pa.array(h, pa.int64()), pa.array(np.repeat(sizes, taken), pa.int64()), pa.array(key, pa.int64())], names=["h", "size", "key"])
+                pos = np.arange(len(key)) - np.repeat(np.cumsum(taken) - taken, taken)
+                columns = [h, np.repeat(sizes, taken), np.repeat(taken, taken), key, pos]
+                yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], names=["h", "size", "taken", "key", "pos"])
 
-    return texts.mapInArrow(run, "h bigint, size bigint, key bigint").distinct()
+    return texts.mapInArrow(run, "h bigint, size bigint, taken bigint, key bigint, pos bigint").distinct()
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """h and the set of shingles of each text."""
+def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes whose whole shingle sets are similar."""
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "needed")
+    chosen = texts.join(broadcast_if_small(needed, needed.count(), BROADCAST_ROWS), "h", "left_semi")
+    chosen = materialize(chosen.dropDuplicates(["h"]), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}  # of the last few texts: pairs with one text come together
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                own = [np.unique(shingles(t.as_py(), SHINGLE)).view(np.int64) for t in part.column(1)]
-                yield pa.record_batch([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["h", "own"])
-
-    return texts.mapInArrow(run, "h bigint, own array<bigint>")
-
-
-def similar_texts(docs: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) of text hashes, a < b, of all texts whose shingle sets have a Jaccard similarity of at least similar."""
+            keep = []
+            for a, c, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                for h, t in ((a, x), (c, y)):
+                    if h not in sets:
+                        if len(sets) >= 64:
+                            sets.pop(next(iter(sets)))
+                        sets[h] = np.unique(shingles(t.as_py(), SHINGLE))
+                one, two = sets.get(a), sets[c]
+                one = np.unique(shingles(x.as_py(), SHINGLE)) if one is None else one
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(shared >= similar * (len(one) + len(two) - shared) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(chosen.select(F.col("h").alias("b"), F.col("text").alias("y")), "b").join(chosen.select(F.col("h").alias("a"), F.col("text").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_links(docs: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of hashes of texts whose shingle sets have a Jaccard similarity of at least similar: enough of them for the components of all such pairs."""
     texts = docs.select(F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
-    keyed = materialize(_prefixes(texts, similar, np.zeros(0, np.uint64)), "prefixes")
-    counted = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    hot = [r["key"] for r in counted.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(HOT).collect()]
-    if hot:
-        keyed = materialize(_prefixes(texts, similar, np.array(hot, np.int64).view(np.uint64)), "prefixes2")
-    entries = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "shared")
-    a, b = entries.alias("a"), entries.alias("b")
-    close = (F.col("a.size") >= F.col("b.size") * similar - 1e-9) & (F.col("b.size") >= F.col("a.size") * similar - 1e-9)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & close).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
-    pairs = materialize(pairs, "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    needed = materialize(needed, "needed")
-    chosen = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "h", "left_semi")
-    sets = materialize(_sets(chosen).dropDuplicates(["h"]), "sets")
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("own").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similar * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    counted = _key_counts(texts, similar)
+    hot = counted.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(HOT).select("key").toArrow().column(0).to_numpy()  # only their order depends on it
+    keyed = materialize(_prefixes(texts, similar, hot.view(np.uint64)), "prefixes")
+    entries = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "h", "size", "taken", "pos", "n"), "shared")
+    prefix = materialize(entries.groupBy("h", "size", "taken").agg(F.collect_list("key").alias("keys")), "keys")  # a fifth of one text's shingles at most
+    share = similar / (1 + similar)  # of two sizes together that must be in both sets
+
+    def possible(a: str, b: str) -> Column:
+        """Enough shingles follow the key in both texts."""
+        after = F.least(*(F.col(f"{x}size") - F.col(f"{x}pos") for x in (a, b)))
+        return after >= F.ceil((F.col(f"{a}size") + F.col(f"{b}size")) * share - 1e-9)
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        side = lambda c: prefix.select(F.col("h").alias(c), F.col("size").alias(f"{c}_size"), (F.col("size") - F.col("taken")).alias(f"{c}_rest"), F.col("keys").alias(f"{c}_keys"))
+        both = materialize(pairs.distinct(), "pairs").join(side("a"), "a").join(side("b"), "b")
+        beyond = F.greatest("a_rest", "b_rest")  # up to the lesser of the last keys all that both have is shared; either may be the lesser
+        least = F.ceil((F.col("a_size") + F.col("b_size")) * share - 1e-9)
+        close = materialize(both.where(F.size(F.array_intersect("a_keys", "b_keys")) + beyond >= least).select("a", "b"), "close")
+        return materialize(_verified(close, texts, similar), "links")
+
+    def leaders(rows: DataFrame, n: int) -> DataFrame:
+        """The n smallest texts of each key."""
+        best = Window.partitionBy("key").orderBy("size", "h")
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("key", *(F.col(c).alias(f"l_{c}") for c in ("h", "size", "pos", "class")))
+
+    def star(rows: DataFrame, first: DataFrame) -> DataFrame:
+        pairs = rows.join(first, "key").where((F.col("h") != F.col("l_h")) & (F.col("class") != F.col("l_class")) & possible("", "l_"))
+        return pairs.select(F.least("l_h", "h").alias("a"), F.greatest("l_h", "h").alias("b"))
+
+    def still_open(rows: DataFrame, first: DataFrame, links: DataFrame) -> DataFrame:
+        """rows without the leaders, which have been compared with all others of their keys, without texts too large for what follows the key in
+        the smallest one left, and only of keys with texts of several components."""
+        roots = components(links).withColumnRenamed("node", "h")
+        rows = rows.join(first.select("key", F.col("l_h").alias("h")), ["key", "h"], "left_anti")
+        rows = rows.drop("class").join(roots, "h", "left").withColumn("class", F.coalesce("root", "h")).drop("root")
+        rows = materialize(rows, "rows")
+        most = F.floor((F.col("size") - F.col("pos")) / share + 1e-9) - F.col("size")  # the largest partner
+        rest = rows.join(rows.groupBy("key").agg(F.min("size").alias("smallest")), "key").where(most >= F.col("smallest")).drop("smallest")
+        keys = rest.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
+        return materialize(rest.join(keys, "key"), "open")
+
+    rows = entries.withColumn("class", F.col("h"))
+    first = leaders(rows, 1)
+    links = tested(star(rows, first))
+    rest = still_open(rows, first, links)
+
+    def all_pairs(rows: DataFrame) -> DataFrame:
+        a, b = (rows.select("key", *(F.col(c).alias(f"{x}{c}") for c in ("h", "size", "pos", "class"))) for x in ("a_", "b_"))
+        pairs = a.join(b, "key").where((F.col("a_h") < F.col("b_h")) & (F.col("a_class") != F.col("b_class")) & possible("a_", "b_"))
+        return pairs.select(F.col("a_h").alias("a"), F.col("b_h").alias("b"))
+
+    links = materialize(links.union(tested(all_pairs(rest.where(F.col("n") <= COMMON)))), "links")
+    rest, most = rest.where(F.col("n") > COMMON), entries.count()
+    while left := rest.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0]:
+        if left <= 4 * most:
+            return links.union(tested(all_pairs(rest)))
+        first = materialize(leaders(rest, LEADERS), "leaders")
+        links = materialize(links.union(tested(star(rest, first))), "links")
+        rest = still_open(rest, first, links)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, similar: float | None = None) -> DataFrame:
@@ -182,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, similar: float | None = Non
     edges = links(distinct)
     if similar is not None:
         of_text = own.select("h", "fp").distinct()
-        pairs = materialize(similar_texts(docs, similar), "similar")
+        pairs = similar_links(docs, similar)
         pairs = pairs.join(of_text.select(F.col("h").alias("a"), F.col("fp").alias("x")), "a").join(of_text.select(F.col("h").alias("b"), F.col("fp").alias("y")), "b")
         edges = edges.union(pairs.select("x", "y"))
     roots = materialize(components(edges).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least"), "roots")
