@@ -32,11 +32,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut and survives lost executors."""
+def materialize(df: DataFrame, label: str, batch: int = BATCH_ROWS) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage is cut and survives lost executors. batch: rows that go to Python at once."""
     path, conf = fresh_path(df.sparkSession, label), df.sparkSession.conf
     rows = int(conf.get(_BATCH))
-    conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    conf.set(_BATCH, str(min(rows, batch) if rows > 0 else batch))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:

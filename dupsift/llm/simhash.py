@@ -216,7 +216,7 @@ def similar_links(docs: DataFrame, similar: float) -> DataFrame:
         beyond = F.greatest("a_rest", "b_rest")  # up to the lesser of the last keys all that both have is shared; either may be the lesser
         least = F.ceil((F.col("a_size") + F.col("b_size")) * share - 1e-9)
         close = materialize(both.where(F.size(F.array_intersect("a_keys", "b_keys")) + beyond >= least).select("a", "b"), "close")
-        return materialize(_verified(close, texts, similar), "links")
+        return materialize(_verified(close, texts, similar), "links", 64)  # two texts in a row
 
     def leaders(rows: DataFrame, n: int) -> DataFrame:
         """The n smallest texts of each key."""
