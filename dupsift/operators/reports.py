@@ -82,14 +82,23 @@ def energies(v: Column) -> dict[str, Column]:
 
 
 def selection(scored: DataFrame) -> DataFrame:
-    """Per configuration (column config): pearson, mae, gap of the high band, score = pearson - mae - gap, best first; ties to the lower mae. A gap
-    without pairs is 1."""
+    """Per configuration (column config): pearson, spearman, mae, gap of the high band, score = pearson + spearman - mae - gap, best first; ties to the lower mae.
+    A gap without pairs is 1."""
+
+    def ranked(c: str) -> DataFrame:
+        """The average rank of each distinct value of a configuration; values should be rounded."""
+        before = F.sum("n").over(Window.partitionBy("config").orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
+        return scored.groupBy("config", c).agg(F.count("*").alias("n")).select("config", c, (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"{c}_rank"))
+
+    def corr(x: str, y: str) -> Column:
+        return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
+
     t, p = F.col("true_sim"), F.col("pred_sim")
     high = t >= 0.8
-    r = F.coalesce(F.try_divide(F.covar_pop("true_sim", "pred_sim"), F.stddev_pop("true_sim") * F.stddev_pop("pred_sim")), F.lit(0.0))
     gap = F.coalesce(F.abs(F.avg(F.when(high, p)) - F.avg(F.when(high, t))), F.lit(1.0))
-    out = scored.groupBy("config").agg(r.alias("pearson"), F.avg(F.abs(p - t)).alias("mae"), gap.alias("gap"))
-    out = out.select("config", *[F.round(c, 6).alias(c) for c in ("pearson", "mae", "gap")], F.round(F.col("pearson") - F.col("mae") - F.col("gap"), 6).alias("score"))
+    rows = scored.join(ranked("true_sim"), ["config", "true_sim"]).join(ranked("pred_sim"), ["config", "pred_sim"])
+    out = rows.groupBy("config").agg(corr("true_sim", "pred_sim").alias("pearson"), corr("true_sim_rank", "pred_sim_rank").alias("spearman"), F.avg(F.abs(p - t)).alias("mae"), gap.alias("gap"))
+    out = out.select("config", *[F.round(c, 6).alias(c) for c in ("pearson", "spearman", "mae", "gap")], F.round(F.col("pearson") + F.col("spearman") - F.col("mae") - F.col("gap"), 6).alias("score"))
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "mae", "config")))  # a row for each configuration
 
 

@@ -93,8 +93,10 @@ _CONFIGS = [(16, 4), (32, 2), (64, 1)]
 @query(
     f"WITH {B.SCORED}, x AS ("
     + " UNION ALL ".join(f"SELECT '{m}:{b}' AS config, true_sim, {B.BLOCK_EQ.format(n=m, w=b)} / {m}.0::DOUBLE AS pred_sim FROM scored" for m, b in _CONFIGS)
-    + """), s AS (SELECT config, coalesce(corr(true_sim, pred_sim), 0) AS r, avg(abs(pred_sim - true_sim)) AS m, coalesce(abs(avg(pred_sim) FILTER (true_sim >= 0.8) - avg(true_sim) FILTER (true_sim >= 0.8)), 1.0) AS g FROM x GROUP BY config),
-o AS (SELECT config, round(r, 6) AS pearson, round(m, 6) AS mae, round(g, 6) AS gap, round(round(r, 6) - round(m, 6) - round(g, 6), 6) AS score FROM s) SELECT *, row_number() OVER (ORDER BY score DESC, mae, config)::INT AS place FROM o"""
+    + """), k AS (SELECT *, rank() OVER (PARTITION BY config ORDER BY true_sim) + (count(*) OVER (PARTITION BY config, true_sim) - 1) / 2 AS true_rank,
+  rank() OVER (PARTITION BY config ORDER BY pred_sim) + (count(*) OVER (PARTITION BY config, pred_sim) - 1) / 2 AS pred_rank FROM x),
+s AS (SELECT config, coalesce(corr(true_sim, pred_sim), 0) AS r, coalesce(corr(true_rank, pred_rank), 0) AS k, avg(abs(pred_sim - true_sim)) AS m, coalesce(abs(avg(pred_sim) FILTER (true_sim >= 0.8) - avg(true_sim) FILTER (true_sim >= 0.8)), 1.0) AS g FROM k GROUP BY config),
+o AS (SELECT config, round(r, 6) AS pearson, round(k, 6) AS spearman, round(m, 6) AS mae, round(g, 6) AS gap, round(r + k - m - g, 6) AS score FROM s) SELECT *, row_number() OVER (ORDER BY score DESC, mae, config)::INT AS place FROM o"""
 )
 def hash_config_search(spark, d):
     s = B.scored_pairs(spark, d)
