@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, bpe, decontaminate, kneser_ney, license_scan, nearest, secret_scan, sharding, simhash, suffix_dedup
+from . import archives, bpe, decontaminate, doubling, kneser_ney, license_scan, nearest, secret_scan, sharding, simhash, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,9 +54,13 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.removals(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.ORACLE_SQL, "op5_warc": archives.ORACLE_SQL}
+    return {"op3_license_scan": license_scan.ORACLE_SQL, "op5_warc": archives.ORACLE_SQL, "op13_substring_dedup": doubling.ORACLE_SQL}
