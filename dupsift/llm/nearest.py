@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inverted lists with an adaptive dimension scan.
 
-Centroids are fitted on a bounded sample (FIT_ROWS vectors); every vector is then put into the list of its nearest centroid. A query probes
-its nearest lists. Vectors are rotated by one random orthogonal matrix and held in column blocks of BLOCK dimensions. Within a list the
+Centroids are fitted on a bounded sample (FIT_ROWS vectors, chosen and ordered by hashes, so that results don't depend on how a table is cut); every vector is then
+put into the list of its nearest centroid. A query probes its own list and those with the largest inner products with the query. Vectors are rotated by one random orthogonal matrix and held in column blocks of BLOCK dimensions. Within a list the
 scan adds up partial squared distances block by block; after each block a hypothesis test asks whether a candidate can still have an inner
 product above the query's present k-th best: by the rotation, the partial distance over d of D dimensions estimates the whole one with a
 relative error of about 1/sqrt(d), so candidates whose estimate exceeds their bound by more than EPSILON/sqrt(d) are abandoned. The k-th
@@ -31,8 +31,8 @@ from .common import materialize
 FIT_ROWS, ROUNDS, SEED = 20_000, 8, 42
 #: Bytes of the sample that go to every executor, for the first thresholds.
 FLOOR_BYTES = 16 << 20
-#: There are sqrt(vectors) / LISTS lists, MOST_LISTS at most. A query probes as many as give RECALL for CALIBRATED queries of the sample.
-LISTS, MOST_LISTS, RECALL, CALIBRATED = 4, 4096, 0.96, 400
+#: There are sqrt(vectors) / LISTS lists, MOST_LISTS at most. A query probes as many as give RECALL over CALIBRATED queries of the sample and WORST for each of them.
+LISTS, MOST_LISTS, RECALL, WORST, CALIBRATED = 4, 4096, 0.96, 0.8, 400
 PART, GROUP, BLOCK, EPSILON = 4096, 512, 16, 1.2
 
 
@@ -61,16 +61,25 @@ def assign(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.argmin((centers**2).sum(1) - 2 * points @ centers.T, axis=1)
 
 
+def promising(queries: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """For each query all lists, the most promising first: its own list, where its copies are, then by inner product with the centroid."""
+    scores = queries @ centers.T
+    scores[np.arange(len(queries)), assign(queries, centers)] = np.inf
+    return np.argsort(-scores, axis=1, kind="stable")
+
+
 def probes(points: np.ndarray, centers: np.ndarray, k: int) -> int:
-    """How many lists to probe, so that RECALL of the k nearest in the sample, by brute force, lie in them. The sample's neighbours are
-    farther off than those among all vectors, so this errs on the side of more lists."""
-    own = points[:: max(1, len(points) // CALIBRATED)]
-    near, order = assign(points, centers), np.argsort(-(own @ centers.T), axis=1, kind="stable")
-    place = np.argsort(order, axis=1)
+    """How many lists to probe, so that RECALL of the k nearest in the sample, by brute force, lie in them, and for each single query at least WORST of its
+    own. The sample's neighbours are farther off than those among all vectors, so this errs on the side of more lists."""
+    step = max(1, len(points) // CALIBRATED)
+    own = points[::step]
+    near, place = assign(points, centers), np.argsort(promising(own, centers), axis=1)
     scores = own @ points.T
-    scores[np.arange(len(own)), np.arange(len(points))[:: max(1, len(points) // CALIBRATED)]] = -np.inf
-    top = np.argsort(-scores, axis=1)[:, :k]
-    return 1 + int(np.quantile(np.take_along_axis(place, near[top], axis=1), RECALL, method="higher"))
+    scores[np.arange(len(own)), np.arange(len(points))[::step]] = -np.inf
+    top = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, max(1, len(points) - 1))]
+    needed = np.sort(np.take_along_axis(place, near[top], axis=1), axis=1)
+    worst = needed[:, int(np.ceil(WORST * needed.shape[1])) - 1].max()
+    return 1 + max(int(worst), int(np.quantile(needed, RECALL, method="higher")))
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -157,9 +166,10 @@ def _search(own: DataFrame, n: int, k: int, is_query) -> DataFrame:
     spark = own.sparkSession
     share = min(1.0, 1.2 * FIT_ROWS / max(n, 1))
     chosen = own if share == 1.0 else own.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    sample = chosen.limit(FIT_ROWS).collect()
+    order = [F.xxhash64(F.lit(SEED + 1), "vec_id", "v"), "vec_id", "v"]  # the same rows, in the same order, however the table is cut
+    sample = chosen.orderBy(*order).limit(FIT_ROWS).collect()
     if not sample:  # so few ids, repeated so often, that none fell into the sample
-        sample = own.limit(FIT_ROWS).collect()
+        sample = own.orderBy(*order).limit(FIT_ROWS).collect()
     points, ids = np.array([r["v"] for r in sample], np.float64), np.array([r["vec_id"] for r in sample], np.int64)
     lists = int(np.clip(round(n**0.5 / LISTS), 1, MOST_LISTS))
     centers = fit(points, lists)  # MOST_LISTS rows at most
@@ -178,8 +188,7 @@ def _search(own: DataFrame, n: int, k: int, is_query) -> DataFrame:
             if not b.num_rows:
                 continue
             x = np.array(b.column(1).to_pylist(), np.float64)
-            # By inner product with the centroid: the lists whose members promise most.
-            near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :probed]
+            near = promising(x, centers)[:, :probed]
             low = floors(x, b.column(0).to_numpy(), some, some_ids, k)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(low), pa.array([list(map(int, r)) for r in near], pa.list_(pa.int64()))], names=["query_id", "q", "floor", "lists"])
 

@@ -465,6 +465,24 @@ def test_ties_go_to_smaller_ids(spark):
     assert len(got) == 60
 
 
+def test_search_is_the_same_however_the_table_is_cut(spark):
+    """Two runs over differently cut tables are identical, no query loses more than half of its neighbours, and all get their own copies."""
+    rng = np.random.default_rng(11)
+    points = rng.standard_normal((900, 32))
+    points[600:640] = points[7]
+    rows = [(i, p.tolist(), 1, "x", "y") for i, p in enumerate(points)]
+    runs = [sorted(tuple(r) for r in nearest.search(spark.createDataFrame([rows[i] for i in rng.permutation(900)], VECTORS).repartition(n), k=10).collect()) for n in (2, 9)]
+    assert runs[0] == runs[1]
+    shares = []
+    for q in range(0, 900, 20):
+        exact = nearest.inner(points, points[q])
+        exact[q] = -np.inf
+        best = set(np.lexsort((np.arange(900), -exact))[:10].tolist())
+        shares.append(len(best & {r[2] for r in runs[0] if r[0] == q}) / 10)
+    assert min(shares) >= 0.5 and np.mean(shares) >= 0.9
+    assert {r[2] for r in runs[0] if r[0] == 620} == {7, *range(600, 609)}
+
+
 def test_vectors_of_several_lengths(spark):
     rows = [(i, [float(i), 1.0]) for i in range(30)] + [(100 + i, [1.0, float(i), 2.0]) for i in range(30)]
     out = nearest.search(spark.createDataFrame([(i, v, 1, "x", "y") for i, v in rows], VECTORS), k=2).collect()
