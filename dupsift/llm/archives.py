@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from .common import fresh_path
 LEAST_REVISIT, IMAGE_BYTES, PACK_BYTES, PACKS = 100, 4 << 20, 4 << 20, 16
 END = b"\r\n\r\n"
 ID_HEADER = "X-Record-Key"
-RECORD_SCHEMA = "key bigint, url string, date string, kind string, length bigint, digest string, block binary"
+RECORD_SCHEMA = "key bigint, url string, date string, kind string, length bigint, digest string, block binary, error string"
 
 
 @dataclass
@@ -65,33 +66,74 @@ def write_arc(records: Iterator[ArcRecord], version: int, name: str = "made.arc"
     return b"".join(out)
 
 
-def read_arc(image: bytes) -> Iterator[ArcRecord]:
-    """The records of an image, without the version block. ValueError where a header doesn't fit the declared version."""
-    at, fields = 0, 0
+#: Record headers of each version. URL and content type may hold blanks, so lines are read from both ends: the last date behind an address divides them.
+_HEADERS = {
+    b"1": re.compile(rb"(.+) (\S+) (\d{4,14}) (.*) (\d+)"),
+    b"2": re.compile(rb"(.+) (\S+) (\d{4,14}) (.*) (?:\d+|-) \S+ \S+ (?:\d+|-) \S+ (\d+)"),
+}
+
+
+def expand(image: bytes) -> bytes:
+    """The image itself, or what its gzip members hold: usually there is one for each record."""
+    if image[:2] != b"\x1f\x8b":
+        return image
+    out = []
+    while image[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(image) + member.flush())
+        image = member.unused_data
+    return b"".join(out)
+
+
+def version_block(image: bytes) -> tuple[ArcRecord, bytes, int]:
+    """The record that describes the image, its version, and where it ends."""
+    end = image.find(b"\n")
+    line = image[: max(end, 0)].rstrip(b"\r").split(b" ")
+    if not line[0].startswith(b"filedesc:") or not line[-1].isdigit():
+        raise ValueError("the image doesn't begin with a version block")
+    body = image[end + 1 : end + 1 + int(line[-1])]
+    version = body.split(b" ", 1)[0]
+    if version not in _HEADERS:
+        raise ValueError(f"unknown version {version!r}")
+    url, ip, date = (x.decode("utf-8", "replace") for x in (*line[:3], b"", b"")[:3])
+    return ArcRecord(url, ip, date if date.isdigit() else "", "text/plain", body), version, end + 1 + len(body)
+
+
+def read_arc(image: bytes, bad: list[tuple[int, str]] | None = None) -> Iterator[ArcRecord]:
+    """The records of an image, without the version block. Where a header doesn't fit the declared version or a record is cut short: ValueError, or with
+    a list `bad` a note there (byte, reason), and reading goes on at the next line that is a header of a whole record."""
+    _, version, at = version_block(image)
+    header = _HEADERS[version]
     while at < len(image):
         if image[at : at + 1] in b"\r\n":  # what separates records
             at += 1
             continue
-        end = image.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"a header line without end at byte {at}")
-        parts = image[at:end].decode("utf-8", "surrogateescape").rstrip("\r").split(" ")
-        if not fields:
-            if not parts[0].startswith("filedesc:") or not parts[-1].isdigit():
-                raise ValueError("the image doesn't begin with a version block")
-            block = image[end + 1 : end + 1 + int(parts[-1])]
-            version = block.split(b" ", 1)[0]
-            if version not in (b"1", b"2"):
-                raise ValueError(f"unknown version {version!r}")
-            fields, at = 5 if version == b"1" else 10, end + 1 + len(block)
-            continue
-        if len(parts) != fields or not parts[-1].isdigit():
-            raise ValueError(f"a header of {len(parts)} fields at byte {at}, not {fields}")
-        body = image[end + 1 : end + 1 + int(parts[-1])]
-        if len(body) < int(parts[-1]):
-            raise ValueError(f"a record cut short at byte {at}")
-        yield ArcRecord(parts[0], parts[1], parts[2], parts[3], body)
-        at = end + 1 + len(body)
+        found, end = _record(image, at, header)
+        if isinstance(found, ArcRecord):
+            yield found
+            at = end
+        elif bad is None:
+            raise ValueError(f"{found} at byte {at}")
+        else:
+            bad.append((at, found))
+            at = image.find(b"\n", at) + 1 or len(image)
+            while at < len(image) and not (isinstance((next_ := _record(image, at, header))[0], ArcRecord) and image[next_[1] : next_[1] + 1] in (b"", b"\n", b"\r")):
+                at = image.find(b"\n", at) + 1 or len(image)
+
+
+def _record(image: bytes, at: int, header: re.Pattern) -> tuple[ArcRecord | str, int]:
+    """The record that begins at a byte, or what is wrong there; and where it ends."""
+    end = image.find(b"\n", at)
+    if end < 0:
+        return "a header line without end", end
+    m = header.fullmatch(image[at:end].rstrip(b"\r"))
+    if not m:
+        return "a header that doesn't fit the version", end
+    size = int(m[5])
+    if end + 1 + size > len(image):
+        return "a record cut short", end
+    url, ip, date, mime = (x.decode("utf-8", "replace") for x in m.groups()[:4])
+    return ArcRecord(url, ip, date, mime, image[end + 1 : end + 1 + size]), end + 1 + size
 
 
 def warc_date(arc: str) -> str:
@@ -115,17 +157,24 @@ def _header(head: bytes, name: str) -> str | None:
 
 def convert(images: DataFrame) -> DataFrame:
     """Rows with a binary `content` (ARC images, as binaryFile reads them) to the records in them: key (the number in the response's
-    X-Record-Key, else null), url, date (WARC's form), kind (mime), length and digest (SHA-256, hex) of the payload, block."""
+    X-Record-Key, else null), url, date (WARC's form), kind (mime), length and digest (SHA-256, hex) of the payload, block; and error. The version
+    block comes as a record whose url begins with filedesc. A bad record, or an image without a version block, is a row with error set and nothing else, so it doesn't fail the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for image in b.column(0):
-                rows = []
-                for r in read_arc(zlib.decompress(image.as_py(), 31) if image.as_py()[:2] == b"\x1f\x8b" else image.as_py()):
-                    head, payload = split_http(r.body)
-                    key = _header(head, ID_HEADER)
-                    rows.append((int(key) if key else None, r.url, warc_date(r.date), r.mime, len(payload), hashlib.sha256(payload).hexdigest(), r.body))
-                yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(_ARROW)], names=_NAMES)
+                rows, bad, plain = [], [], expand(image.as_py())
+                try:
+                    info = version_block(plain)[0]
+                    rows.append((None, info.url, warc_date(info.date), info.mime, len(info.body), hashlib.sha256(info.body).hexdigest(), info.body, None))
+                    for r in read_arc(plain, bad):
+                        head, payload = split_http(r.body)
+                        key = _header(head, ID_HEADER)
+                        rows.append((int(key) if key else None, r.url, warc_date(r.date), r.mime, len(payload), hashlib.sha256(payload).hexdigest(), r.body, None))
+                except ValueError as e:
+                    bad.append((0, str(e)))
+                rows += [(*[None] * len(_NAMES), f"{why} at byte {at}") for at, why in bad]
+                yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate([*_ARROW, pa.string()])], names=[*_NAMES, "error"])
 
     return images.select("content").mapInArrow(run, RECORD_SCHEMA)
 
@@ -159,7 +208,8 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def mark_revisits(records: DataFrame) -> DataFrame:
-    """records with refers_to (the key of the response with the equal payload; null for responses) and its url and date."""
+    """records (without errors) with refers_to (the key of the response with the equal payload; null for responses) and its url and date."""
+    records = records.where("error IS NULL").drop("error")
     first = (
         records.where(F.col("length") >= LEAST_REVISIT)
         .groupBy("digest")
@@ -176,12 +226,17 @@ def mark_revisits(records: DataFrame) -> DataFrame:
 def warc_record(key: int | None, url: str, date: str, mime: str, length: int, digest: str, block: bytes, first: dict | None) -> bytes:
     """One record, without the two CR LF that end it."""
     uid = lambda k, u, d: uuid.uuid5(uuid.NAMESPACE_URL, f"{k} {u} {d} {digest}").urn
+    about = url.startswith("filedesc:")
     head, _ = split_http(block)
+    if about:  # what the version block says, as fields
+        head, mime = b"", "application/warc-fields"
+        named = url.split("/")[-1]
+        block = f"isPartOf: {named}\r\nconvertedFrom: {block.splitlines()[0].decode('utf-8', 'replace') if block else ''}\r\n".encode()
     if first:
         block = head
     lines = [
         "WARC/1.0",
-        f"WARC-Type: {'revisit' if first else 'response' if head else 'resource'}",
+        f"WARC-Type: {'revisit' if first else 'warcinfo' if about else 'response' if head else 'resource'}",
         f"WARC-Record-ID: <{uid(key, url, date)}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {url}",
@@ -256,6 +311,9 @@ def read_warc(spark, path: str) -> DataFrame:
             for content in b.column(0):
                 rows = []
                 for h, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), 1 << 20)):
+                    if h["warc-type"] == "warcinfo":
+                        rows.append((None, h["warc-record-id"], h["warc-target-uri"], h["warc-date"], "warcinfo", len(block), None, None))
+                        continue
                     digest, length = h["warc-payload-digest"].removeprefix("sha256:"), int(h["x-payload-length"])
                     if h["warc-type"] != "revisit":
                         payload = split_http(block)[1] if h["warc-type"] == "response" else block
@@ -274,7 +332,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """What op5 returns: pages as ARC images, converted, marked, written as WARC, read back."""
     path = fresh_path(pages.sparkSession, "warc")
     write_warc(mark_revisits(convert(pages_to_arc(pages))), path)
-    return read_warc(pages.sparkSession, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
+    return read_warc(pages.sparkSession, path).where("record_type <> 'warcinfo'").select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
 
 
 ORACLE_SQL = f"""

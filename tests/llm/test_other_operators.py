@@ -252,6 +252,35 @@ def test_arc_versions():
     assert archives.warc_date("2023") == "2023-01-01T00:00:00Z" and archives.warc_date("20230102030405") == "2023-01-02T03:04:05Z"
 
 
+def test_arc_files_of_other_writers(spark):
+    """Bytes put together by hand: a gzip member for each record, blanks in URL and content type, a header of the wrong version, a record cut short."""
+    block = b"1 0 Crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+    bodies = [b"HTTP/1.1 200 OK\r\n\r\none", b"two\n\n", b"", b"HTTP/1.0 404 Not Found\r\n\r\n", b"five 1.2.3.4 20200101000000 text/html 3\nabc"]
+    heads = [b"http://a/x y", b"http://b/", b"http://c/ 9.9.9.9", b"http://d/", b"dns:e"]
+    kinds = [b"text/html; charset=x", b"text/plain", b"no-type", b"", b"text/dns"]
+    records = [b"%s 1.2.3.4 20200102030405 %s %d\n%s\n" % (h, k, len(b), b) for h, k, b in zip(heads, kinds, bodies)]
+    about = b"filedesc://f.arc 0.0.0.0 20200101000000 text/plain %d\n%s\n" % (len(block), block)
+    members = b"".join(gzip.compress(x) for x in [about, *records])
+    for image in (about + b"".join(records), members, gzip.compress(about + b"".join(records))):
+        got = list(archives.read_arc(archives.expand(image)))
+        assert [(r.url.encode(), r.mime.encode(), r.body, r.date) for r in got] == [(h, k, b, "20200102030405") for h, k, b in zip(heads, kinds, bodies)]
+    two = about.replace(b"1 0 Crawler", b"2 0 Crawler") + b"http://a/ b 1.2.3.4 20200102030405 text/html; charset=x 200 - - 0 f.arc 3\nabc\n"
+    assert [(r.url, r.mime, r.body) for r in archives.read_arc(two)] == [("http://a/ b", "text/html; charset=x", b"abc")]
+    broken = [about + records[0] + b"no header\n" + records[1] + records[3][:-9], b"nothing", members[:-3]]
+    rows = archives.convert(spark.createDataFrame([(bytearray(x),) for x in broken], "content binary")).collect()
+    urls = [r["url"] for r in rows if r["error"] is None]
+    assert sorted(urls) == sorted(["filedesc://f.arc"] * 2 + [h.decode() for h in (*heads[:2], *heads)])
+    assert sorted(r["error"].split(" at ")[0] for r in rows if r["error"]) == ["a header that doesn't fit the version", "a record cut short", "the image doesn't begin with a version block"]
+
+
+def test_warcinfo_comes_from_the_version_block(spark):
+    image = archives.write_arc(iter([archives.ArcRecord("http://a/", "1.2.3.4", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\n\r\nhello")]), 2, "old.arc")
+    path = archives.fresh_path(spark, "warc")
+    archives.write_warc(archives.mark_revisits(archives.convert(spark.createDataFrame([(bytearray(image),)], "content binary"))), path)
+    got = {r["record_type"]: r for r in archives.read_warc(spark, path).collect()}
+    assert got.keys() == {"warcinfo", "response"} and got["warcinfo"]["uri"] == "filedesc://old.arc" and got["response"]["payload_bytes"] == 5
+
+
 def test_warc_stream():
     first = dict(key=3, url="http://c", date="2024-01-01T00:00:00Z")
     block = b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * 120
