@@ -8,9 +8,10 @@ copies has one key) is dealt into more by a hash, and its records are ordered by
 record its place in the whole order, and that place in bytes gives the shard, so shards differ by less than one record from equal bytes: the splitters
 make the ranges, the exact sums correct their inequality.
 
-Only DataFrame operations run on the executors. What comes to the driver is bounded: at most about DRAWS keys a round and RANGES sums.
-Null text has no bytes; a null doc_id sorts last. Repeated rows are records of their own. An empty table gives an empty result.
-Extra columns are dropped.
+Only DataFrame operations run on the executors. What comes to the driver is bounded: about DRAWS keys for each range and round, and a few sums for each range. Equal
+rows are counted before they are exchanged and travel as chunks, which are drawn, dealt and ordered as one record each and unfolded at the end, so no number of them makes a large task.
+Null text has no bytes; texts of any length count whole, by their size and hashes; a null doc_id sorts last. Repeated rows are records of their own, each with its slot. An empty
+table gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -61,12 +62,12 @@ def _isolate(splitters: set[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def splitters_of(records: DataFrame, total: int, shards: int) -> list[tuple[int, int]]:
-    """Splitters (key, id) for records with key, id, size, whose sizes sum to total."""
+    """Splitters (key, id) for records with key, id, chunk, size, whose sizes sum to total. Rows are drawn by a hash of all but the size."""
     ranges = shards * RANGES_A_SHARD
 
     def draw(rows: DataFrame, each: float, seed: int) -> list:
         chance = F.least(F.lit(1.0), F.col("size") / each)
-        u = F.pmod(F.xxhash64("key", "id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        u = F.pmod(F.xxhash64("key", "id", "chunk", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         return [(r[0], r[1], max(float(r[2]), each)) for r in rows.where(u < chance).select("key", "id", "size").collect()]
 
     found = set(_quantiles(draw(records, total / (ranges * DRAWS), 0), ranges))
@@ -76,10 +77,10 @@ def splitters_of(records: DataFrame, total: int, shards: int) -> list[tuple[int,
         full = placed.groupBy("range").agg(F.sum("size").alias("b")).where(F.col("b") > OVERFULL * total / ranges).collect()
         if not full:
             break
-        dense = placed.where(F.col("range").isin([r["range"] for r in full])).select("key", "id", "size", "range")
+        dense = placed.where(F.col("range").isin([r["range"] for r in full])).select("key", "id", "chunk", "size", "range")
         each = total / (ranges * DRAWS * 4)
         chance = F.least(F.lit(1.0), F.col("size") / each)
-        u = F.pmod(F.xxhash64("key", "id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        u = F.pmod(F.xxhash64("key", "id", "chunk", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         drawn: dict[int, list] = {}
         for r in dense.where(u < chance).collect():
             drawn.setdefault(r["range"], []).append((r["key"], r["id"], max(float(r["size"]), each)))
@@ -95,20 +96,21 @@ def splitters_of(records: DataFrame, total: int, shards: int) -> list[tuple[int,
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null: the law isn't 'key')."""
     text = F.coalesce("text", F.lit(""))
-    records = materialize(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text) + 8).cast("bigint").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.xxhash64(text).alias("key"),
-            F.coalesce("doc_id", F.lit(LAST_ID)).cast("bigint").alias("id"),
-        ),
-        "records",
+    rows = docs.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("key"),
+        F.coalesce("doc_id", F.lit(LAST_ID)).cast("bigint").alias("id"),
     )
-    total = records.agg(F.sum("size")).first()[0] or 1
-    placed = records.withColumn("range", _range_of(splitters_of(records, total, shards)))
+    # Equal rows as chunks of at most CELL_ROWS, each one record until the end.
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CELL_ROWS))))
+    chunks = counted.withColumn("n", F.least(F.lit(CELL_ROWS), F.col("n") - F.col("chunk") * CELL_ROWS)).withColumn("weight", F.col("size") * F.col("n"))
+    records = materialize(chunks, "records")
+    total = records.agg(F.sum("weight")).first()[0] or 1
+    placed = records.withColumn("range", _range_of(splitters_of(records.select("key", "id", "chunk", F.col("weight").alias("size")), total, shards)))
     ranges = placed.groupBy("range").agg(
-        F.sum("size").alias("b"), F.count("*").alias("n"), F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("id").alias("i0"), F.max("id").alias("i1")
+        F.sum("weight").alias("b"), F.sum("n").alias("n"), F.count("*").alias("records"), F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("id").alias("i0"), F.max("id").alias("i1")
     ).collect()  # at most a few for each of shards * RANGES_A_SHARD
     # Where a range lies: bytes and rows before it, and how its cells are cut: by key, or by id where it has one key.
     ranges.sort(key=lambda r: r["range"])
@@ -116,7 +118,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     for r in ranges:
         one = r["k0"] == r["k1"]
         lo, hi = (r["i0"], r["i1"]) if one else (r["k0"], r["k1"])
-        where[r["range"]] = (b, n, one, float(lo), max(float(hi) - float(lo), 1.0), 1 + r["n"] // CELL_ROWS)
+        where[r["range"]] = (b, n, one, float(lo), max(float(hi) - float(lo), 1.0), 1 + r["records"] // CELL_ROWS)
         b, n = b + r["b"], n + r["n"]
     rows = [where.get(i, (0, 0, False, 0.0, 1.0, 1)) for i in range(max(where, default=0) + 1)]
     of_range = lambda i, kind: F.get(F.lit([r[i] for r in rows]).cast(f"array<{kind}>"), F.col("range"))
@@ -126,11 +128,11 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     full = placed.groupBy("range", "cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CELL_ROWS)
     full = materialize(full.select("range", "cell", F.ceil(F.col("n") / CELL_ROWS).alias("parts")), "full")
     placed = placed.join(broadcast_if_small(full, full.count(), BROADCAST_ROWS), ["range", "cell"], "left")
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "id"), F.coalesce("parts", F.lit(1))))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "id", "chunk"), F.coalesce("parts", F.lit(1))))
     by_range = Window.partitionBy("range").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("range", "cell", "part")
-        .agg(F.sum("size").alias("cell_b"), F.count("*").alias("cell_n"))
+        .agg(F.sum("weight").alias("cell_b"), F.sum("n").alias("cell_n"))
         .select(
             "range",
             "cell",
@@ -139,13 +141,16 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
             (F.coalesce(F.sum("cell_n").over(by_range), F.lit(0)) + of_range(1, "bigint")).alias("n0"),
         )
     )
-    in_cell = Window.partitionBy("range", "cell", "part").orderBy("key", "id", "size")
-    before = F.coalesce(F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("b0")
+    in_cell = Window.partitionBy("range", "cell", "part").orderBy("key", "id", "size", "chunk")
+    earlier = in_cell.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("weight").over(earlier), F.lit(0)) + F.col("b0")
+    place = F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.col("n0")
     ordered = materialize(
         placed.join(starts, ["range", "cell", "part"])
-        .withColumn("bytes_before", before)
-        .withColumn("place", F.row_number().over(in_cell) - 1 + F.col("n0"))
-        .select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(F.col("bytes_before") * shards / F.lit(total))).cast("int").alias("shard"), "place"),
+        .select("doc_id", "size", "text_crc32", "n", before.alias("bytes_before"), place.alias("place"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("copy"))
+        .withColumn("bytes_before", F.col("bytes_before") + F.col("copy") * F.col("size"))
+        .select("doc_id", "size", "text_crc32", F.least(F.lit(shards - 1), F.floor(F.col("bytes_before") * shards / F.lit(total))).cast("int").alias("shard"), (F.col("place") + F.col("copy")).alias("place")),
         "ordered",
     )
     first = {r["shard"]: r["p"] for r in ordered.groupBy("shard").agg(F.min("place").alias("p")).collect()}

@@ -273,6 +273,26 @@ def test_sharding_small_cells(spark, monkeypatch):
     check_shards(sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows, 24)
 
 
+def test_sharding_of_repeated_rows(spark, monkeypatch):
+    """Repeated rows without ids travel as chunks: what the driver collects stays small."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    collected, collect = [], DataFrame.collect
+
+    def counting(self):
+        collected.append(collect(self))
+        return collected[-1]
+
+    rows = [(None, "the same text") for _ in range(60_000)] + [(i, f"text {i} " * (i % 50)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(DataFrame, "collect", counting)
+    out = sharding.shard(docs)
+    most = max(map(len, collected))
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    check_shards(out.collect(), rows, 24)
+    assert most < 5_000
+
+
 def plain_removals(rows):
     last, first, out = (1 << 63) - 1, {}, []
     key = lambda d: last if d is None else d
