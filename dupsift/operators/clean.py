@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import bin_of, safe_name
+from . import order
 
 # Labels with a damaged or long dash, and what they become.
 LABEL_REPLACEMENTS = {
@@ -54,11 +55,10 @@ def to_number(x: Column) -> Column:
 
 
 def quantiles(df: DataFrame, columns: list[str], points: list[float], accuracy: int | None = None) -> dict[str, list[float] | None]:
-    """Per column its quantiles, in one job. Exact, by linear interpolation; with `accuracy` by a sketch of that size, for tables
-    where a column has too many distinct values to keep."""
-    at = F.lit(points)
-    one = (lambda c: F.percentile_approx(c, at, F.lit(accuracy))) if accuracy else (lambda c: F.percentile(c, at))
-    row = df.agg(*[one(c).alias(c) for c in columns]).first()
+    """Per column its quantiles. Exact, by linear interpolation between order statistics (see `order`); with `accuracy` by a sketch of that size, in one pass."""
+    if not accuracy:
+        return order.quantiles(df, columns, points)
+    row = df.agg(*[F.percentile_approx(c, F.lit(points), F.lit(accuracy)).alias(c) for c in columns]).first()
     return {c: row[c] for c in columns}
 
 
@@ -138,8 +138,8 @@ def balanced_sample(df: DataFrame, most: int, label: str = "label", id_col: str
     for r in rows:
         take[r[label]] = min(quota, r["n"], left)
         left -= take[r[label]]
-    order = Window.partitionBy(label).orderBy("_o", id_col)
-    placed = df.withColumn("_o", md5_order(f"{seed}|sample", id_col)).withColumn("_n", F.row_number().over(order))
+    by_label = Window.partitionBy(label).orderBy("_o", id_col)
+    placed = df.withColumn("_o", md5_order(f"{seed}|sample", id_col)).withColumn("_n", F.row_number().over(by_label))
     share = F.create_map(*[F.lit(x) for kv in take.items() for x in kv])
     chosen = placed.where(F.col("_n") <= share[F.col(label)])
     if left:
