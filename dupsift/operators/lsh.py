@@ -54,14 +54,21 @@ def hits(coded: DataFrame, queries: DataFrame, bands: int, width: int, same_labe
     return joined.groupBy("q", "id").agg(F.count("*").alias("hits"))
 
 
-def in_blocks(queries: DataFrame, corpus: DataFrame, blocks: int = 8) -> DataFrame:
-    """A stated query set against all rows: queries (q, ...) go to every block of the corpus (id, ...); an equi-join on the block."""
-    return (
+#: Rows of a block that a stated query set is held against.
+BLOCK_ROWS = 50_000
+
+
+def in_blocks(queries: DataFrame, corpus: DataFrame, blocks: int | None = None, anyone: bool = False) -> DataFrame:
+    """A stated query set against all rows: queries (q, ...) go to every block of the corpus (id, ...); an equi-join on the block. There are as many blocks as
+    BLOCK_ROWS rows each need, at least the session's shuffle partitions, unless their number is given. anyone: also where q = id."""
+    if blocks is None:
+        blocks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // BLOCK_ROWS))
+    joined = (
         queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .join(corpus.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "_block")
         .drop("_block")
-        .where("q <> id")
     )
+    return joined if anyone else joined.where("q <> id")
 
 
 def top_k(coded: DataFrame, queries: DataFrame, k: int, bands: int, width: int, same_label: bool = True, fallback: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions import vectors as V
+from .order import evenly_spaced
 
 
 def share(a: Column, b: Column) -> Column:
@@ -167,17 +168,22 @@ def recall_at_k(scored: DataFrame, orders: list[tuple[int, str]], k: int) -> Dat
     return out.select("q", level.alias("level"), F.round(F.coalesce(F.when(level.isNotNull(), common / F.lit(float(k))), F.lit(0.0)), 6).alias("recall"))
 
 
-def retrieval_report(pairs: DataFrame, ks: list[int]) -> DataFrame:
+def retrieval_report(pairs: DataFrame, ks: list[int], by: str | None = None, most: int | None = None) -> DataFrame:
     """mrr, hit and precision at each k of candidate rankings from scored pairs (id_1, id_2, score, truth), taken both ways; queries are the
-    ids with a true pair; ties go to the smaller id."""
-    both = pairs.select(F.col("id_1").alias("q"), F.col("id_2").alias("id"), "score", "truth").union(pairs.select("id_2", "id_1", "score", "truth")).groupBy("q", "id").agg(F.max("score").alias("score"), F.max("truth").alias("truth"))
-    ranked = both.join(both.where("truth = 1").select("q").distinct(), "q", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")))
+    ids with a true pair, at most `most` of them, evenly spaced; ties go to the smaller id. by: a column of methods, each with a row."""
+    own = [by] if by else []
+    both = pairs.select(*own, F.col("id_1").alias("q"), F.col("id_2").alias("id"), "score", "truth").union(pairs.select(*own, "id_2", "id_1", "score", "truth"))
+    both = both.groupBy(*own, "q", "id").agg(F.max("score").alias("score"), F.max("truth").alias("truth"))
+    asked = both.where("truth = 1").select("q").distinct()
+    if most is not None:
+        asked = evenly_spaced(asked, most, "q").select("q")
+    ranked = both.join(asked, "q", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(*own, "q").orderBy(F.desc("score"), "id")))
     true = F.col("truth") == 1
-    per = ranked.groupBy("q").agg(F.min(F.when(true, F.col("n"))).alias("first"), *[F.count_if(true & (F.col("n") <= k)).alias(f"n{k}") for k in ks])
+    per = ranked.groupBy(*own, "q").agg(F.min(F.when(true, F.col("n"))).alias("first"), *[F.count_if(true & (F.col("n") <= k)).alias(f"n{k}") for k in ks])
     aggs = [F.count("*").alias("queries"), F.round(F.avg(1 / F.col("first")), 6).alias("mrr")]
     for k in ks:
         aggs += [F.round(F.avg((F.col(f"n{k}") > 0).cast("double")), 6).alias(f"hit_at_{k}"), F.round(F.avg(F.col(f"n{k}") / k), 6).alias(f"precision_at_{k}")]
-    return per.agg(*aggs)
+    return per.groupBy(by).agg(*aggs) if by else per.agg(*aggs)
 
 
 def best_model(metrics: DataFrame) -> DataFrame:
