@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import bin_of, safe_name
+from ..storage import kept
 from . import order
 
 # Labels with a damaged or long dash, and what they become.
@@ -110,8 +111,9 @@ def bin_tokens(label: Column, source: Column, edges: dict[str, list[float]]) ->
 
 
 def vocabulary(sequences: DataFrame, col: str = "tokens") -> DataFrame:
-    """token, token_id: sorted distinct tokens from 2 on. The window is over distinct tokens only."""
-    return sequences.select(F.explode(col).alias("token")).distinct().select("token", (F.row_number().over(Window.orderBy("token")) + 1).alias("token_id"))
+    """token, token_id: sorted distinct tokens from 2 on, numbered by range partitions."""
+    tokens = sequences.select(F.explode(col).alias("token")).distinct()
+    return order.with_positions(tokens, "token").select("token", (F.col("pos") + 2).cast("int").alias("token_id"))
 
 
 def encode(sequences: DataFrame, vocab: DataFrame, length: int, id_col: str = "id", col: str = "tokens") -> DataFrame:
@@ -138,10 +140,13 @@ def balanced_sample(df: DataFrame, most: int, label: str = "label", id_col: str
     for r in rows:
         take[r[label]] = min(quota, r["n"], left)
         left -= take[r[label]]
-    by_label = Window.partitionBy(label).orderBy("_o", id_col)
-    placed = df.withColumn("_o", md5_order(f"{seed}|sample", id_col)).withColumn("_n", F.row_number().over(by_label))
-    share = F.create_map(*[F.lit(x) for kv in take.items() for x in kv])
-    chosen = placed.where(F.col("_n") <= share[F.col(label)])
+    placed = kept(df.withColumn("_o", F.conv(F.substring(md5_order(f"{seed}|sample", id_col), 1, 13), 16, 10).cast("double")).withColumn("_s", F.coalesce(F.col(label).cast("string"), F.lit("\0"))), "placed")
+    wanted = {("\0" if k is None else str(k)): n for k, n in take.items() if n}
+    ends = order.order_statistics(placed, {k: [n - 1] for k, n in wanted.items()}, "_s", "_o")
+    limits = df.sparkSession.createDataFrame([(k, ends[k, n - 1]) for k, n in wanted.items()], "_s string, _end double")  # a row for each label
+    placed = placed.join(F.broadcast(limits), "_s", "left")
+    inside = F.coalesce(F.col("_o") <= F.col("_end"), F.lit(False))
+    chosen = placed.where(inside)
     if left:
-        chosen = chosen.union(placed.where(F.col("_n") > share[F.col(label)]).orderBy("_o", id_col).limit(left))
-    return chosen.drop("_o", "_n")
+        chosen = chosen.union(placed.where(~inside).orderBy("_o", id_col).limit(left))
+    return chosen.select(*df.columns)

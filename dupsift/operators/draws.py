@@ -17,6 +17,7 @@ from ..functions import vectors as V
 from ..storage import kept
 from .clean import md5_order
 from .order import order_statistics, running_sums, with_positions
+from .pairs import stratified
 
 #: Drawn pairs up to which they are broadcast to the rows.
 BROADCAST_DRAWS = 200_000
@@ -232,21 +233,11 @@ def guided_pairs(df: DataFrame, max_pairs: int, seed: int = 42, bins: int = 10,
         active = [g for g in active if g in useful]
         if not active:
             break
-    return _spread_over_bins(found.withColumnRenamed("token_jaccard", "true_sim"), max_pairs, seed, bins, least_bins)
-
-
-def _spread_over_bins(found: DataFrame, max_pairs: int, seed: int, bins: int, least_bins: int) -> DataFrame:
-    """The quota of each bin in MD5 order, then others in that order. The last of a quota is an order statistic, so no bin is sorted."""
-    quota = -(-max_pairs // bins)
-    order = F.conv(F.substring(md5_order(f"{seed}|bin", "id_1", "id_2"), 1, 13), 16, 10).cast("double")
-    placed = kept(found.withColumn("_o", order), "placed")
-    have = {r["similarity_bin"]: r["n"] for r in placed.groupBy("similarity_bin").agg(F.count("*").alias("n")).collect()}  # a row for each bin
-    if len(have) < least_bins:
-        raise ValueError(f"pairs in {len(have)} bins, not in {least_bins}")
-    ends = order_statistics(placed, {b: [min(quota, n) - 1] for b, n in have.items()}, "similarity_bin", "_o")
-    limit = F.get(F.lit([float(ends.get((b, min(quota, have.get(b, 0)) - 1), -1.0)) for b in range(bins)]), F.col("similarity_bin"))
-    ranked = placed.withColumn("_r", F.when(F.col("_o") <= limit, 0).otherwise(1))
-    return ranked.orderBy("_r", "_o", "id_1", "id_2").limit(max_pairs).select("id_1", "id_2", "label_1", "label_2", "true_sim", "similarity_bin")
+    there = found.select("similarity_bin").distinct().count()
+    if there < least_bins:
+        raise ValueError(f"pairs in {there} bins, not in {least_bins}")
+    chosen = stratified(found.withColumnRenamed("token_jaccard", "true_sim"), max_pairs, bins, seed)
+    return chosen.select("id_1", "id_2", "label_1", "label_2", "true_sim", "similarity_bin")
 
 
 def stratified_split(pairs: DataFrame, stratum: str, plot: float = 0.2, validation: float = 0.2, seed: int = 42) -> DataFrame:

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 
+def shape_for(rows: int, bucket: int = 64, bits: int = 64) -> tuple[int, int]:
+    """(bands, width) of which a random row shares a bucket with about `bucket` others at most: the least power of two of bits that gives so many keys. Pairs within buckets
+    then grow with rows * bucket, not with the square of the rows."""
+    width = 1
+    while width < bits and rows > bucket << width:
+        width *= 2
+    return bits // width, width
+
+
 def codes(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
     """id, label, v (double), word (the packed sign code)."""
     return df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), V.doubles(F.col(vector)).alias("v"), V.packed(V.sign_code(F.col(vector))).alias("word"))
@@ -78,10 +87,10 @@ def top_k(coded: DataFrame, queries: DataFrame, k: int, bands: int, width: int,
     q = queries.select(F.col("id").alias("q"), F.col("label").alias("query_label"), F.col("v").alias("q_v"))
     if fallback:
         none = q.join(found.select("q").distinct(), "q", "left_anti")
+        # Every query meets every block; a label is no unit of work, as a few may hold all rows.
+        scanned = in_blocks(none.select("q", "query_label"), coded.select("id", "label"))
         if same_label:
-            scanned = none.join(coded.select("id", "label"), F.col("query_label") == F.col("label")).where("q <> id")
-        else:
-            scanned = in_blocks(none, coded.select("id"))
+            scanned = scanned.where(F.col("query_label") == F.col("label"))
         found = found.union(scanned.select("q", "id", F.lit(0).cast("bigint")))
     c = coded.select("id", F.col("label").alias("candidate_label"), "v")
     scored = found.join(q, "q").join(c, "id").withColumn("similarity", F.round(V.cosine01(F.col("q_v"), F.col("v")), 6))

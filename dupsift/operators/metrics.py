@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions import vectors as V
-from .order import evenly_spaced
+from ..storage import kept
+from .order import evenly_spaced, running_sums
 
 
 def share(a: Column, b: Column) -> Column:
@@ -53,11 +59,13 @@ def spread(start: float, stop: float, n: int) -> list[float]:
 DEFAULT_THRESHOLDS, SIMHASH_THRESHOLDS = spread(0.1, 0.95, 18), spread(0.5, 0.98, 17)
 
 
-def average_ranks(df: DataFrame, col: str) -> DataFrame:
-    """The average rank of each distinct value: value, rank, n. Ranks are running sums over distinct values."""
-    counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("value", (before + (F.col("n") + 1) / 2).alias("rank"), "n")
+def average_ranks(df: DataFrame, col: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """The average rank of each distinct value (within `by`): by, value, rank, n. Ranks are running sums over distinct values, by range partitions."""
+    counts = df.groupBy(*by, F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    summed = running_sums(counts, "n", *by, "value")
+    if by:  # a row for each group
+        summed = summed.join(summed.groupBy(*by).agg(F.min("before").alias("_start")), by).withColumn("before", F.col("before") - F.col("_start"))
+    return summed.select(*by, "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"), "n")
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -72,16 +80,63 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return pearson(ranked, "_rx", "_ry").withColumnRenamed("pearson", "spearman")
 
 
+#: Rows that one block of values should hold, and blocks at most.
+BLOCK_ROWS, MOST_BLOCKS = 200_000, 256
+
+
+def concordance(a: np.ndarray, v: np.ndarray, w: np.ndarray) -> float:
+    """Sum over pairs with a < a' of sign(v' - v) w w'. Halves of the ranks of a are compared level by level, each level by one sort."""
+    rank = np.unique(a, return_inverse=True)[1]
+    v = np.unique(v, return_inverse=True)[1]
+    total, level = 0.0, 0
+    while rank.max(initial=0) >> level:
+        group, right = rank >> (level + 1), (rank >> level) & 1 == 1
+        order = np.lexsort((v, group))
+        g, x, left = group[order], v[order], np.where(right[order], 0.0, w[order])
+        sums = np.r_[0.0, np.cumsum(left)]
+        key = g * (int(v.max()) + 1) + x
+        below, upto = sums[np.searchsorted(key, key, "left")], sums[np.searchsorted(key, key, "right")]
+        first, last = sums[np.searchsorted(g, g, "left")], sums[np.searchsorted(g, g, "right")]
+        own = right[order]
+        total += float((w[order] * ((below - first) - (last - upto)))[own].sum())
+        level += 1
+    return total
+
+
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """tau-b from the table of distinct (x, y): its size is bounded by the values' own resolution (scores rounded to two
-    digits, bit counts), not by the rows. Cells are compared with the cells that lie above them in x."""
-    cells = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    both = a.join(F.broadcast(b), F.col("a.x") < F.col("b.x")).agg(F.sum(F.signum(F.col("b.y").cast("double") - F.col("a.y").cast("double")) * F.col("a.n") * F.col("b.n")).alias("s"))
-    ties = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{c}"))
-    whole = cells.agg(F.sum("n").alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).alias("all"))
-    one = both.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(whole)  # one row each
-    return one.select(F.round(F.coalesce(F.try_divide(F.col("s"), F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty")))), F.lit(0.0)), 6).alias("kendall_tau"))
+    """tau-b, exactly, whatever the number of distinct values. Values of x and of y are cut into blocks of about BLOCK_ROWS rows by running sums; a value with more is a block of its own.
+    Pairs that differ in both blocks come from the table of block counts (at most (2 * MOST_BLOCKS)^2 cells); pairs within a block of x, or of y, are compared in a task for each block."""
+    cells = kept(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n")), "cells")
+    rows = cells.agg(F.sum("n")).first()[0] or 0
+    size = max(BLOCK_ROWS, -(-rows // MOST_BLOCKS))
+
+    def placed(c: str) -> DataFrame:
+        summed = running_sums(cells.groupBy(c).agg(F.sum("n").alias("m")), "m", c)
+        return kept(summed.select(c, "m", (2 * F.floor(F.col("before") / size) + (F.col("m") > size).cast("bigint")).alias(f"b{c}")), f"blocks_{c}")
+
+    by_x, by_y = placed("x"), placed("y")
+    both = kept(cells.join(by_x.drop("m"), "x").join(by_y.drop("m"), "y"), "placed")
+
+    def compared(major: str) -> Callable[[pa.Table], pa.Table]:
+        return lambda t: pa.table({"s": [concordance(*(t.column(c).to_numpy().astype(np.float64) for c in (major, "y", "n")))]})
+
+    # A block of one value (odd) has no pairs of its own.
+    within_x = both.where("bx % 2 = 0").groupBy("bx").applyInArrow(compared("x"), "s double")
+    within_y = both.where("by % 2 = 0").groupBy("by").applyInArrow(compared("bx"), "s double")
+    s = within_x.union(within_y).agg(F.sum("s")).first()[0] or 0.0
+    counts = both.groupBy("bx", "by").agg(F.sum("n").alias("n")).collect()
+    if counts:
+        i, j = (np.unique([r[c] for r in counts], return_inverse=True)[1] for c in ("bx", "by"))
+        table = np.zeros((i.max() + 1, j.max() + 1))
+        table[i, j] = [r["n"] for r in counts]
+        below = np.zeros_like(table)  # counts in later blocks of x
+        below[:-1] = np.cumsum(table[::-1], 0)[::-1][1:]
+        sums = np.cumsum(below, 1)
+        s += float((table * ((sums[:, -1:] - sums) - (sums - below))).sum())
+    ties = [float(t.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)).first()[0] or 0) for t in (by_x, by_y)]
+    every = rows * (rows - 1) / 2
+    scale = math.sqrt((every - ties[0]) * (every - ties[1]))
+    return df.sparkSession.createDataFrame([(round(s / scale, 6) if scale else 0.0,)], "kendall_tau double")
 
 
 def calibration(df: DataFrame, true: str = "true_sim", predicted: str = "pred_sim") -> DataFrame:

@@ -6,24 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..storage import kept
 from .clean import md5_order
+from .order import order_statistics
 
 
-def _salt(order: Column, salts: int) -> Column:
-    return F.conv(F.substring(order, 1, 2), 16, 10).cast("int") % salts
+#: Rows of one salt, about.
+SALT_ROWS = 100_000
+
+
+def _salt(order: Column, salts: int, more: Column) -> Column:
+    """salts times `more` parts, by digits of the MD5."""
+    digits = lambda at, n: F.conv(F.substring(order, at, n), 16, 10).cast("bigint")
+    return digits(1, 2) % salts + salts * (digits(3, 10) % more)
 
 
 def _neighbours(df: DataFrame, kind: str, by: list[str], salts: int, seed: int, ahead: int = 1) -> DataFrame:
-    """Rows beside the row that follows in MD5 order within (by, salt); salts cut large groups into many tasks."""
-    df = df.withColumn("_o", md5_order(f"{seed}|{kind}", "id")).withColumn("_s", _salt(F.col("_o"), salts))
+    """Rows beside the row that follows in MD5 order within (by, salt). Groups larger than `salts` parts of SALT_ROWS are cut into more, counted first; only ids are ordered, the other
+    columns are joined to the pairs."""
+    slim = df.select("id", *by).withColumn("_o", md5_order(f"{seed}|{kind}", "id"))
+    sizes = slim.groupBy(*by).agg(F.ceil(F.count("*") / (salts * SALT_ROWS)).alias("_more"))
+    if by:
+        slim = slim.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, by)
+    else:
+        slim = slim.withColumn("_more", F.lit(max(1, sizes.first()[0])))
     w = Window.partitionBy(*by, "_s").orderBy("_o", "id")
-    keep = [c for c in df.columns if c not in ("_o", "_s")]
-    out = None
-    for i in range(1, ahead + 1):
-        nxt = df.withColumn("_n", F.lead(F.struct(*keep), i).over(w)).where("_n IS NOT NULL")
-        one = nxt.select(*[F.col(c).alias(f"{c}_1") for c in keep], *[F.col("_n")[c].alias(f"{c}_2") for c in keep])
-        out = one if out is None else out.union(one)
-    return out
+    placed = slim.withColumn("_s", _salt(F.col("_o"), salts, F.greatest(F.lit(1), F.col("_more")).cast("bigint")))
+    nexts = F.array(*[F.lead("id", i).over(w) for i in range(1, ahead + 1)])
+    pairs = placed.select(F.col("id").alias("id_1"), nexts.alias("_n")).select("id_1", F.explode("_n").alias("id_2")).where("id_2 IS NOT NULL")
+    side = lambda n: df.select(*[F.col(c).alias(f"{c}_{n}") for c in df.columns])
+    out = pairs.join(side(1), "id_1").join(side(2), "id_2")
+    return out.select(*[f"{c}_1" for c in df.columns], *[f"{c}_2" for c in df.columns])
 
 
 def positive(df: DataFrame, salts: int = 4, seed: int = 42) -> DataFrame:
@@ -52,12 +65,15 @@ def assemble(positives: DataFrame, negatives: DataFrame, similarity: Column, str
 
 
 def stratified(scored: DataFrame, most: int, bins: int = 10, seed: int = 42) -> DataFrame:
-    """At most ceil(most / bins) pairs from each similarity bin, then others up to `most`; with similarity_bin. scored: id_1, id_2, true_sim."""
+    """At most ceil(most / bins) pairs from each similarity bin, then others up to `most`; with similarity_bin. scored: id_1, id_2, true_sim. The last of a bin's
+    share is an order statistic of the pairs' MD5, so no bin is ranked."""
     quota = -(-most // bins)
-    w = Window.partitionBy("similarity_bin").orderBy("_o", "id_1", "id_2")
-    placed = scored.withColumn("similarity_bin", T.floor_bin(F.col("true_sim"), bins)).withColumn("_o", md5_order(f"{seed}|bin", "id_1", "id_2")).withColumn("_n", F.row_number().over(w))
-    rank = F.when(F.col("_n") <= quota, 0).otherwise(1)
-    return placed.orderBy(rank, "_o", "id_1", "id_2").limit(most).drop("_o", "_n")
+    order = F.conv(F.substring(md5_order(f"{seed}|bin", "id_1", "id_2"), 1, 13), 16, 10).cast("double")
+    placed = kept(scored.withColumn("similarity_bin", T.floor_bin(F.col("true_sim"), bins)).withColumn("_o", order), "placed")
+    have = {r["similarity_bin"]: r["n"] for r in placed.groupBy("similarity_bin").agg(F.count("*").alias("n")).collect()}  # a row for each bin
+    ends = order_statistics(placed, {b: [min(quota, n) - 1] for b, n in have.items()}, "similarity_bin", "_o")
+    limit = F.get(F.lit([float(ends.get((b, min(quota, have.get(b, 0)) - 1), -1.0)) for b in range(bins)]), F.col("similarity_bin"))
+    return placed.orderBy(F.when(F.col("_o") <= limit, 0).otherwise(1), "_o", "id_1", "id_2").limit(most).drop("_o")
 
 
 def split(pairs: DataFrame, stratum: str, plot: float = 0.2, validation: float = 0.2, seed: int = 42) -> DataFrame:

@@ -86,9 +86,7 @@ def selection(scored: DataFrame) -> DataFrame:
     A gap without pairs is 1."""
 
     def ranked(c: str) -> DataFrame:
-        """The average rank of each distinct value of a configuration; values should be rounded."""
-        before = F.sum("n").over(Window.partitionBy("config").orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return scored.groupBy("config", c).agg(F.count("*").alias("n")).select("config", c, (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"{c}_rank"))
+        return metrics.average_ranks(scored, c, ["config"]).select("config", F.col("value").alias(c), F.col("rank").alias(f"{c}_rank"))
 
     def corr(x: str, y: str) -> Column:
         return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
