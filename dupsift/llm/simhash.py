@@ -13,7 +13,8 @@ SHINGLE-word shingles have at least that Jaccard similarity are linked too, exac
 among the first n - ceil(similar n) + 1 of each, so these prefixes are the join keys. Shingles that crowd the prefixes come last in the order, found by a first pass.
 Of a long text whose uncrowded shingles are at least RARE of all, the first ENOUGH keys do: for a similarity of 0.8 the uncrowded parts of a similar pair then have one of at least a half, so the
 chance that none of the first ENOUGH shingles of their union (in the order of a hash) is in both is below 2 ** -ENOUGH, one in 10 ** 12, no more than that of equal hashes.
-A pair is only looked at where, if the key is the first that both have, enough shingles follow it in both. Of each key the texts are first compared with the smallest of them only; where that makes
+A pair is only looked at where, if the key is the first that both have, enough shingles follow it in both. Each text is first compared with the smallest one of its FIRST_KEYS most frequent keys, which joins groups of near copies at few
+pairs a text. Of each key that then has several components the texts are compared with the smallest of them only; where that makes
 all of a key's texts one component, the key is done, so a group of near copies makes a few pairs for each, not its square. Of other keys with up to COMMON texts the remaining pairs between components
 are compared; in keys with more the next LEADERS smallest texts are compared with the others, and texts that no remaining one can be similar to leave, until one component or one text is left,
 or at most four pairs for each key of a text at the start: then those are compared.
@@ -42,7 +43,7 @@ BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
 CROWDED = 16
 BROADCAST_ROWS = 500_000
 #: Words of a shingle for Jaccard similarity; a prefix shingle of more texts is moved to the end of the order, of at most HOT such.
-SHINGLE, COMMON, HOT, LEADERS, RARE, ENOUGH = 5, 30, 200_000, 16, 0.5, 40
+SHINGLE, COMMON, HOT, LEADERS, RARE, ENOUGH, FIRST_KEYS = 5, 30, 200_000, 16, 0.5, 40, 3
 _CHUNK = 1 << 16
 
 
@@ -227,11 +228,12 @@ def similar_links(docs: DataFrame, similar: float) -> DataFrame:
         pairs = rows.join(first, "key").where((F.col("h") != F.col("l_h")) & (F.col("class") != F.col("l_class")) & possible("", "l_"))
         return pairs.select(F.least("l_h", "h").alias("a"), F.greatest("l_h", "h").alias("b"))
 
-    def still_open(rows: DataFrame, first: DataFrame, links: DataFrame) -> DataFrame:
+    def still_open(rows: DataFrame, first: DataFrame | None, links: DataFrame) -> DataFrame:
         """rows without the leaders, which have been compared with all others of their keys, without texts too large for what follows the key in
         the smallest one left, and only of keys with texts of several components."""
         roots = components(links).withColumnRenamed("node", "h")
-        rows = rows.join(first.select("key", F.col("l_h").alias("h")), ["key", "h"], "left_anti")
+        if first is not None:
+            rows = rows.join(first.select("key", F.col("l_h").alias("h")), ["key", "h"], "left_anti")
         rows = rows.drop("class").join(roots, "h", "left").withColumn("class", F.coalesce("root", "h")).drop("root")
         rows = materialize(rows, "rows")
         most = F.floor((F.col("size") - F.col("pos")) / share + 1e-9) - F.col("size")  # the largest partner
@@ -239,9 +241,14 @@ def similar_links(docs: DataFrame, similar: float) -> DataFrame:
         keys = rest.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
         return materialize(rest.join(keys, "key"), "open")
 
+    # Each text is first compared with the leaders of its few most common keys: that joins large groups of near copies, whose other keys are then of one class.
     rows = entries.withColumn("class", F.col("h"))
-    first = leaders(rows, 1)
-    links = tested(star(rows, first))
+    common = Window.partitionBy("h").orderBy(F.desc("n"), "key")
+    few = materialize(rows.withColumn("rank", F.row_number().over(common)).where(F.col("rank") <= FIRST_KEYS).drop("rank"), "few")
+    links = tested(star(few, leaders(few, 1)))
+    rows = still_open(rows, None, links)
+    first = materialize(leaders(rows, 1), "leaders")
+    links = materialize(links.union(tested(star(rows, first))), "links")
     rest = still_open(rows, first, links)
 
     def all_pairs(rows: DataFrame) -> DataFrame:
