@@ -47,6 +47,12 @@ def bin_of(x: Column, edges: Column) -> Column:
     return F.when(x <= F.element_at(edges, 1), 0).when(x >= F.element_at(edges, -1), bins - 1).otherwise(inside)
 
 
+def frame_indexes(frames: Column, vocabulary: list[str], length: int) -> Column:
+    """Places (from 1) of the frames in a vocabulary, 0 for those that it lacks; cut or padded behind with 0 to the length. For a few frames; `clean.encode` joins large vocabularies."""
+    places = F.transform(F.slice(frames, 1, length), lambda f: F.array_position(F.lit(vocabulary), f).cast("int"))
+    return F.concat(places, F.array_repeat(F.lit(0), F.lit(length) - F.size(places)))
+
+
 def safe_name(feature: str) -> str:
     return "".join("_" if c in " /." else c for c in feature.lower())
 

@@ -86,6 +86,15 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(row[c]["m"])) / F.lit(row[c]["s"] or 1.0) for c in columns})
 
 
+def preprocessor(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """feature, median, mean, deviation, kept: what imputing and scaling take from a table (mean and deviation after imputing; kept: not constant)."""
+    found = quantiles(df, columns, [0.5], accuracy)
+    filled = impute_median(df, columns, accuracy)
+    row = filled.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s"), (F.min(c) < F.max(c)).alias("kept")).alias(c) for c in columns]).first()
+    rows = [(c, float(found[c][0]) if found[c] else 0.0, row[c]["m"], row[c]["s"], bool(row[c]["kept"])) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, median double, mean double, deviation double, kept boolean")
+
+
 def bin_edges(df: DataFrame, columns: list[str], bins: int = 8, accuracy: int | None = None) -> dict[str, list[float]]:
     """Strictly rising quantile edges; one value v gives [v, v + 1], none gives [0, 1]."""
     found = quantiles(df, columns, [i / bins for i in range(bins + 1)], accuracy)
