@@ -12,6 +12,7 @@ from ..functions import tokens as T
 from ..functions import vectors as V
 from ..operators import clean, lsh, metrics, pairs, tasks, text_similarity
 from ..sources import flows as sources
+from ..storage import kept
 from . import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,8 +225,8 @@ l AS (SELECT id, sqrt(sum(w * w)) AS l FROM c JOIN idf USING (token) GROUP BY id
 x AS (SELECT id_1, id_2, sum(w * w) AS s FROM common JOIN idf USING (token) GROUP BY ALL)
 SELECT tp.id_1, tp.id_2, round(coalesce(s / (a.l * b.l), 0.0), 6) AS tfidf_cosine FROM tp LEFT JOIN x USING (id_1, id_2) JOIN l a ON a.id = tp.id_1 JOIN l b ON b.id = tp.id_2""")
 def tfidf_cosine_pairs(spark, d):
-    t = B.flow_tokens(spark, d)
-    return text_similarity.tfidf_cosine(pairs.positive(t).select("id_1", "id_2"), text_similarity.tfidf(t))
+    t = kept(B.flow_tokens(spark, d), "tokens")
+    return text_similarity.tfidf_cosine(pairs.positive(t.select("id", "label")).select("id_1", "id_2"), text_similarity.tfidf(t))
 
 
 @query()
@@ -240,12 +241,11 @@ def _doc_words(spark, d):
     return B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.words(F.col("text")).alias("tokens"))
 
 
+# Plainly: every pair of texts with a common word, by the words that both have.
 @query(f"""WITH s AS (SELECT min(doc_id) AS id, count(*) AS n, s FROM (SELECT doc_id, list_sort(list_distinct({_DOC_WORDS})) AS s FROM documents) WHERE len(s) > 0 GROUP BY s),
-x AS (SELECT id, unnest(s) AS token FROM s), rare AS (SELECT token FROM x GROUP BY token HAVING count(*) BETWEEN 2 AND 400),
-c AS (SELECT a.id AS a, b.id AS b FROM x a JOIN rare USING (token) JOIN x b ON a.token = b.token AND a.id < b.id GROUP BY ALL),
-tiny AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id < b.id AND len(a.s) <= 60 AND len(b.s) <= 60),
-j AS (SELECT a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS t FROM (SELECT * FROM c UNION SELECT * FROM tiny) p JOIN s a ON a.id = p.a JOIN s b ON b.id = p.b)
-SELECT a, b, n_a, n_b, round(i / (t - i)::DOUBLE, 6) AS jaccard FROM j WHERE i / (t - i)::DOUBLE >= 0.8 - 1e-12""")
+x AS (SELECT id, unnest(s) AS token FROM s), i AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM x a JOIN x b ON a.token = b.token AND a.id < b.id GROUP BY ALL),
+j AS (SELECT i.a, i.b, a.n AS n_a, b.n AS n_b, i / (len(a.s) + len(b.s) - i)::DOUBLE AS jaccard FROM i JOIN s a ON a.id = i.a JOIN s b ON b.id = i.b)
+SELECT a, b, n_a, n_b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.8 - 1e-12""")
 def jaccard_pairs(spark, d):
     return text_similarity.jaccard_join(_doc_words(spark, d), 0.8)
 
