@@ -29,9 +29,14 @@ def number(seed: int, kind: str, k: Column, which: int) -> Column:
     return F.conv(F.substring(digest, 1 + 15 * (which % 2), 15), 16, 10).cast("bigint")
 
 
-def members(df: DataFrame, group: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(g, pos, id, label) of the rows of groups with at least `least` rows, and (g, n) of those groups; g numbers the groups in order, pos the rows in order of id."""
-    rows = with_positions(df.select(F.col(group).alias("_g"), "id", "label"), "_g", "id")
+def ordered(df: DataFrame, group: str) -> DataFrame:
+    """_g, id, label, pos: the rows in order of group and id. What `members` begins with, to be shared."""
+    return with_positions(df.select(F.col(group).alias("_g"), "id", "label"), "_g", "id")
+
+
+def members(df: DataFrame, group: str, least: int = 1, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(g, pos, id, label) of the rows of groups with at least `least` rows, and (g, n) of those groups; g numbers the groups in order, pos the rows in order of id. rows: ordered(df, group), if it's there."""
+    rows = ordered(df, group) if rows is None else rows
     sizes = rows.groupBy("_g").agg(F.count("*").alias("n"), F.min("pos").alias("start")).where(F.col("n") >= least)
     sizes = kept(with_positions(sizes, "start", name="g"), "groups")
     placed = rows.join(sizes, "_g").select("g", (F.col("pos") - F.col("start")).alias("pos"), "id", "label")
@@ -71,10 +76,10 @@ def _collect(spark: SparkSession, target: int, attempts: int, draw: Callable[[Da
         low, size = high, 2 * size
 
 
-def positives(df: DataFrame, target: int, seed: int = 42, kind: str = "pos") -> DataFrame:
+def positives(df: DataFrame, target: int, seed: int = 42, kind: str = "pos", rows: DataFrame | None = None) -> DataFrame:
     """k, id_1, id_2, label_1, label_2: `target` distinct pairs of one label. A label is drawn uniformly, then two of its rows; labels with one row
     take no part. If 30 draws for each pair aren't enough (labels run out of pairs), the rest is drawn uniformly from all pairs; only if the table has fewer pairs, fewer come. df: id, label."""
-    rows, groups = members(df, "label", 2)
+    rows, groups = members(df, "label", 2, rows)
     spark, labels = df.sparkSession, groups.count()
     if not labels or target <= 0:
         return rows.limit(0).select(F.lit(0).cast("bigint").alias("k"), F.col("id").alias("id_1"), F.col("id").alias("id_2"), F.col("label").alias("label_1"), F.col("label").alias("label_2"))
@@ -117,10 +122,10 @@ def fill(spark: SparkSession, rows: DataFrame, groups: DataFrame, found: DataFra
     return more.withColumn("k", F.col("k") + F.lit(most + 1))
 
 
-def negatives(df: DataFrame, target: int, seed: int = 42, kind: str = "neg", chosen: DataFrame | None = None) -> DataFrame:
+def negatives(df: DataFrame, target: int, seed: int = 42, kind: str = "neg", chosen: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """k, id_1, id_2, label_1, label_2: `target` distinct pairs of different labels: two labels are drawn uniformly, then a row of each. Pairs in `chosen` (id_1, id_2) are left
     out. Fewer pairs if 30 draws for each aren't enough; none with one label."""
-    rows, groups = members(df, "label")
+    rows, groups = members(df, "label", rows=rows)
     labels = groups.count()
     if labels < 2 or target <= 0:
         return positives(df.limit(0), 0)
@@ -148,9 +153,9 @@ def with_jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("token_jaccard", T.jaccard(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def hard_negatives(df: DataFrame, target: int, low: float = 0.3, high: float = 0.5, seed: int = 42) -> DataFrame:
+def hard_negatives(df: DataFrame, target: int, low: float = 0.3, high: float = 0.5, seed: int = 42, rows: DataFrame | None = None) -> DataFrame:
     """negatives whose content tokens have a Jaccard similarity in [low, high], with token_jaccard; fewer if 500 draws for each (10,000 at least) don't give so many. df: id, label, tokens."""
-    rows, groups = members(df, "label")
+    rows, groups = members(df, "label", rows=rows)
     labels = groups.count()
     sets = kept(df.select("id", T.content_tokens(F.col("tokens")).alias("tokens")), "sets")
     if labels < 2 or target <= 0:
@@ -170,17 +175,19 @@ def training_pairs(df: DataFrame, max_pairs: int, strategy: str = "random", seed
         raise ValueError("max_pairs must be > 0")
     if strategy not in ("random", "hard"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    slim = kept(df.select("id", "label"), "labels")
+    df = kept(df.select("id", "label", "v", "tokens"), "rows")
+    slim = df.select("id", "label")
+    rows = ordered(slim, "label")
     n_pos = max(1, max_pairs // 2)
     n_neg = max(1, max_pairs - n_pos)
-    pos = positives(slim, n_pos, seed).drop("k").withColumn("negative_strategy", F.lit("positive"))
+    pos = positives(slim, n_pos, seed, rows=rows).drop("k").withColumn("negative_strategy", F.lit("positive"))
     hard = None
     if strategy == "hard":
-        hard = kept(hard_negatives(df.select("id", "label", "tokens"), n_neg, low, high, seed).drop("k", "token_jaccard"), "hard")
+        hard = kept(hard_negatives(df.select("id", "label", "tokens"), n_neg, low, high, seed, rows).drop("k", "token_jaccard"), "hard")
     missing = n_neg - (hard.count() if hard is not None else 0)
     parts = [pos] + ([hard.withColumn("negative_strategy", F.lit("hard"))] if hard is not None else [])
     if missing > 0:
-        parts.append(negatives(slim, missing, seed, chosen=hard).drop("k").withColumn("negative_strategy", F.lit("random")))
+        parts.append(negatives(slim, missing, seed, chosen=hard, rows=rows).drop("k").withColumn("negative_strategy", F.lit("random")))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
