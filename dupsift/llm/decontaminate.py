@@ -134,7 +134,7 @@ def _candidates(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED) -> DataFrame:
-    """doc_id, h (hash of the text), item_id, coverage, kind: 'exact', or 'reparameterised' where slots differ consistently."""
+    """doc_id, h (hash of the text), item_id, coverage, kind: 'exact' where all words of the item are there in order (others may be between them), else 'reparameterised'."""
     items, grams = _item_windows(benchmark, window)
     n_grams = grams.count()
     candidates = materialize(_candidates(docs, grams, n_grams), "candidates")
@@ -181,25 +181,26 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         .where(F.col("doc_id").eqNullSafe(F.col("_d")))
         .withColumn("same", _same_at_edge())
         .withColumn("told", F.when(F.col("same"), F.col("item_value")).when(F.col("same").isNull(), F.col("doc_value")))
-        .withColumn("doc_value", F.coalesce("told", "doc_value"))
         .groupBy(*keys, "item_value")
-        .agg(F.count_distinct("told").alias("values"), F.max(F.col("doc_value") != F.col("item_value")).alias("other"))
+        .agg(F.count_distinct("told").alias("values"))
         .groupBy(*keys)
-        .agg(F.max("values").alias("values"), F.max("other").alias("other"))
-        .select(*(F.col(k).alias(f"_{k}") for k in keys), "values", "other")
+        .agg(F.max("values").alias("values"))
+        .select(*(F.col(k).alias(f"_{k}") for k in keys), "values")
     )
     same = F.lit(True)
     for k in keys:
         same = same & (F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "doc_id" else F.col(k) == F.col(f"_{k}"))
-    judged = (
-        hits.join(filled, same, "left")
-        .where(F.coalesce("values", F.lit(1)) <= 1)
-        .groupBy("doc_id", "h", "uid")
-        .agg(F.max("coverage").alias("coverage"), F.min(F.coalesce("other", F.lit(False))).alias("other"))
-    )
-    return judged.join(items.select("uid", "item_id"), "uid").select(
-        "doc_id", "h", "item_id", "coverage", F.when(F.col("other"), "reparameterised").otherwise("exact").alias("kind")
-    )
+    judged = hits.join(filled, same, "left").where(F.coalesce("values", F.lit(1)) <= 1).select("doc_id", "h", "uid", "names", "centre", "coverage").distinct()
+    # Word for word: all words of the item follow each other, perhaps with others between, where the document has it.
+    plain = lambda text: F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    own = [items.select("uid", "item_id", F.lit(n).alias("names"), F.size(_words(F.col("text"), n)).alias("long"), plain(F.col("text")).alias("item_words")) for n in (True, False)]
+    doc = chosen.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), _filled(F.col("text"), True).alias("filled"))
+    placed = judged.join(own[0].union(own[1]), ["uid", "names"]).join(doc, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    first = F.greatest(F.col("centre") - BAND, F.lit(0))
+    around = plain(F.array_join(F.slice("filled", first + 1, F.greatest(F.lit(0), F.col("centre") + F.col("long") + BAND - first)), " "))
+    reached = F.aggregate(around, F.lit(0), lambda i, w: F.when(F.get("item_words", i) == w, i + 1).otherwise(i))
+    placed = placed.select("doc_id", "h", "item_id", "coverage", (reached == F.size("item_words")).alias("whole"))
+    return placed.groupBy("doc_id", "h", "item_id").agg(F.max("coverage").alias("coverage"), F.when(F.max("whole"), "exact").otherwise("reparameterised").alias("kind"))
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -43,6 +43,14 @@ def test_decontamination_edges(spark, no_docs):
     assert decontaminate.verdicts(no_docs, none).count() == 0
 
 
+def test_exact_means_word_for_word(spark):
+    """Other values under windows that failed, or at places that no window tells of, aren't exact."""
+    item = "Anna buys 12 kg of the ripe red apples at the old market and pays for all of them in cash before she goes home again"
+    texts = [item, item.replace("12 kg", "17 litres"), item.replace("Anna", "McKenna").replace("12", "17"), item.replace("12 kg", "17kg"), item.replace("ripe", "ripe and very"), item.upper()]
+    _, _, found = contaminated(spark, texts, item)
+    assert [found[i]["exact"] for i in sorted(found)] == [int(i in (0, 4, 5)) for i in sorted(found)] and {0, 1, 2, 3, 4} <= set(found)
+
+
 def test_words_put_in_or_left_out(spark):
     words = QUESTION.split()
     well = QUESTION.replace(" and ", " and, well, ")
@@ -120,7 +128,7 @@ def plain_contaminations(texts, items):
                         coverage = len(set().union(*parts.values())) / len(places)
                         if coverage < d.COVERED:
                             continue
-                        fillings, other = {}, False
+                        fillings = {}
                         for p, v in enumerate(own_values):
                             near = [(abs(s - centre), s) for s, x in parts.items() if any(y <= p < y + size for y in x)]
                             if v is not None and near:
@@ -131,14 +139,14 @@ def plain_contaminations(texts, items):
                                     if (p == 0 and parts_of(w)[-n:] == parts_of(v)) or (p == len(own) - 1 and parts_of(w)[:n] == parts_of(v)):
                                         w = v
                                     else:
-                                        other = True
                                         continue
                                 fillings.setdefault(v, set()).add(w)
-                                other |= w != v
                         if all(len(x) == 1 for x in fillings.values()):
-                            judged.append((coverage, other))
+                            around = [values[q] or doc[q] for q in range(max(0, centre - d.BAND), min(len(doc), centre + len(own) + d.BAND))]
+                            rest = iter(regex.findall(r"[\p{L}\p{N}]+", " ".join(around)))
+                            judged.append((coverage, all(w in rest for w in regex.findall(r"[\p{L}\p{N}]+", item.lower()))))
             if judged:
-                out[i, item_id] = (max(c for c, _ in judged), "reparameterised" if all(o for _, o in judged) else "exact")
+                out[i, item_id] = (max(c for c, _ in judged), "exact" if any(whole for _, whole in judged) else "reparameterised")
     return out
 
 
