@@ -21,7 +21,7 @@ documents and are judged on the input. Steps:
 So every exchange but that of the texts has a row for each block and bucket or shard, never one for each place, and one entry of a hot passage for each block.
 
 Null text counts as empty; empty texts and an empty table are fine, and texts of any length are read whole. A null doc_id counts as larger than all others. Rows with one
-doc_id never remove from each other; each row gives a row, repeated rows give equal ones (and share a block). Extra columns, whatever their names, are dropped by `removals` and kept by `strip`.
+doc_id never remove from each other; each row gives a row. Repeated rows (one id and text) give equal ones; one of them stands for all in its block. Extra columns, whatever their names, are dropped by `removals` and kept by `strip`.
 """
 
 from __future__ import annotations
@@ -469,7 +469,17 @@ def _resolve(docs: DataFrame, text_col: str, finish, schema: str) -> DataFrame:
     blocks = max(1, -(-total // BLOCK_BYTES))
     shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE_BYTES))
     long_ = F.octet_length("text") >= LENGTH
-    texts = keyed.where(long_).join(copies, ["id", "h"], "left_anti").withColumn("block", F.pmod(F.xxhash64("id", "h"), F.lit(blocks)))
+    own = keyed.where(long_).join(copies, ["id", "h"], "left_anti")
+    # Rows that repeat with their id share one representative in the blocks, and get what is found for it.
+    repeats = slim.groupBy("id", "h").agg(F.count("*").alias("rows")).where("rows > 1").join(copies, ["id", "h"], "left_anti").select("id", "h")
+    repeats = materialize(repeats, "repeats")
+    n_repeats = repeats.count()
+    if n_repeats:
+        side = broadcast_if_small(repeats, n_repeats, BROADCAST_ROWS)
+        again = own.join(side, ["id", "h"], "left_semi")
+        one = again.groupBy("id", "h").agg(F.first("text").alias("text")).select("id", "h", "text", F.lit(None).cast(keyed.schema["row"].dataType).alias("row"))
+        own = own.join(side, ["id", "h"], "left_anti").select("id", "h", "text", "row").union(one)
+    texts = own.withColumn("block", F.pmod(F.xxhash64("id", "h"), F.lit(blocks)))
     grouped = texts.groupBy("block")
     shared = grouped.applyInArrow(_hashes_of_block(shares), HASHES).groupBy("bucket").applyInArrow(_shared_in_bucket(CROWDED), SHARED)
     entries = materialize(grouped.cogroup(shared.groupBy("block")).applyInArrow(_entries_of_block(shares), ENTRIES), "entries")
@@ -479,6 +489,7 @@ def _resolve(docs: DataFrame, text_col: str, finish, schema: str) -> DataFrame:
 
     def finished(rows: pa.Table, answers: pa.Table) -> pa.Table:
         spans = _spans_of_block(answers)
+        rows = rows.filter(pc.is_valid(rows.column("row")))
         ids, hs = _numbers(rows, "id", "h")
         return finish(rows.column("row"), [t.as_py().encode() for t in rows.column("text")], [spans.get(k) for k in zip(ids.tolist(), hs.tolist(), strict=True)])
 
@@ -487,9 +498,26 @@ def _resolve(docs: DataFrame, text_col: str, finish, schema: str) -> DataFrame:
             texts = [t.as_py().encode() if t.is_valid else None for t in b.column(1)]
             yield from finish(pa.chunked_array([b.column(0)]), texts, [True if c else None for c in b.column(2).to_pylist()]).to_batches()
 
+    def of_repeats(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        """The intervals of the rows' representatives."""
+        spans = _spans_of_block(answers)
+        ids, hs = _numbers(rows, "id", "h")
+        found = [spans.get(k) for k in zip(ids.tolist(), hs.tolist(), strict=True)]
+        return pa.table({"id": pa.array(ids), "h": pa.array(hs), "spans": pa.array([None if x is None else x.astype("<i8").tobytes() for x in found], pa.binary())})
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [None if x is None else np.frombuffer(x, "<i8").reshape(-1, 2) for x in b.column(2).to_pylist()]
+            yield from finish(pa.chunked_array([b.column(0)]), [t.as_py().encode() for t in b.column(1)], spans).to_batches()
+
     marked = keyed.where(~F.coalesce(long_, F.lit(False))).select("row", "text", F.lit(False).alias("copy"))
     marked = marked.union(keyed.where(long_).join(copies, ["id", "h"], "left_semi").select("row", "text", F.lit(True).alias("copy")))
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(finished, schema).union(marked.mapInArrow(untouched, schema))
+    out = grouped.cogroup(answers.groupBy("block")).applyInArrow(finished, schema).union(marked.mapInArrow(untouched, schema))
+    if n_repeats:
+        spans = texts.where("row IS NULL").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of_repeats, "id bigint, h bigint, spans binary")
+        spans = broadcast_if_small(materialize(spans, "spans"), n_repeats, BROADCAST_ROWS)
+        out = out.union(again.join(spans, ["id", "h"]).select("row", "text", "spans").mapInArrow(repeated, schema))
+    return out
 
 
 def kept_bytes(data: bytes, spans: np.ndarray | bool | None) -> tuple[bytes, int]:

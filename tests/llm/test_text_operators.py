@@ -293,6 +293,17 @@ def test_sharding_of_repeated_rows(spark, monkeypatch):
     assert most < 5_000
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    """Many rows of one id and text, with and without a text before them, beside others."""
+    rng = random.Random(8)
+    base, other = prose(rng, 60), prose(rng, 60)
+    rows = [(5, f"{base} {prose(rng, 20)}")] * 300 + [(None, f"x {other} y")] * 200 + [(2, base), (9, f"{other} z"), (9, "short")] + [(7, base)] * 3
+    got = sorted((tuple(r) for r in suffix_dedup.removals(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()), key=lambda r: (r[0] is None, r))
+    assert got == plain_removals(rows)
+    kept = suffix_dedup.strip(spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n bigint"))
+    assert sorted(r["n"] for r in kept.collect()) == list(range(len(rows)))
+
+
 def plain_removals(rows):
     last, first, out = (1 << 63) - 1, {}, []
     key = lambda d: last if d is None else d
