@@ -16,7 +16,7 @@ chance that none of the first ENOUGH shingles of their union (in the order of a
 A pair is only looked at where, if the key is the first that both have, enough shingles follow it in both. Each text is first compared with the smallest one of its FIRST_KEYS most frequent keys, which joins groups of near copies at few
 pairs a text. Of each key that then has several components the texts are compared with the smallest of them only; where that makes
 all of a key's texts one component, the key is done, so a group of near copies makes a few pairs for each, not its square. Of other keys with up to COMMON texts the remaining pairs between components
-are compared; in keys with more the next LEADERS smallest texts are compared with the others, and texts that no remaining one can be similar to leave, until one component or one text is left,
+are compared; in keys with more the next LEADERS smallest texts (twice as many each time, up to MOST_LEADERS) are compared with the others, and texts that no remaining one can be similar to leave, until one component or one text is left,
 or at most four pairs for each key of a text at the start: then those are compared.
 Candidates whose shared keys and what follows the keys can't make up the similarity are dropped; the others are verified on the whole sets.
 
@@ -43,7 +43,7 @@ BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
 CROWDED = 16
 BROADCAST_ROWS = 500_000
 #: Words of a shingle for Jaccard similarity; a prefix shingle of more texts is moved to the end of the order, of at most HOT such.
-SHINGLE, COMMON, HOT, LEADERS, RARE, ENOUGH, FIRST_KEYS = 5, 30, 200_000, 16, 0.5, 40, 3
+SHINGLE, COMMON, HOT, LEADERS, MOST_LEADERS, RARE, ENOUGH, FIRST_KEYS = 5, 30, 200_000, 16, 256, 0.5, 40, 3
 _CHUNK = 1 << 16
 
 
@@ -257,13 +257,13 @@ def similar_links(docs: DataFrame, similar: float) -> DataFrame:
         return pairs.select(F.col("a_h").alias("a"), F.col("b_h").alias("b"))
 
     links = materialize(links.union(tested(all_pairs(rest.where(F.col("n") <= COMMON)))), "links")
-    rest, most = rest.where(F.col("n") > COMMON), entries.count()
+    rest, most, take = rest.where(F.col("n") > COMMON), entries.count(), LEADERS
     while left := rest.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0]:
         if left <= 4 * most:
             return links.union(tested(all_pairs(rest)))
-        first = materialize(leaders(rest, LEADERS), "leaders")
+        first = materialize(leaders(rest, take), "leaders")
         links = materialize(links.union(tested(star(rest, first))), "links")
-        rest = still_open(rest, first, links)
+        rest, take = still_open(rest, first, links), min(2 * take, MOST_LEADERS)
     return links
 
 
