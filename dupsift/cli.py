@@ -71,7 +71,7 @@ def query(spark: SparkSession, embeddings: str, query_id: str | None, k: int, sa
     """The k nearest by bucket hits and cosine of one row, by its id or its place in the order of ids; ValueError if there is no such row."""
     coded = lsh.codes(spark.read.parquet(embeddings), id_col, vector, label)
     q = flows.row_at(coded, "id", query_id, row_index)
-    found = lsh.top_k(coded, q, k, 8, 8, same_label)
+    found = lsh.top_k(coded, q, k, *lsh.shape_for(coded.count()), same_label)
     if out:
         flows.write_result_csv(found, out)
     return found

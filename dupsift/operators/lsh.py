@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 
-def shape_for(rows: int, bucket: int = 64, bits: int = 64) -> tuple[int, int]:
-    """(bands, width) of which a random row shares a bucket with about `bucket` others at most: the least power of two of bits that gives so many keys. Pairs within buckets
-    then grow with rows * bucket, not with the square of the rows."""
-    width = 1
-    while width < bits and rows > bucket << width:
+def shape_for(rows: int, bucket: int = 64, bits: int = 64, least: int = 8) -> tuple[int, int]:
+    """(bands, width) of which a random row shares a bucket with about `bucket` others at most: the least power of two of bits, from `least` to 32, that gives so many keys. Pairs
+    within buckets then grow with rows * bucket, not with the square of the rows."""
+    width = least
+    while width < min(32, bits) and rows > bucket << width:
         width *= 2
     return bits // width, width
 
@@ -39,12 +39,23 @@ def buckets(coded: DataFrame, bands: int, width: int) -> DataFrame:
     return table.join(sizes, ["band", "key"])
 
 
-def candidates(coded: DataFrame, bands: int, width: int) -> DataFrame:
-    """Pairs a < b of classes of equal codes that share a bucket, with the number of bands: copies aren't expanded into pairs."""
-    table = band_table(classes(coded), bands, width)
+def candidates(coded: DataFrame, bands: int, width: int, split_above: int | None = None) -> DataFrame:
+    """Pairs a < b of classes of equal codes that share a bucket, with the number of bands: copies aren't expanded into pairs. split_above: buckets of more classes are cut by the bits of the next
+    band, so that a hot bucket makes no square of pairs; of such a bucket only pairs that agree in both bands count."""
+    rows = classes(coded)
+    table = band_table(rows, bands, width, "word")
+    on = ["band", "key"]
+    if split_above is not None:
+        large = table.groupBy("band", "key").agg(F.count("*").alias("members")).where(F.col("members") > split_above).select("band", "key", F.lit(True).alias("large"))
+        following = F.get(V.band_keys(F.col("word"), bands, width), (F.col("band") + 1) % bands)
+        table = table.join(large, on, "left").withColumn("more", F.when(F.col("large"), following).otherwise(F.lit(-1).cast("bigint")))
+        on = [*on, "more"]
+    table = table.select("id", *on)
     a, b = table.alias("a"), table.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("hits"))
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, same & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("hits"))
 
 
 def combo_candidates(coded: DataFrame, slots: int, chosen: int) -> DataFrame:

@@ -76,6 +76,16 @@ def test_buckets_hold_duplicates(spark):
     assert lsh.buckets(c, 4, 16).where("id IN (0, 1)").count() == 8
 
 
+def test_large_buckets_are_cut(spark):
+    """Forty codes share the first 16 bits; ten of them the next 16 too."""
+    c = coded(spark, [(7 << 48) | ((3 if i < 10 else i) << 32) | i for i in range(40)])
+    whole = {(r["a"], r["b"]) for r in lsh.candidates(c, 4, 16).collect()}
+    cut = {(r["a"], r["b"]): r["hits"] for r in lsh.candidates(c, 4, 16, split_above=20).collect()}
+    assert len(whole) == 780 and len(cut) < 780 and all(cut[a, b] == 2 for a in range(10) for b in range(a + 1, 10))
+    assert {(r["a"], r["b"]) for r in lsh.candidates(c, 4, 16, split_above=50).collect()} == whole
+    assert lsh.shape_for(1_000) == (8, 8) and lsh.shape_for(1 << 20) == (4, 16) and lsh.shape_for(1 << 40) == (2, 32)
+
+
 def test_pair_samples(spark):
     df = spark.createDataFrame([(i, i % 3, [f"t{i % 5}", f"u{i % 7}", "label=x"]) for i in range(90)], "id bigint, label int, tokens array<string>")
     p, n = pairs.positive(df), pairs.negative(df)
@@ -178,13 +188,13 @@ def test_queries_match_sql(spark):
     """Every registered query without the optional subpackage against DuckDB is the driver's check; here one of each kind."""
     import duckdb
 
-    from dupsift.plans import catalog
+    from dupsift.plans import bookkeeping, catalog, drawn, retrieval  # noqa: F401
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
     for t in "orders lineitem events embeddings documents".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    for name in ("label_histogram", "standard_scale", "lsh_topk", "best_threshold", "jaccard_pairs", "recall_at_k", "redundancy_task_stats"):
+    for name in ("label_histogram", "standard_scale", "lsh_topk", "best_threshold", "jaccard_pairs", "recall_at_k", "redundancy_task_stats", "pairs_drawn_positive", "simhash_topk", "retrieval_by_method", "task_final_states"):
         got = catalog.QUERIES[name](spark, d).toPandas()
         want = c.sql(catalog.SQL[name]).df()[list(got.columns)]
         order = list(got.columns)
