@@ -1,7 +1,8 @@
 """A hashing encoder trained on pairs of rows, data-parallel, and batched inference of codes.
 
-The encoder is a stack of dense layers (ReLU, the last one tanh), shared by both rows of a pair. Two objectives: `mse` fits the soft block-Hamming similarity of the two
-outputs to the pair's target, beside energy and balance terms of the batch; `contrastive` pulls equal pairs together and pushes others apart to a margin, with balance and quantisation terms.
+The encoder is a stack of dense layers (ReLU, the last one tanh), shared by both rows of a pair. Three objectives: `mse` fits the soft block-Hamming similarity of the two
+outputs to the pair's target, beside energy and balance terms of the batch; `contrastive` pulls equal pairs together and pushes others apart to a margin, with balance and quantisation terms;
+`baseline` fits the Manhattan similarity and draws the outputs' absolute values together.
 
 A step reads its batch twice, as the objectives hold means over the batch: first for these means, then for gradients. Weights are broadcast; every partition sums the
 gradient of its pairs in numpy, sums are added in groups of about the square root of the partitions' number before they come to the driver, which holds one model and
@@ -27,7 +28,7 @@ MOST_WEIGHTS = 50_000_000
 
 @dataclass
 class Objective:
-    """kind: mse or contrastive. blocks, width: the output's blocks. Weights of the terms; margin of unequal pairs."""
+    """kind: mse, contrastive or baseline. blocks, width: the output's blocks. Weights of the terms; margin of unequal pairs."""
 
     blocks: int
     width: int
@@ -110,6 +111,17 @@ def gradient(layers: list, x1: np.ndarray, x2: np.ndarray, y: np.ndarray, sums:
             off = total / n - 1
             loss += o.energy * (off**2 * len(y) / n + (e.mean(1) ** 2).sum() / n)
             d += o.energy * (2 * off * 2 * e / bits / n + (2 * e.mean(1) / bits / n)[:, None])
+    elif o.kind == "baseline":
+        s = np.exp(-0.005 * np.abs(e1 - e2).sum(1))
+        loss = 0.5 * ((s - y) ** 2).sum() / n
+        by_s = (s - y) / n
+        d1 = (-0.005 * by_s * s)[:, None] * np.sign(e1 - e2)
+        d2 = -d1
+        for e, d in ((e1, d1), (e2, d2)):  # minus the cosine of the absolute values to the vector of ones
+            size = np.maximum(np.sqrt((e**2).sum(1)), 1e-12)
+            total = np.abs(e).sum(1)
+            loss -= 0.25 * (total / (math.sqrt(bits) * size)).sum() / n
+            d -= 0.25 / n / math.sqrt(bits) * (np.sign(e) / size[:, None] - (total / size**3)[:, None] * e)
     else:
         d = 1 - s
         near = np.maximum(0, o.margin - d)

@@ -26,7 +26,7 @@ def _trained(rows, kind: str, epochs: int):
     pairs = draws.positives(slim, 1000).union(draws.negatives(slim, 1000)).select("id_1", "id_2", "label_1", "label_2")
     both = pairs.join(rows.select(F.col("id").alias("id_1"), F.col("v").alias("v_1")), "id_1").join(rows.select(F.col("id").alias("id_2"), F.col("v").alias("v_2")), "id_2")
     near = F.when(V.cosine01(F.col("v_1"), F.col("v_2")) >= 0.8, 1.0).otherwise(0.0)
-    y = V.cosine01(F.col("v_1"), F.col("v_2")) if kind == "mse" else near
+    y = near if kind == "contrastive" else V.cosine01(F.col("v_1"), F.col("v_2"))
     model = encoder.Encoder.new([len(_NAMES), 32, _BLOCKS * _WIDTH])
     losses = encoder.train(both.withColumn("y", y), model, encoder.Objective(_BLOCKS, _WIDTH, kind), epochs, rate=0.01)
     return model, losses
@@ -34,9 +34,9 @@ def _trained(rows, kind: str, epochs: int):
 
 @query()
 def encoder_losses(spark, d):
-    """The loss of each epoch, for both objectives."""
+    """The loss of each epoch, for each objective."""
     rows = _rows(spark, d)
-    found = [(kind, epoch, loss) for kind in ("mse", "contrastive") for epoch, loss in enumerate(_trained(rows, kind, 5)[1])]
+    found = [(kind, epoch, loss) for kind in ("mse", "contrastive", "baseline") for epoch, loss in enumerate(_trained(rows, kind, 5)[1])]
     return spark.createDataFrame(found, "kind string, epoch int, loss double")
 
 

@@ -13,7 +13,7 @@ def pairs_of(n=60, dims=5, seed=0):
     return x1, x2, np.where(np.arange(n) % 2, 0.0, 1.0)
 
 
-@pytest.mark.parametrize("kind", ["mse", "contrastive"])
+@pytest.mark.parametrize("kind", ["mse", "contrastive", "baseline"])
 def test_gradient_is_that_of_the_loss(kind):
     """Against differences of the loss of the whole batch, and summed over shares of it."""
     model, o = encoder.Encoder.new([5, 7, 8], 1), encoder.Objective(4, 2, kind)
@@ -35,7 +35,7 @@ def test_gradient_is_that_of_the_loss(kind):
     assert halves[0][0] + halves[1][0] == pytest.approx(whole[0]) and halves[0][1] + halves[1][1] == pytest.approx(whole[1])
 
 
-@pytest.mark.parametrize("kind", ["mse", "contrastive"])
+@pytest.mark.parametrize("kind", ["mse", "contrastive", "baseline"])
 def test_training_equals_a_plain_loop(spark, kind):
     x1, x2, y = pairs_of()
     df = spark.createDataFrame([(i, i + 100, a.tolist(), b.tolist(), float(t)) for i, (a, b, t) in enumerate(zip(x1, x2, y, strict=True))], "id_1 bigint, id_2 bigint, v_1 array<double>, v_2 array<double>, y double").repartition(5)
