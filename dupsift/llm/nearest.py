@@ -89,10 +89,7 @@ def rotation(dims: int) -> np.ndarray:
 
 def inner(points: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products summed in the order of the dimensions, so that a row's sum doesn't depend on its place."""
-    out = np.zeros(len(points))
-    for j, x in enumerate(q):
-        out += points[:, j] * x
-    return out
+    return np.add.accumulate(points * q, axis=1)[:, -1] if points.size else np.zeros(len(points))
 
 
 def floors(queries: np.ndarray, query_ids: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -113,17 +110,21 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np
     q_turned, p_turned = queries @ turn, points @ turn
     columns = [np.ascontiguousarray(p_turned[:, a : a + BLOCK]) for a in range(0, dims, BLOCK)]
     norms = (points**2).sum(1)
+    # Squared distances over a block as |c|^2 + |q|^2 - 2 c q; those over the first block at once for all queries.
+    squares = [(c**2).sum(1) for c in columns]
+    q_squares = np.stack([(q_turned[:, a : a + BLOCK] ** 2).sum(1) for a in range(0, dims, BLOCK)], axis=1)
+    start_of = squares[0] + q_squares[:, :1] - 2 * (q_turned[:, :BLOCK] @ columns[0].T) if len(points) > 4 * k else None
     out, looked, most = [], 0, 4 * k
     for i, q in enumerate(queries):
         qq = float(q @ q)
         alive = np.arange(len(points))
         tau = -np.inf if floor is None else floor[i]
         if len(points) > most:
-            partial = np.zeros(len(points))
+            partial = start_of[i]
             for j, c in enumerate(columns):
                 looked += len(alive) * c.shape[1]
-                part = q_turned[i, j * BLOCK : j * BLOCK + c.shape[1]]
-                partial = partial + (((c if j == 0 else c[alive]) - part) ** 2).sum(1)
+                if j:
+                    partial = partial + (squares[j][alive] + q_squares[i, j] - 2 * (c[alive] @ q_turned[i, j * BLOCK : j * BLOCK + c.shape[1]]))
                 d = min(dims, j * BLOCK + c.shape[1])
                 if j == 0:  # those that look best now may raise the threshold
                     first = np.argpartition(partial * (dims / d) - norms, most)[:most]
