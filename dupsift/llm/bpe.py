@@ -7,7 +7,8 @@ bytes gives back these two tokens). Reading the table backwards gives the encodi
 string extends that of its prefix, so appending is exact and costs only the new bytes, and an edit needs new entries
 only from the piece that it touches to the first piece boundary that is as before.
 
-Null text counts as empty. The ranks' path is a parameter; the file is read once in each Python worker.
+Null text counts as empty, and empty texts have no tokens; texts of any length are encoded whole. Repeated rows each give a row; an empty table gives none. Extra
+columns, whatever their names, are dropped. The ranks' path is a parameter; the file is read once in each Python worker.
 """
 
 from __future__ import annotations

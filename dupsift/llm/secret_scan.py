@@ -9,8 +9,8 @@ expression has no mandatory trigram (a bare character class) is matched against
 The index is a set of independent segments, one for each Arrow batch, so nothing is shuffled, a lost executor costs only its own
 blocks, and memory is bounded by a batch. Only trigrams that some rule asks for get postings.
 
-Null text counts as empty. Documents without spans stay, with zero counts. Repeated rows each give a row. Extra columns are
-dropped by `scan` and kept by `redact`.
+Null text counts as empty; texts of any length are read whole, a batch at a time. Documents without spans stay, with zero counts. Repeated rows each give a row; an
+empty table gives none. Extra columns, whatever their names, are dropped by `scan` and kept by `redact`.
 """
 
 from __future__ import annotations
