@@ -345,3 +345,24 @@ def test_suffix_array():
     assert [raw[i : i + 50] for i in order] == sorted(raw[i : i + 50] for i in range(len(data)))
     for a, b, n in zip(order[:-1], order[1:], suffix_dedup.common_prefixes(data, order, 50)[1:], strict=True):
         assert n == next((k for k in range(50) if raw[a + k] != raw[b + k]), 50)
+
+
+def test_sorted_run_of_repetitive_snippets():
+    """Snippets of few words, of which some differ in one byte only: many strings agree in just over LENGTH bytes."""
+    rng = random.Random(3)
+    for words in ([b"the ", b"of ", b"a ", b"and "], [b"a", b"ab", b"\0"]):
+        base, snippets = b"".join(rng.choices(words, k=400)), set()
+        for _ in range(300):
+            at, size = rng.randrange(len(base) - 80), rng.randint(50, 79)
+            part = bytearray(base[at : at + size])
+            if rng.random() < 0.5 and part:
+                part[rng.randrange(len(part))] = rng.choice(b"ab \0")
+            snippets |= {bytes(part)} if len(part) >= 50 else set()
+        snippets = sorted(snippets, key=lambda _: rng.random())
+        ids = np.array([rng.randrange(1000) for _ in snippets])
+        least = {}
+        for s, i in zip(snippets, ids.tolist(), strict=True):
+            for at in range(len(s) - 49):
+                least[s[at : at + 50]] = min(least.get(s[at : at + 50], i), i)
+        _, owner, number = suffix_dedup.run_of(snippets, ids)
+        assert owner[number].tolist() == [least[s[at : at + 50]] for s in snippets for at in range(len(s) - 49)]
