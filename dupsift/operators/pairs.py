@@ -11,29 +11,32 @@ from .clean import md5_order
 from .order import order_statistics
 
 
-#: Rows of one salt, about.
-SALT_ROWS = 100_000
-
-
-def _salt(order: Column, salts: int, more: Column) -> Column:
-    """salts times `more` parts, by digits of the MD5."""
-    digits = lambda at, n: F.conv(F.substring(order, at, n), 16, 10).cast("bigint")
-    return digits(1, 2) % salts + salts * (digits(3, 10) % more)
+#: Rows of one piece, about.
+PIECE_ROWS = 100_000
 
 
 def _neighbours(df: DataFrame, kind: str, by: list[str], salts: int, seed: int, ahead: int = 1) -> DataFrame:
-    """Rows beside the row that follows in MD5 order within (by, salt). Groups larger than `salts` parts of SALT_ROWS are cut into more, counted first; only ids are ordered, the other
-    columns are joined to the pairs."""
+    """Rows beside the rows that follow in MD5 order within (by, salt); a salt is the MD5's first two digits modulo `salts`. Groups larger than PIECE_ROWS a salt are ordered in pieces, which
+    are ranges of the MD5; what follows the last rows of a piece is found among the first and last rows of all pieces. Only ids are ordered, the other columns are joined to the pairs."""
     slim = df.select("id", *by).withColumn("_o", md5_order(f"{seed}|{kind}", "id"))
-    sizes = slim.groupBy(*by).agg(F.ceil(F.count("*") / (salts * SALT_ROWS)).alias("_more"))
+    sizes = slim.groupBy(*by).agg(F.ceil(F.count("*") / (salts * PIECE_ROWS)).alias("_pieces"))
     if by:
         slim = slim.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, by)
     else:
-        slim = slim.withColumn("_more", F.lit(max(1, sizes.first()[0])))
-    w = Window.partitionBy(*by, "_s").orderBy("_o", "id")
-    placed = slim.withColumn("_s", _salt(F.col("_o"), salts, F.greatest(F.lit(1), F.col("_more")).cast("bigint")))
-    nexts = F.array(*[F.lead("id", i).over(w) for i in range(1, ahead + 1)])
-    pairs = placed.select(F.col("id").alias("id_1"), nexts.alias("_n")).select("id_1", F.explode("_n").alias("id_2")).where("id_2 IS NOT NULL")
+        slim = slim.withColumn("_pieces", F.lit(max(1, sizes.first()[0])))
+    digits = lambda at, n: F.conv(F.substring("_o", at, n), 16, 10).cast("bigint")
+    # The place of the MD5 within its salt, from 0 to 1: rises with the MD5.
+    share = (F.floor(digits(1, 2) / salts) + digits(3, 10) / F.lit(float(16**10))) / F.lit(float(-(-256 // salts)))
+    placed = slim.withColumn("_s", digits(1, 2) % salts).withColumn("_piece", F.floor(share * F.greatest(F.lit(1), F.col("_pieces"))))
+    piece = Window.partitionBy(*by, "_s", "_piece")
+    nexts = lambda w: F.array(*[F.lead("id", i).over(w) for i in range(1, ahead + 1)])
+    order = piece.orderBy("_o", "id")
+    after = F.count("*").over(piece) - F.row_number().over(order)
+    placed = placed.select("id", *by, "_s", "_o", nexts(order).alias("_n"), (after < ahead).alias("_last"), (F.row_number().over(order) <= ahead).alias("_first"))
+    placed = kept(placed, "pieces")
+    ends = placed.where("_first OR _last").withColumn("_n", nexts(Window.partitionBy(*by, "_s").orderBy("_o", "id")))
+    pairs = placed.where("NOT _last").select("id", "_n").union(ends.where("_last").select("id", "_n"))
+    pairs = pairs.select(F.col("id").alias("id_1"), F.explode("_n").alias("id_2")).where("id_2 IS NOT NULL")
     side = lambda n: df.select(*[F.col(c).alias(f"{c}_{n}") for c in df.columns])
     out = pairs.join(side(1), "id_1").join(side(2), "id_2")
     return out.select(*[f"{c}_1" for c in df.columns], *[f"{c}_2" for c in df.columns])
