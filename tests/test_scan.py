@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 
-from dupsift.operators import metrics, reports, scan
+from dupsift.operators import lsh, metrics, reports, scan
 from dupsift.plans import bindings as B
 from dupsift.plans import catalog
 
@@ -55,3 +55,14 @@ def test_lanes():
     for width in (4, 8, 16):
         want = [sum((int(w) >> at) & ((1 << width) - 1) == 0 for at in range(0, 64, width)) for w in x]
         assert scan.equal_lanes(x, width).tolist() == want
+
+
+@pytest.mark.parametrize("same_label, fallback", [(True, True), (False, True), (False, False)])
+def test_top_k(spark, folder, monkeypatch, same_label, fallback):
+    """By blocks, without a row for each pair of a bucket; as by joins."""
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 70)
+    c = B.coded(spark, folder).where("id IS NOT NULL").dropDuplicates(["id"])
+    found = lsh.top_k(c, c.where("id % 5 = 0"), 4, 4, 16, same_label, fallback)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(scan, "LANES", ())
+    assert rows_of(lsh.top_k(c, c.where("id % 5 = 0"), 4, 4, 16, same_label, fallback)) == rows_of(found)
