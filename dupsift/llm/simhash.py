@@ -11,14 +11,13 @@ within two bits always meet so, hence no link is lost and no group makes its squ
 Near copies with a Jaccard similarity of 0.8 mostly differ in more bits than any exact key can bridge. With `similar`, texts whose sets of
 SHINGLE-word shingles have at least that Jaccard similarity are linked too, exactly: in any one order of all shingles, two such sets share one
 among the first n - ceil(similar n) + 1 of each, so these prefixes are the join keys. Shingles that crowd the prefixes come last in the order, found by a first pass.
-Of a long text whose uncrowded shingles are at least RARE of all, the first ENOUGH keys do: for a similarity of 0.8 the uncrowded parts of a similar pair then have one of at least a half, so the
-chance that none of the first ENOUGH shingles of their union (in the order of a hash) is in both is below 2 ** -ENOUGH, one in 10 ** 12, no more than that of equal hashes.
 A pair is only looked at where, if the key is the first that both have, enough shingles follow it in both. Each text is first compared with the smallest one of its FIRST_KEYS most frequent keys, which joins groups of near copies at few
 pairs a text. Of each key that then has several components the texts are compared with the smallest of them only; where that makes
-all of a key's texts one component, the key is done, so a group of near copies makes a few pairs for each, not its square. Of other keys with up to COMMON texts the remaining pairs between components
-are compared; in keys with more the next LEADERS smallest texts (twice as many each time, up to MOST_LEADERS) are compared with the others, and texts that no remaining one can be similar to leave, until one component or one text is left,
+all of a key's texts one component, the key is done, so a group of near copies makes a few pairs for each, not its square. In the keys left the next smallest texts
+(eight times as many each time, up to MOST_LEADERS) are compared with the others, and texts that no remaining one can be similar to leave, until one component or one text is left,
 or at most four pairs for each key of a text at the start: then those are compared.
-Candidates whose shared keys and what follows the keys can't make up the similarity are dropped; the others are verified on the whole sets.
+Every text has a sketch, its shingles' number on each of about four bits a shingle, modulo two; sets whose sketches differ in more bits than similar sets can in shingles are dropped, exactly. Of many pairs that are left, each text's
+NEAREST are verified on the whole sets first, then those of the others whose texts aren't of one component by then.
 
 Null text has no words; its fingerprint is zero. Repeated rows share a component. A null doc_id never names a component unless all ids of the
 component are null. An empty table gives an empty one, and texts of any length are read whole. Extra columns, whatever their names, are dropped by `near_duplicates` and kept by `keep_first`.
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh_name, materialize, without
+from .common import broadcast_if_small, drop_table, fresh_name, materialize, without
 from .components import components
 
 BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
@@ -43,7 +42,7 @@ BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
 CROWDED = 16
 BROADCAST_ROWS = 500_000
 #: Words of a shingle for Jaccard similarity; a prefix shingle of more texts is moved to the end of the order, of at most HOT such.
-SHINGLE, COMMON, HOT, LEADERS, MOST_LEADERS, RARE, ENOUGH, FIRST_KEYS = 5, 30, 200_000, 16, 256, 0.5, 40, 3
+SHINGLE, COMMON, HOT, MOST_LEADERS, FIRST_KEYS, NEAREST, FEW_PAIRS = 5, 30, 200_000, 1024, 3, 2, 20_000
 _CHUNK = 1 << 16
 
 
@@ -131,12 +130,26 @@ def _prefix(own: np.ndarray, hot: np.ndarray, similar: float) -> np.ndarray:
     n = len(own)
     common = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(n, bool)
     length = n - math.ceil(similar * n - 1e-9) + 1 if n else 0
-    # Sets of n and up to n / s shingles differ in (1 - s) / (1 + s) (n + n / s) at most, so uncrowded parts of twice that have a similarity of at least a half.
-    if n - common.sum() >= max(RARE, 2 * (1 - similar) / (1 + similar) * (1 + 1 / similar)) * n:
-        length = min(length, ENOUGH)
     return np.concatenate([own[~common], own[common]])[:length]
 
 
+def _sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall on each bit, modulo two. Sets whose sketches differ in d bits differ in d shingles at least."""
+    bits = max(256, 1 << (2 * len(own)).bit_length())
+    counts = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of shingles that one of two sets has alone, by their sketches; the longer one is folded to the other's length."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _key_counts(texts: DataFrame, similar: float) -> DataFrame:
     """key, n: in how many texts a shingle is a key, before any is known as hot. Counted in each block first."""
 
@@ -150,24 +163,25 @@ def _key_counts(texts: DataFrame, similar: float) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, similar: float, hot: np.ndarray) -> DataFrame:
-    """h, size (of the shingle set), taken (keys of the text), key and its place pos for each key; hot shingles come last in the order."""
+    """h, size (of the shingle set), key and its place pos for each key of a row, with the set's sketch beside the first; hot shingles come last in the order."""
     last = texts.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                part, keys, sizes = b.slice(at, 64), [], []
+                part, keys, sizes, sketches = b.slice(at, 64), [], [], []
                 for t in part.column(1):
                     own = np.unique(shingles(t.as_py(), SHINGLE))
                     keys.append(_prefix(own, last.value, similar))
                     sizes.append(len(own))
+                    sketches += [_sketch(own), *[None] * (len(keys[-1]) - 1)] if len(own) else []
                 taken = np.array([len(k) for k in keys])
                 h, key = np.repeat(part.column(0).to_numpy(zero_copy_only=False), taken), np.concatenate(keys).view(np.int64)
                 pos = np.arange(len(key)) - np.repeat(np.cumsum(taken) - taken, taken)
-                columns = [h, np.repeat(sizes, taken), np.repeat(taken, taken), key, pos]
-                yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], names=["h", "size", "taken", "key", "pos"])
+                columns = [pa.array(c.astype(np.int64)) for c in (h, np.repeat(sizes, taken), key, pos)]
+                yield pa.record_batch([*columns, pa.array(sketches, pa.binary())], names=["h", "size", "key", "pos", "sketch"])
 
-    return texts.mapInArrow(run, "h bigint, size bigint, taken bigint, key bigint, pos bigint").distinct()
+    return texts.mapInArrow(run, "h bigint, size bigint, key bigint, pos bigint, sketch binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -175,6 +189,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "needed")
     chosen = texts.join(broadcast_if_small(needed, needed.count(), BROADCAST_ROWS), "h", "left_semi")
     chosen = materialize(chosen.dropDuplicates(["h"]), "texts")
+    drop_table(pairs.sparkSession, needed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}  # of the last few texts: pairs with one text come together
@@ -201,9 +216,14 @@ def similar_links(docs: DataFrame, similar: float) -> DataFrame:
     texts = docs.select(F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
     counted = _key_counts(texts, similar)
     hot = counted.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(HOT).select("key").toArrow().column(0).to_numpy()  # only their order depends on it
+    spark = docs.sparkSession
     keyed = materialize(_prefixes(texts, similar, hot.view(np.uint64)), "prefixes")
-    entries = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "h", "size", "taken", "pos", "n"), "shared")
-    prefix = materialize(entries.groupBy("h", "size", "taken").agg(F.collect_list("key").alias("keys")), "keys")  # a fifth of one text's shingles at most
+    # One exchange by the key serves distinct, count and join.
+    by_key = keyed.select("key", "h", "size", "pos").repartition("key").distinct()
+    entries = materialize(by_key.join(by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "h", "size", "pos", "n"), "shared")
+    sketches = keyed.where("pos = 0").select("h", "size", "sketch").join(entries.select("h").distinct(), "h", "left_semi")
+    sketches = materialize(sketches.dropDuplicates(["h"]), "sketches")
+    drop_table(spark, keyed)
     share = similar / (1 + similar)  # of two sizes together that must be in both sets
 
     def possible(a: str, b: str) -> Column:
@@ -211,13 +231,47 @@ def similar_links(docs: DataFrame, similar: float) -> DataFrame:
         after = F.least(*(F.col(f"{x}size") - F.col(f"{x}pos") for x in (a, b)))
         return after >= F.ceil((F.col(f"{a}size") + F.col(f"{b}size")) * share - 1e-9)
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        side = lambda c: prefix.select(F.col("h").alias(c), F.col("size").alias(f"{c}_size"), (F.col("size") - F.col("taken")).alias(f"{c}_rest"), F.col("keys").alias(f"{c}_keys"))
-        both = materialize(pairs.distinct(), "pairs").join(side("a"), "a").join(side("b"), "b")
-        beyond = F.greatest("a_rest", "b_rest")  # up to the lesser of the last keys all that both have is shared; either may be the lesser
-        least = F.ceil((F.col("a_size") + F.col("b_size")) * share - 1e-9)
-        close = materialize(both.where(F.size(F.array_intersect("a_keys", "b_keys")) + beyond >= least).select("a", "b"), "close")
-        return materialize(_verified(close, texts, similar), "links", 64)  # two texts in a row
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches don't rule them out, with what the sketches tell."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
+                apart = np.array([_apart(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
+                near = apart <= sizes - 2 * np.ceil(sizes * share - 1e-9)
+                yield pa.record_batch([b.column(0).filter(near), b.column(1).filter(near), pa.array(apart[near] / sizes[near])], names=["a", "b", "apart"])
+
+        side = lambda c: sketches.select(F.col("h").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch"))
+        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+        return materialize(both.mapInArrow(run, "a bigint, b bigint, apart double"), "close")
+
+    def tested(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+        """links and similar ones of the pairs, enough for the same components. Each text's NEAREST pairs are verified first; those whose texts are then of one component needn't be."""
+        left, nearest = close(pairs), NEAREST
+        while many := left.count():
+            if many <= FEW_PAIRS:  # cheaper to verify than to tell which needn't be
+                found = materialize(_verified(left.select("a", "b"), texts, similar), "verified", 64)
+                new = materialize(found if links is None else links.union(found), "links")
+                for t in (left, found, *([] if links is None else [links])):
+                    drop_table(spark, t)
+                return new
+            ranked = left
+            for c in ("a", "b"):
+                ranked = ranked.withColumn(f"{c}_rank", F.row_number().over(Window.partitionBy(c).orderBy("apart", "a", "b")))
+            ranked = materialize(ranked, "ranked")
+            first = F.least("a_rank", "b_rank") <= nearest
+            found = materialize(_verified(ranked.where(first).select("a", "b"), texts, similar), "verified", 64)  # two texts in a row
+            new = materialize(found if links is None else links.union(found), "links")
+            roots = components(new)
+            root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
+            apart = ~F.coalesce("a_root", "a").eqNullSafe(F.coalesce("b_root", "b"))
+            rest = ranked.where(~first).select("a", "b", "apart").join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart)
+            rest = materialize(rest.select("a", "b", "apart"), "left")
+            for t in (left, ranked, found, *([] if links is None else [links])):
+                drop_table(spark, t)
+            left, links, nearest = rest, new, 4 * nearest
+        drop_table(spark, left)
+        return links if links is not None else materialize(left.select("a", "b").limit(0), "links")
 
     def leaders(rows: DataFrame, n: int) -> DataFrame:
         """The n smallest texts of each key."""
@@ -239,31 +293,33 @@ def similar_links(docs: DataFrame, similar: float) -> DataFrame:
         most = F.floor((F.col("size") - F.col("pos")) / share + 1e-9) - F.col("size")  # the largest partner
         rest = rows.join(rows.groupBy("key").agg(F.min("size").alias("smallest")), "key").where(most >= F.col("smallest")).drop("smallest")
         keys = rest.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
-        return materialize(rest.join(keys, "key"), "open")
+        still = materialize(rest.join(keys, "key"), "open")
+        drop_table(spark, rows)
+        return still
 
     # Each text is first compared with the leaders of its few most common keys: that joins large groups of near copies, whose other keys are then of one class.
     rows = entries.withColumn("class", F.col("h"))
     common = Window.partitionBy("h").orderBy(F.desc("n"), "key")
     few = materialize(rows.withColumn("rank", F.row_number().over(common)).where(F.col("rank") <= FIRST_KEYS).drop("rank"), "few")
-    links = tested(star(few, leaders(few, 1)))
-    rows = still_open(rows, None, links)
-    first = materialize(leaders(rows, 1), "leaders")
-    links = materialize(links.union(tested(star(rows, first))), "links")
-    rest = still_open(rows, first, links)
+    links = tested(star(few, leaders(few, 1)), None)
+    drop_table(spark, few)
+    rows, most, take = still_open(rows, None, links), entries.count(), 1
+    drop_table(spark, entries)
 
     def all_pairs(rows: DataFrame) -> DataFrame:
         a, b = (rows.select("key", *(F.col(c).alias(f"{x}{c}") for c in ("h", "size", "pos", "class"))) for x in ("a_", "b_"))
         pairs = a.join(b, "key").where((F.col("a_h") < F.col("b_h")) & (F.col("a_class") != F.col("b_class")) & possible("a_", "b_"))
         return pairs.select(F.col("a_h").alias("a"), F.col("b_h").alias("b"))
 
-    links = materialize(links.union(tested(all_pairs(rest.where(F.col("n") <= COMMON)))), "links")
-    rest, most, take = rest.where(F.col("n") > COMMON), entries.count(), LEADERS
-    while left := rest.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0]:
+    while left := rows.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0]:
         if left <= 4 * most:
-            return links.union(tested(all_pairs(rest)))
-        first = materialize(leaders(rest, take), "leaders")
-        links = materialize(links.union(tested(star(rest, first))), "links")
-        rest, take = still_open(rest, first, links), min(2 * take, MOST_LEADERS)
+            return tested(all_pairs(rows), links)
+        first = materialize(leaders(rows, take), "leaders")
+        links = tested(star(rows, first), links)
+        rest = still_open(rows, first, links)
+        for t in (rows, first):
+            drop_table(spark, t)
+        rows, take = rest, min(8 * take, MOST_LEADERS)
     return links
 
 

@@ -232,6 +232,36 @@ def test_keep_first_similar(spark, monkeypatch, common):
     assert far > 10 and sorted(r["doc_id"] for r in simhash.keep_first(docs, similar=0.8).collect()) == want
 
 
+def test_similar_long_texts_keep_all_keys():
+    """Keys of long sets are the whole prefix, so no pair of Jaccard 0.8 is without a common one, whatever its hashes; sketches never count more than what differs."""
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 400, 3000):
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        assert len(simhash._prefix(own, np.zeros(0, np.uint64), 0.8)) == len(own) - -(-4 * len(own) // 5) + 1
+        for gone in (0, 1, n // 5, n // 2):
+            other = np.unique(np.concatenate([own[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64)]))
+            assert simhash._apart(simhash._sketch(own), simhash._sketch(other)) <= len(np.setxor1d(own, other))
+            assert simhash._apart(simhash._sketch(own), simhash._sketch(own[gone:])) <= gone
+    assert simhash._apart(simhash._sketch(own), simhash._sketch(other)) > 0.2 * 2 * len(own)
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_keep_first_similar_in_parts(spark, monkeypatch, few):
+    """A group of near copies around one text, its pairs verified a few at a time."""
+    monkeypatch.setattr(simhash, "FEW_PAIRS", few)
+    rng = random.Random(4)
+    base = prose(rng, 120).split()
+    rows = []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(len(copy))] = "zz" + str(rng.randrange(1000))
+        rows.append(" ".join(copy))
+    want, _ = near_classes(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs, similar=0.8).collect()) == want
+
+
 def test_pipeline_stage_near_copies(spark):
     """The pipeline's stage against brute force over all pairs."""
     import corpus_pipeline
