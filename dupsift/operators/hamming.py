@@ -1,62 +1,30 @@
-"""Exact nearest neighbours of 64-bit signatures in Hamming space by multi-index hashing.
+"""Exact nearest neighbours of 64-bit signatures in Hamming space.
 
-A signature is cut into CHUNKS parts. Two signatures that differ in at most CHUNKS * (s + 1) - 1 bits have a part that differs in at most s, so a query that looks up all
-values within s of each of its parts finds every signature within that radius. The radius grows until a query has its k neighbours; queries that are still
-short at the last radius (their neighbours are far) are held against all distinct signatures, in blocks. Equal signatures are one: of each no more than the k + 1 rows that could be
+Every stated signature is held against all distinct ones, in blocks of packed integers, and only the nearest of each block leave it (`scan.nearest_words`). Signatures of texts are crowded, so that
+tables of their parts would give most of all pairs anyway, a row each. Equal signatures are one: of each no more than the k + 1 rows that could be
 answers are kept, so a signature shared by many rows makes no large bucket.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..storage import kept
-from .lsh import in_blocks
-
-CHUNKS, BITS, RADII = 4, 64, 3
-
-
-def _near(width: int, s: int) -> list[int]:
-    """All masks of at most s of `width` bits."""
-    return [sum(1 << b for b in chosen) for n in range(s + 1) for chosen in combinations(range(width), n)]
-
+from .scan import nearest_words
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+BITS = 64
 
 
 def nearest(signatures: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """q, id, similarity (share of equal bits), rank: the k rows nearest to each query, itself left out, ties to the larger id. signatures: id, word;
     queries: q, word (q an id of signatures or not)."""
-    width = BITS // CHUNKS
     best = Window.partitionBy("word").orderBy(F.desc("id"))
     rows = kept(signatures.select("id", "word").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("id", "word"), "rows")
     words = kept(rows.groupBy("word").agg(F.count("*").alias("members")), "words")
-    parts = words.select("word", "members", F.posexplode(V.band_keys(F.col("word"), CHUNKS, width)).alias("chunk", "key"))
-    asked = kept(queries.select(F.col("word").alias("asked")).distinct(), "asked")
-    found, left = None, asked
-    for s in range(RADII):
-        probes = left.select("asked", F.posexplode(V.band_keys(F.col("asked"), CHUNKS, width)).alias("chunk", "own"))
-        probes = probes.select("asked", "chunk", F.explode(F.transform(F.lit(_near(width, s)).cast("array<bigint>"), lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
-        radius = CHUNKS * (s + 1) - 1
-        pairs = probes.join(parts, ["chunk", "key"]).select("asked", "word", "members", _distance("asked", "word").alias("distance")).where(F.col("distance") <= radius).distinct()
-        pairs = kept(pairs, "near")
-        full = kept(pairs.groupBy("asked").agg(F.sum("members").alias("n")).where(F.col("n") > k).select("asked"), "full")
-        done = pairs.join(full, "asked", "left_semi").select("asked", "word", "distance")
-        found = done if found is None else found.union(done)
-        left = kept(left.join(full, "asked", "left_anti"), "left")
-        if not left.limit(1).count():
-            break
-    else:
-        far = in_blocks(left.withColumn("q", F.lit(None).cast("bigint")), words.select(F.col("word"), F.col("word").alias("id")), anyone=True)
-        far = far.select("asked", "word", _distance("asked", "word").alias("distance"))
-        # rank keeps all that tie with the (k + 1)-th distinct signature: their rows may have larger ids. Fewer than k other rows can't be among them.
-        ranked = far.withColumn("n", F.rank().over(Window.partitionBy("asked").orderBy("distance"))).where(F.col("n") <= k + 1)
-        found = found.union(ranked.select("asked", "word", "distance"))
+    asked = kept(queries.where("word IS NOT NULL").select(F.col("word").alias("id"), "word").distinct(), "asked")
+    # The k + 1 nearest distinct signatures and all that tie with the last: their rows may have larger ids. Fewer than k other rows can't be among them.
+    found = nearest_words(asked, words.where("word IS NOT NULL").select(F.col("word").alias("id"), "word"), k + 1)
     answers = queries.select("q", F.col("word").alias("asked")).join(found, "asked").join(rows, "word").where(~F.col("q").eqNullSafe(F.col("id")))
     order = Window.partitionBy("q").orderBy("distance", F.desc("id"))
     ranked = answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
