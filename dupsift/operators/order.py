@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..storage import kept
 
 #: Cells of a histogram; rows around a wanted rank that are few enough to be counted by value.
-CELLS, FEW = 256, 20_000
+CELLS, FEW = 2_048, 4_096
 _LOW = (1 << 33) - 1
 
 

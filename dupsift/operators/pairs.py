@@ -37,7 +37,7 @@ def _neighbours(df: DataFrame, kind: str, by: list[str], salts: int, seed: int,
     ends = placed.where("_first OR _last").withColumn("_n", nexts(Window.partitionBy(*by, "_s").orderBy("_o", "id")))
     pairs = placed.where("NOT _last").select("id", "_n").union(ends.where("_last").select("id", "_n"))
     pairs = pairs.select(F.col("id").alias("id_1"), F.explode("_n").alias("id_2")).where("id_2 IS NOT NULL")
-    side = lambda n: df.select(*[F.col(c).alias(f"{c}_{n}") for c in df.columns])
+    side = lambda n: df.select(*[F.col(c).alias(f"{c}_{n}") for c in df.columns]).hint("merge")  # written tables are smaller than their rows: none is left to be broadcast
     out = pairs.join(side(1), "id_1").join(side(2), "id_2")
     return out.select(*[f"{c}_1" for c in df.columns], *[f"{c}_2" for c in df.columns])
 

@@ -75,8 +75,9 @@ def pairs_drawn_hard(spark, d):
 
 def _features(spark, d):
     """id, label, tokens, v of the flows."""
-    v = B.flows(spark, d).na.fill(0.0, B.FEATURES).select("id", F.array(*B.FEATURES).alias("v"))
-    return B.flow_tokens(spark, d).join(v, "id")
+    rows = B.flows(spark, d)
+    tokens, v = B.flow_tokens(spark, d, rows), F.array(*[F.coalesce(c, F.lit(0.0)) for c in B.FEATURES])
+    return tokens.join(rows.select("id", v.alias("v")).hint("merge"), "id")
 
 
 _FEATURES = f"feat AS (SELECT id, [{', '.join(f'coalesce({f}, 0.0)::DOUBLE' for f in B.FEATURES)}] AS v FROM flows)"

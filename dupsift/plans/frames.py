@@ -93,13 +93,14 @@ SELECT metric, id_1, id_2, label_1, label_2, true_sim, content_hamming, content_
   FROM base JOIN j USING (id_1, id_2) JOIN bj USING (id_1, id_2) JOIN tf USING (id_1, id_2) JOIN ti USING (id_1, id_2))""")
 def correlation_frame(spark, d):
     """Token pairs under five measures, one row each, with five predictors. Signatures are made once a row, not once a pair."""
-    t = kept(B.flow_tokens(spark, d), "tokens")
+    rows = B.flows(spark, d)
+    t = kept(B.flow_tokens(spark, d, rows), "tokens")
     own = F.array_distinct(T.content_tokens(F.col("tokens")))
     words = t.select("id", S.simhash_md5(own).alias("c"), S.simhash_md5(T.bigrams(F.col("tokens"))).alias("b"), S.simhash_md5("tokens").alias("s"))
-    v = B.flows(spark, d).na.fill(0.0, B.FEATURES).select("id", F.array(*B.FEATURES).alias("v"))
-    sides = kept(words.join(v, "id"), "sides")
+    v = rows.na.fill(0.0, B.FEATURES).select("id", F.array(*B.FEATURES).alias("v"))
+    sides = kept(words.join(v.hint("merge"), "id"), "sides")
     p = kept(pairs.positive(t), "pairs")
-    side = lambda n: sides.select(*[F.col(x).alias(f"{x}_{n}") for x in sides.columns])
+    side = lambda n: sides.select(*[F.col(x).alias(f"{x}_{n}") for x in sides.columns]).hint("merge")
     both = p.join(side(1), "id_1").join(side(2), "id_2")
     ti = text_similarity.tfidf_cosine(p.select("id_1", "id_2"), text_similarity.tfidf(t))
     one, two = F.col("tokens_1"), F.col("tokens_2")
