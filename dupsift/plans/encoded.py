@@ -20,11 +20,17 @@ def _rows(spark, d):
     return kept(scaled.select("id", "label", F.array(*_NAMES).alias("v")), "rows")
 
 
-def _trained(rows, kind: str, epochs: int):
-    """An encoder fitted to 2,000 pairs, their target the similarity of the features, and its losses."""
+def _pairs(rows):
+    """2,000 drawn pairs with the features of both rows; a few rows, so the table of all isn't moved."""
     slim = rows.select("id", "label")
-    pairs = draws.positives(slim, 1000).union(draws.negatives(slim, 1000)).select("id_1", "id_2", "label_1", "label_2")
-    both = pairs.join(rows.select(F.col("id").alias("id_1"), F.col("v").alias("v_1")), "id_1").join(rows.select(F.col("id").alias("id_2"), F.col("v").alias("v_2")), "id_2")
+    placed = draws.ordered(slim, "label")
+    pairs = draws.positives(slim, 1000, rows=placed).union(draws.negatives(slim, 1000, rows=placed)).select("id_1", "id_2", "label_1", "label_2")
+    one = F.broadcast(kept(pairs, "drawn")).join(rows.select(F.col("id").alias("id_1"), F.col("v").alias("v_1")), "id_1")
+    return kept(F.broadcast(one).join(rows.select(F.col("id").alias("id_2"), F.col("v").alias("v_2")), "id_2"), "both")
+
+
+def _trained(both, kind: str, epochs: int):
+    """An encoder fitted to drawn pairs, their target the similarity of the features, and its losses."""
     near = F.when(V.cosine01(F.col("v_1"), F.col("v_2")) >= 0.8, 1.0).otherwise(0.0)
     y = near if kind == "contrastive" else V.cosine01(F.col("v_1"), F.col("v_2"))
     model = encoder.Encoder.new([len(_NAMES), 32, _BLOCKS * _WIDTH])
@@ -35,8 +41,8 @@ def _trained(rows, kind: str, epochs: int):
 @query()
 def encoder_losses(spark, d):
     """The loss of each epoch, for each objective."""
-    rows = _rows(spark, d)
-    found = [(kind, epoch, loss) for kind in ("mse", "contrastive", "baseline") for epoch, loss in enumerate(_trained(rows, kind, 5)[1])]
+    both = _pairs(_rows(spark, d))
+    found = [(kind, epoch, loss) for kind in ("mse", "contrastive", "baseline") for epoch, loss in enumerate(_trained(both, kind, 5)[1])]
     return spark.createDataFrame(found, "kind string, epoch int, loss double")
 
 
@@ -44,6 +50,6 @@ def encoder_losses(spark, d):
 def encoder_topk(spark, d):
     """Codes of all flows by the trained encoder, and by them each stated flow's (ids divisible by 50) five nearest."""
     rows = _rows(spark, d)
-    codes = encoder.encode(rows, _trained(rows, "mse", 5)[0])
+    codes = encoder.encode(rows, _trained(_pairs(rows), "mse", 5)[0])
     coded = kept(codes.select("id", "label", F.col("e").alias("v"), F.get("words", F.lit(0)).alias("word")), "codes")
     return lsh.top_k(coded, coded.where("id % 50 = 0"), 5, 4, 16)
