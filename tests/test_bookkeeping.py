@@ -1,11 +1,13 @@
 """Artifacts, log tails, task states, latencies, task requests."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from dupsift.operators import latency, tasks
+from dupsift.plans import bookkeeping
 from dupsift.sources import artifacts, tail
 from dupsift.streaming import task_states
 
@@ -111,3 +113,30 @@ def test_displayed_models(spark):
     got = {r["model"]: (r["display_name"], r["place"]) for r in tasks.displayed(df, {"a": "A!", "b": "B!"}).collect()}
     assert got == {"a": ("A!", 1), "b": ("B!", 2), "x": ("x", 3)}
     assert tasks.displayed(df, {"a": "A!"}, core=["a"]).select(F.count("*")).first()[0] == 1
+
+
+def test_query_latency_signs_texts_once(spark, monkeypatch):
+    """Not again for each query, however often its plan reads them."""
+    signed = spark.sparkContext.accumulator(0)
+
+    def words(spark, d):
+        def run(batches):
+            for b in batches:
+                signed.add(b.num_rows)
+                yield b
+
+        return spark.range(300).selectExpr("id", "xxhash64(id) AS word").mapInArrow(run, "id bigint, word bigint")
+
+    monkeypatch.setattr(bookkeeping, "_doc_simhash", words)
+    assert bookkeeping.query_latency(spark, "/root/testdata/sf0.001").count() == 10
+    assert signed.value == 300
+
+
+def test_latency_includes_the_plan(spark):
+    """A plan may write tables before its last step."""
+
+    def slow(i):
+        time.sleep(0.3)
+        return spark.range(1)
+
+    assert all(r["ms"] >= 300 for r in latency.measured(spark, {"slow": (spark.range(3), slow)}, most=2).collect())

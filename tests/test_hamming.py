@@ -23,3 +23,16 @@ def test_nearest_is_exact(spark, monkeypatch):
     few = df.where("id < 9")
     assert len(hamming.nearest(few, few.selectExpr("id AS q", "word"), 7).collect()) == 6
     assert hamming.nearest(df.limit(0), asked.limit(0), 3).count() == 0
+
+
+def test_few_queries_are_like_many(spark, monkeypatch):
+    """One pass for a few queries, blocks for many: the same answers, with nulls and shared signatures."""
+    rng = random.Random(6)
+    rows = [(i, rng.getrandbits(12) if i % 9 else None) for i in range(200)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "id bigint, word bigint").repartition(3)
+    asked = df.where("id % 40 = 0 OR id = 9 OR id IS NULL").selectExpr("id AS q", "word")
+    got = []
+    for few in (100, 0):
+        monkeypatch.setattr(hamming, "FEW", few)
+        got.append(sorted(map(repr, hamming.nearest(df, asked, 5).collect())))
+    assert got[0] == got[1] and len(got[0]) == 25
