@@ -12,12 +12,12 @@ takes an Adam step. So what moves for a step is a few models, whatever the numbe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import kept
@@ -204,8 +204,8 @@ def train(pairs: DataFrame, encoder: Encoder, objective: Objective, epochs: int
     return history
 
 
-def encode(rows: DataFrame, encoder: Encoder, id_col: str = "id", vector: str = "v", keep: tuple[str, ...] = ("label",)) -> DataFrame:
-    """id, the kept columns, e (outputs) and words (their signs, 64 to a word, the first in the highest place) of every row; rows with a null vector get nulls."""
+def encode(rows: DataFrame, encoder: Encoder, id_col: str = "id", vector: str = "v", keep: tuple[str, ...] = ("label",), with_outputs: bool = True) -> DataFrame:
+    """id, the kept columns, e (outputs; null unless asked) and words (their signs, 64 to a word, the first in the highest place) of every row; rows with a null vector get nulls."""
     layers = rows.sparkSession.sparkContext.broadcast(encoder.layers)
     columns = [id_col, *keep]
 
@@ -218,10 +218,24 @@ def encode(rows: DataFrame, encoder: Encoder, id_col: str = "id", vector: str =
                 out = outputs(layers.value, _matrix(v.drop_null()))[-1]
                 bits = np.pad(out > 0, ((0, 0), (0, -out.shape[1] % 64)))
                 packed = np.packbits(bits, axis=1).view(">u8").astype(np.int64)
-                for i, x, w in zip(np.flatnonzero(some).tolist(), out.tolist(), packed.tolist(), strict=True):
-                    e[i], words[i] = x, w
+                for i, w in zip(np.flatnonzero(some).tolist(), packed.tolist(), strict=True):
+                    words[i] = w
+                if with_outputs:
+                    for i, x in zip(np.flatnonzero(some).tolist(), out.tolist(), strict=True):
+                        e[i] = x
             yield pa.record_batch([*(b.column(i) for i in range(len(columns))), pa.array(e, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int64()))], names=[*columns, "e", "words"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     doubles = F.transform(vector, lambda x: x.cast("double"))
     return rows.select(*columns, doubles.alias("_v")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", e array<double>, words array<bigint>")
+
+
+def last_outputs(spark: SparkSession, encoder: Encoder) -> Callable[[np.ndarray], np.ndarray]:
+    """The encoder as a function of a matrix of vectors, for use in tasks. Vectors of another length are cut or ended by zeros."""
+    layers = spark.sparkContext.broadcast(encoder.layers)
+
+    def made(x: np.ndarray) -> np.ndarray:
+        dims = layers.value[0][0].shape[0]
+        return outputs(layers.value, np.pad(x[:, :dims], ((0, 0), (0, max(0, dims - x.shape[1])))))[-1]
+
+    return made

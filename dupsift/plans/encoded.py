@@ -48,8 +48,9 @@ def encoder_losses(spark, d):
 
 @query()
 def encoder_topk(spark, d):
-    """Codes of all flows by the trained encoder, and by them each stated flow's (ids divisible by 50) five nearest."""
+    """Codes of all flows by the trained encoder, and by them each stated flow's (ids divisible by 50) five nearest. The outputs, which are many times longer than the features, are made where they are compared."""
     rows = _rows(spark, d)
-    codes = encoder.encode(rows, _trained(_pairs(rows), "mse", 5)[0])
-    coded = kept(codes.select("id", "label", F.col("e").alias("v"), F.get("words", F.lit(0)).alias("word")), "codes")
-    return lsh.top_k(coded, coded.where("id % 50 = 0"), 5, 4, 16)
+    model = _trained(_pairs(rows), "mse", 5)[0]
+    codes = encoder.encode(rows, model, keep=("label", "v"), with_outputs=False)
+    coded = kept(codes.select("id", "label", "v", F.get("words", F.lit(0)).alias("word")), "codes")
+    return lsh.top_k(coded, coded.where("id % 50 = 0"), 5, 4, 16, vectors=encoder.last_outputs(spark, model), crowded=True)

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from dupsift.operators import encoder
+from dupsift.operators import encoder, lsh, scan
+from dupsift.plans import encoded
 
 
 def pairs_of(n=60, dims=5, seed=0):
@@ -66,3 +67,38 @@ def test_codes(spark):
         assert [w % (1 << 64) for w in got[i]["words"]] == [int(bits[:64], 2), int(bits[64:], 2)]
     with pytest.raises(ValueError):
         encoder.Encoder.new([100_000, 1_000])
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_top_k_by_vectors_made_in_tasks(spark, monkeypatch, twice):
+    """As with the vectors in the table; crowded codes, rare ones, nulls, also where an id repeats."""
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(3)
+    model = encoder.Encoder.new([3, 8, 64], 4)
+    x = rng.standard_normal((300, 3)) * np.where(np.arange(300) % 3, 0.05, 2.0)[:, None] + np.where(np.arange(300) % 3, 1.0, 0.0)[:, None]
+    rows = [(i, None if i == 31 else "ab"[i % 2], None if i == 40 else v, None if i == 41 else 0) for i, v in enumerate(x.tolist())]
+    if twice:
+        rows.append(rows[50])
+    df = spark.createDataFrame(rows, "id bigint, label string, v array<double>, z int").repartition(3)
+    codes = encoder.encode(df, model, keep=("label", "v", "z")).selectExpr("id", "label", "v", "e", "IF(z IS NULL, NULL, words[0]) AS word").cache()
+    own = codes.groupBy("word").count()
+    assert own.where("count > 5").count() and own.where("count < 4").count()
+    plain = codes.selectExpr("id", "label", "e AS v", "word")
+    short = codes.select("id", "label", "v", "word")
+    for same in (True, False):
+        want = sorted(map(repr, lsh.top_k(plain, plain.where("id % 10 < 2"), 4, 4, 16, same).collect()))
+        got = lsh.top_k(short, short.where("id % 10 < 2"), 4, 4, 16, same, vectors=encoder.last_outputs(spark, model), crowded=True)
+        assert sorted(map(repr, got.collect())) == want
+
+
+def test_encoder_topk_moves_features(spark, monkeypatch):
+    """Not the outputs, 64 numbers a row."""
+    seen, plain = [], encoded.lsh.top_k
+
+    def top_k(coded, *args, **more):
+        seen.append(coded.selectExpr("max(size(v)) AS n").first()["n"])
+        return plain(coded, *args, **more)
+
+    monkeypatch.setattr(encoded.lsh, "top_k", top_k)
+    encoded.encoder_topk(spark, "/root/testdata/sf0.001")
+    assert seen == [4]
