@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,5 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == state:
             break
         state = mark
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialize(_star(_star(edges, True), False), "edges")
+        drop_table(edges.sparkSession, before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -215,8 +215,11 @@ def similar_links(docs: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b) of hashes of texts whose shingle sets have a Jaccard similarity of at least similar: enough of them for the components of all such pairs."""
     texts = docs.select(F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
     counted = _key_counts(texts, similar)
-    hot = counted.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(HOT).select("key").toArrow().column(0).to_numpy()  # only their order depends on it
     spark = docs.sparkSession
+    # Written first: its batches of texts are then as small as any table's.
+    frequent = materialize(counted.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(HOT).select("key"), "hot")
+    hot = frequent.toArrow().column(0).to_numpy()  # only their order depends on it
+    drop_table(spark, frequent)
     keyed = materialize(_prefixes(texts, similar, hot.view(np.uint64)), "prefixes")
     # One exchange by the key serves distinct, count and join.
     by_key = keyed.select("key", "h", "size", "pos").repartition("key").distinct()
