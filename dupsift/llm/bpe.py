@@ -8,7 +8,7 @@ string extends that of its prefix, so appending is exact and costs only the new
 only from the piece that it touches to the first piece boundary that is as before.
 
 Null text counts as empty, and empty texts have no tokens; texts of any length are encoded whole. Repeated rows each give a row; an empty table gives none. Extra
-columns, whatever their names, are dropped. The ranks' path is a parameter; the file is read once in each Python worker.
+columns, whatever their names, are dropped. The ranks' path is a parameter; the file is read once in each Python worker, which keeps its tables until a task of another operator begins there.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .common import KEPT, spare
+
 #: Entries of a worker's caches (pieces, pairs); full caches are emptied, which changes no result.
 MOST_CACHED = 300_000
 NEVER = 1 << 40
@@ -123,12 +125,13 @@ class PrefixBPE:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Pieces not seen before are taken in order, so that each begins with the table of the prefix
         that it shares with the one before."""
-        split = [self.split.findall(t) for t in texts]
+        known: dict[str, str] = {}  # one string for all that are equal
+        split = [[known.setdefault(p, p) for p in self.split.findall(t)] for t in texts]
         packed = self.packed
         if len(packed) > MOST_CACHED:
             packed.clear()
         before, table = b"", []
-        for piece in sorted({p for x in split for p in x if p not in packed}):
+        for piece in sorted(p for p in known if p not in packed):
             data = piece.encode()
             short = min(len(data), len(before))
             differ = int.from_bytes(data[:short]) ^ int.from_bytes(before[:short])
@@ -213,7 +216,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for b in batches:
+        KEPT["bpe"] = load.cache_clear
+        for b in spare(batches, "bpe"):
             sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
             at = 0
             while at < len(sizes):

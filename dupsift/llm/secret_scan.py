@@ -6,7 +6,7 @@ positions of the documents that contain it, over the case-folded UTF-8 bytes of
 intersecting and uniting postings, and only the candidates are matched with the expression. A rule whose
 expression has no mandatory trigram (a bare character class) is matched against every document.
 
-The index is a set of independent segments, one for each Arrow batch, so nothing is shuffled, a lost executor costs only its own
+The index is a set of independent segments, one for each 1,000 rows of an Arrow batch, so nothing is shuffled, a lost executor costs only its own
 blocks, and memory is bounded by a batch. Only trigrams that some rule asks for get postings.
 
 Null text counts as empty; texts of any length are read whole, a batch at a time. Documents without spans stay, with zero counts. Repeated rows each give a row; an
@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import spare
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -135,14 +137,21 @@ _LOWER[65:91] += 32
 _STEP = 1 << 22
 
 
+def _numbers(vocabulary: list[bytes]) -> np.ndarray:
+    """For each trigram its number in the vocabulary from 1, or 0."""
+    table = np.zeros(1 << 24, np.uint16)
+    for i, t in enumerate(vocabulary):
+        table[t[0] << 16 | t[1] << 8 | t[2]] = i + 1
+    return table
+
+
 class Segment:
     """The inverted index of one block of UTF-8 texts: `data` with `offsets` of each text's start."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, vocabulary: list[bytes]):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, vocabulary: list[bytes], table: np.ndarray | None = None):
+        """table: that of the vocabulary, if it is at hand."""
         self.n, self.ids = len(offsets) - 1, {t: i + 1 for i, t in enumerate(vocabulary)}
-        table = np.zeros(1 << 24, np.uint16)
-        for t, i in self.ids.items():
-            table[t[0] << 16 | t[1] << 8 | t[2]] = i
+        table = _numbers(vocabulary) if table is None else table
         found = []
         for at in range(int(offsets[0]), int(offsets[-1]), _STEP):
             x = _LOWER[data[at : min(at + _STEP + 2, int(offsets[-1]))]].astype(np.int32)
@@ -185,6 +194,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, re.compile(r.pattern), trigram_query(r.pattern)) for r in rules]
         self.vocabulary = sorted(set().union(*(_trigrams(q) for _, _, q in self.rules)))
+        self.numbers = _numbers(self.vocabulary)
 
     def spans(self, column: pa.Array) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
         """The texts, and for each the spans (start, number of the rule, end) in order."""
@@ -193,7 +203,7 @@ class Scanner:
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         if not texts:
             return texts, out
-        segment = Segment(data, offsets, self.vocabulary)
+        segment = Segment(data, offsets, self.vocabulary, self.numbers)
         for k, (rule, compiled, query) in enumerate(self.rules):
             for i in segment.candidates(query):
                 for m in compiled.finditer(texts[i]):
@@ -209,7 +219,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for b in batches:
+        for b in spare(batches):
             _, found = scanner.spans(b.column(1))
             rows = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in found]
             yield pa.record_batch([b.column(0), pa.array(rows, SPANS)], names=[id_col, "spans"])
@@ -227,7 +237,7 @@ def scan_digests(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(RULES)
-        for b in batches:
+        for b in spare(batches):
             _, found = scanner.spans(b.column(1))
             counts = [[sum(k == i for _, k, _ in x) for x in found] for i in range(len(base))]
             show = lambda x: ",".join(f"{RULES[k].kind}:{s}:{e}" for s, k, e in x)
@@ -246,7 +256,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for b in batches:
+        for b in spare(batches):
             texts, found = scanner.spans(b.column(at))
             for i, spans in enumerate(found):
                 if not spans:

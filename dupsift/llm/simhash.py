@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_table, fresh_name, materialize, without
+from .common import broadcast_if_small, drop_table, fresh_name, materialize, spare, without
 from .components import components
 
 BITS, BLOCKS, PIVOTS, SEED = 2, 4, 16, 42
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, h (a hash of the text) and fp (the 64 bits as a signed integer) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spare(batches):
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), b.column(2), pa.array(fps, pa.int64())], names=["doc_id", "h", "fp"])
 
@@ -154,7 +154,7 @@ def _key_counts(texts: DataFrame, similar: float) -> DataFrame:
     """key, n: in how many texts a shingle is a key, before any is known as hot. Counted in each block first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spare(batches):
             keys = [_prefix(np.unique(shingles(t.as_py(), SHINGLE)), np.zeros(0, np.uint64), similar) for t in b.column(0)]
             key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
@@ -167,7 +167,7 @@ def _prefixes(texts: DataFrame, similar: float, hot: np.ndarray) -> DataFrame:
     last = texts.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spare(batches):
             for at in range(0, b.num_rows, 64):
                 part, keys, sizes, sketches = b.slice(at, 64), [], [], []
                 for t in part.column(1):
@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}  # of the last few texts: pairs with one text come together
-        for b in batches:
+        for b in spare(batches):
             keep = []
             for a, c, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 for h, t in ((a, x), (c, y)):
@@ -238,7 +238,7 @@ def similar_links(docs: DataFrame, similar: float) -> DataFrame:
         """The pairs whose sketches don't rule them out, with what the sketches tell."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in spare(batches):
                 sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
                 apart = np.array([_apart(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
                 near = apart <= sizes - 2 * np.ceil(sizes * share - 1e-9)

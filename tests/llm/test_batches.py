@@ -2,7 +2,10 @@
 
 import os
 
-from dupsift.llm import components, kneser_ney, simhash
+import public_tokenizers
+import pyarrow as pa
+
+from dupsift.llm import bpe, components, kneser_ney, secret_scan, simhash
 from dupsift.llm.common import BATCH_ROWS
 
 
@@ -41,3 +44,23 @@ def test_components_keep_one_table(spark, monkeypatch):
     roots = components.components(edges)
     assert roots.where("root = 0").count() == 41
     assert [os.path.exists(w) for w in written] == [False] * (len(written) - 1) + [True] and len(written) > 2
+
+
+def test_workers_hold_one_operator(spark):
+    """What BPE keeps in a Python worker goes when another operator's task begins there, not before; large batches are taken in parts."""
+
+    class Plain:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    def batch(n):
+        return pa.record_batch([pa.array(range(n), pa.int64()), pa.array(["some words"] * n), pa.array(range(n), pa.int64())], names=["doc_id", "text", "h"])
+
+    bpe.load.cache_clear()
+    encode = bpe.encode_documents(Plain(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for _ in range(2):
+        assert [b.num_rows for b in encode(iter([batch(2500)]))] == [1000, 1000, 500]
+    assert bpe.load.cache_info()[:2] == (1, 1) and bpe.load.cache_info().currsize == 1
+    assert sum(b.num_rows for b in simhash.fingerprints(Plain())(iter([batch(3)]))) == 3
+    assert bpe.load.cache_info().currsize == 0
+    assert [b.num_rows for b in secret_scan.scan_digests(Plain())(iter([batch(2500)]))] == [1000, 1000, 500]
