@@ -3,10 +3,12 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from dupsift.functions import tokens as T
-from dupsift.operators import scan, text_similarity
+from dupsift.operators import lsh, scan, text_similarity
 from dupsift.plans import bindings as B
 
 D = "/root/testdata/sf0.001"
@@ -51,3 +53,39 @@ def test_tfidf_cosine_moves_no_whole_table(spark, monkeypatch):
 def test_flows_are_written_once(spark):
     """What reads flows several times doesn't join orders and lines again."""
     assert not any("lineitem" in f or "orders" in f for f in B.flows(spark, D).inputFiles())
+
+
+@pytest.mark.parametrize("same_label", [False, True])
+@pytest.mark.parametrize("bands, width", [(8, 8), (4, 16), (5, 8)])
+def test_top_k_by_index(spark, monkeypatch, same_label, bands, width):
+    """Rows found by choices of bands, with crowded codes, few candidates and vectors that aren't whole, are those found by joins; blocks and runs of pairs are cut anyhow."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (700, 64)) / 2
+    v[100:400] = v[np.arange(300) % 20] + (rng.random((300, 64)) < 0.04) * rng.integers(-2, 3, (300, 64))
+    v[400:430] = v[5]
+    rows = [(i * 10, x, i % 3) for i, x in enumerate(v.tolist())]
+    rows[7][1][3], rows[450], rows[9] = None, (4500, None, 1), (90, [0.0] * 64, 0)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    c = lsh.codes(df, "vec_id", "embedding", "label")
+    got = {}
+    for block, pairs in ((131_072, 500_000), (150, 40)):
+        monkeypatch.setattr(scan, "FOUND_BLOCK", block)
+        monkeypatch.setattr(scan, "PAIRS", pairs)
+        got[block] = sorted(map(repr, lsh.top_k(c, c, 4, bands, width, same_label).collect()))
+    monkeypatch.setattr(scan, "LANES", ())
+    assert got[131_072] == got[150] == sorted(map(repr, lsh.top_k(c, c, 4, bands, width, same_label).collect()))
+
+
+def test_index_spares_pairs():
+    """Of random codes few pairs are compared: those of two common bands, unless less than k have any."""
+    rng = np.random.default_rng(1)
+    words, ids = rng.integers(0, 1 << 63, 40_000, np.int64), np.arange(40_000)
+    v = rng.normal(size=(40_000, 64))
+    table = lambda s, q: pa.table({f"{q}id": ids[s], f"{q}v": pa.array(list(v[s])), f"{q}word": words[s]})
+    cell = scan._Cell(table(slice(0, 300), "q_"), table(slice(None), ""), None)
+    compared, of = [], cell.of
+    cell.of = lambda i, j: compared.append(len(i)) or of(i, j)
+    none = lambda *all_: tuple(np.zeros(0) for _ in range(4))
+    for _ in scan._by_hits(cell, none, 3, 8, 8, True):
+        pass
+    assert 0 < sum(compared) < 300 * 40
