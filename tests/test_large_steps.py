@@ -89,3 +89,24 @@ def test_index_spares_pairs():
     for _ in scan._by_hits(cell, none, 3, 8, 8, True):
         pass
     assert 0 < sum(compared) < 300 * 40
+
+
+def test_jaccard_join_moves_no_set_with_a_pair(spark, monkeypatch):
+    """All pairs of clusters, copies, short and odd sets, however keys and sets are dealt; a set goes to a cell once."""
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (1, 2, 9, 40, 40, 90)]
+    rows = [(i, [*(t for t in base[i % 6] if rng.random() > 0.06), *(["rare%d" % i] if i % 3 else [])]) for i in range(150)] + [(900, []), (901, ['"', "\\", " x", "\u0001"]), (902, [" x", "\u0001", "\\", '"']), (903, ["one"])]
+    df = spark.createDataFrame(rows, "id bigint, tokens array<string>")
+    classes = {}
+    for i, t in rows:
+        classes.setdefault(frozenset(t), []).append(i)
+    sets = {min(i): (s, len(i)) for s, i in classes.items() if s}
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    want = sorted((a, b, sets[a][1], sets[b][1], round(j, 6)) for a in sets for b in sets if a < b and (j := jaccard(sets[a][0], sets[b][0])) >= 0.8 - 1e-12)
+    for cells, keys, pairs in ((20_000, 3_000_000, 500_000), (9, 40, 7)):
+        monkeypatch.setattr(text_similarity, "CELL_SETS", cells)
+        monkeypatch.setattr(text_similarity, "PART_KEYS", keys)
+        monkeypatch.setattr(text_similarity, "PAIRS", pairs)
+        out = text_similarity.jaccard_join(df, 0.8)
+        assert sorted(map(tuple, out.collect())) == want and len(want) > 300
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
