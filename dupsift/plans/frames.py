@@ -70,6 +70,9 @@ def exploratory_stack(spark, d):
 
 # --- Five measures of token pairs beside five predictors: Hamming and band collision of two codes (SimHash of content tokens, of bigrams), and SimHash of all tokens
 
+#: Kinds of token lists up to which their signatures are broadcast.
+KINDS = 200_000
+
 _BIGRAMS = "list_distinct(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))"
 _OWN = "list_distinct(list_filter(tokens, lambda t: NOT starts_with(t, 'label=') AND NOT starts_with(t, 'source=')))"
 
@@ -95,8 +98,11 @@ def correlation_frame(spark, d):
     """Token pairs under five measures, one row each, with five predictors. Signatures are made once a row, not once a pair."""
     rows = B.flows(spark, d)
     t = kept(B.flow_tokens(spark, d, rows), "tokens")
+    # Binned flows have few kinds of token lists: signatures are made once a kind.
     own = F.array_distinct(T.content_tokens(F.col("tokens")))
-    words = t.select("id", S.simhash_md5(own).alias("c"), S.simhash_md5(T.bigrams(F.col("tokens"))).alias("b"), S.simhash_md5("tokens").alias("s"))
+    kinds_ = t.select("tokens").distinct().select("tokens", S.simhash_md5(own).alias("c"), S.simhash_md5(T.bigrams(F.col("tokens"))).alias("b"), S.simhash_md5("tokens").alias("s"))
+    kinds_ = kept(kinds_, "kinds")
+    words = t.select("id", "tokens").join(F.broadcast(kinds_) if kinds_.count() <= KINDS else kinds_.hint("merge"), "tokens").select("id", "c", "b", "s")
     v = rows.na.fill(0.0, B.FEATURES).select("id", F.array(*B.FEATURES).alias("v"))
     sides = kept(words.join(v.hint("merge"), "id"), "sides")
     p = kept(pairs.positive(t), "pairs")

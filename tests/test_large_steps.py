@@ -10,6 +10,7 @@ import pytest
 from dupsift.functions import tokens as T
 from dupsift.operators import lsh, scan, text_similarity
 from dupsift.plans import bindings as B
+from dupsift.plans import frames
 
 D = "/root/testdata/sf0.001"
 
@@ -110,3 +111,16 @@ def test_jaccard_join_moves_no_set_with_a_pair(spark, monkeypatch):
         out = text_similarity.jaccard_join(df, 0.8)
         assert sorted(map(tuple, out.collect())) == want and len(want) > 300
     assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signatures_once_a_kind(spark, monkeypatch):
+    """correlation_frame signs each list of tokens once, and gives the same where the kinds are too many to be broadcast."""
+    written, keep = {}, frames.kept
+    monkeypatch.setattr(frames, "kept", lambda df, label: written.setdefault(label, keep(df, label)))
+    frames.correlation_frame(spark, D)
+    assert written["kinds"].count() == written["tokens"].select("tokens").distinct().count()
+    few = sorted(map(tuple, written["sides"].drop("v").collect()))
+    written.clear()
+    monkeypatch.setattr(frames, "KINDS", 0)
+    frames.correlation_frame(spark, D)
+    assert sorted(map(tuple, written["sides"].drop("v").collect())) == few
